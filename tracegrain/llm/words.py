@@ -103,7 +103,7 @@ class Chunk:
     """Some rows of a batch with their words: row is the first row, of words bound[i]:bound[i + 1] are row i's."""
 
     def __init__(self, row: int, data: np.ndarray, offsets: np.ndarray, lower: bool):
-        self.row, self.data, self.n = row, data, len(offsets) - 1
+        self.row, self.data, self.offsets, self.n = row, data, offsets, len(offsets) - 1
         self.start, self.end = word_bounds(data, offsets)
         self.hash = word_hashes(data, self.start, self.end, lower)
         self.bound = np.searchsorted(self.start, offsets)
