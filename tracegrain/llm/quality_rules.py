@@ -28,6 +28,8 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits")
+
 #: What rules may compare: shares and means, so that a text's length alone rejects nothing.
 FEATURES = {
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
@@ -92,6 +94,8 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_marks": _count_of(text, "!?|#*$%&<>{}[]=_~^@;"),
         "n_digits": _count_of(text, "0123456789"),
     }).drop("__t", "__h")
+    # through a generator, or a filter on a statistic would be pushed below and compute all of them again in place
+    out = out.select(*(c for c in out.columns if c not in STATISTICS), F.inline(F.array(F.struct(*STATISTICS))))
     return out.withColumns({k: F.expr(f"cast({v} as double)") for k, v in FEATURES.items()})
 
 
