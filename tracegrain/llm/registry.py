@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, packing, pii, quality_rules
 from .jaccard_join import JaccardJoin
+from .substring_dedup import RepeatedSpans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RepeatedSpans(_table(spark, sf_dir, "documents")).removals()
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op4_quality_rules, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_substring_dedup, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
 
 
 ORACLE_SQL = {

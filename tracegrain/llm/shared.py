@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,17 @@ class Bloom:
         mask = (one << (u & low)) | (one << ((u >> np.uint64(6)) & low))
         word = (u >> np.uint64(20)) % np.uint64(len(self.words))
         return (self.words[word.astype(np.int64)].view(np.uint64) & mask) == mask
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose column (a long) is in ids; rows that can't be in ids don't shuffle. Null stays."""
+    ids = cut(ids.select(column).distinct())
+    bloom = df.sparkSession.sparkContext.broadcast(Bloom.build(ids, column))
+
+    @F.pandas_udf("boolean")
+    def maybe(v: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.has(v.fillna(0).to_numpy(np.int64)))
+
+    seen = df.withColumn("__maybe", maybe(F.col(column).cast("long")))
+    rest = seen.where("__maybe").drop("__maybe").join(ids, column, "left_anti")
+    return seen.where("not __maybe").select(df.columns).unionByName(rest.select(df.columns))
