@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, pii, quality_rules
+from . import exact_dedup, html_text, packing, pii, quality_rules, sentencepiece_fst
 from .jaccard_join import JaccardJoin
 from .substring_dedup import RepeatedSpans
 
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.Pii(_table(spark, sf_dir, "documents")).spans())
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -44,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op3_html_text, op4_quality_rules, op5_substring_dedup, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_html_text, op4_quality_rules, op5_substring_dedup, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
 
 
 ORACLE_SQL = {
