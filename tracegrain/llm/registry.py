@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, pii, quality_rules, sentencepiece_fst
+from . import exact_dedup, html_text, ordinal_quality, packing, pii, quality_rules, sentencepiece_fst
 from .jaccard_join import JaccardJoin
+from .masked_lm import MaskedLm
 from .substring_dedup import RepeatedSpans
 
 
@@ -35,6 +36,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RepeatedSpans(_table(spark, sf_dir, "documents")).removals()
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return MaskedLm(docs).score(docs)
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # grades: 0 junk, 1 toxic, 2 clean
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    out = ordinal_quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), grade)
+    return out.select("doc_id", "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("kept"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_html_text, op4_quality_rules, op5_substring_dedup, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_html_text, op4_quality_rules, op5_substring_dedup, op6_masked_lm, op7_ordinal_quality, op8_sum_of_squares_packing, op9_jaccard_join, op10_exact_dedup)}
 
 
 ORACLE_SQL = {
