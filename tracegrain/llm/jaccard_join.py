@@ -6,10 +6,11 @@ pair. The order's low end gives the pairs: two sets of Jaccard similarity t or m
 n - ceil(t n) + 1 shingles, and the places at which they share it bound what they can share beyond it.
 
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
-* A shingle's nodes aren't paired all with all: first each is paired with the least node of the shingle
-  (a star), the stars' links are verified and merged into components, and only nodes of a shingle that are
-  still in different components are paired. Each component that meets another one at a shingle is
-  taken as often as it takes: rounds of stars go on while they merge, then all rest pairs are counted.
+* A shingle's nodes aren't paired all with all: first each shingle's nodes are paired with its least node
+  by some order, and each node is tried with the few of those that it meets most. What links merges into components; another
+  round takes another order, and in the end all pairs of a shingle that are still in different components are counted.
+* A pair is counted only if the parities of both sets, a bit for each residue of the hash, leave it possible:
+  every differing bit is a shingle that only one of them has.
 * Which shingles count as frequent comes from the counts of all documents; it decides the order only, so
   results don't depend on it. The list is broadcast, MOST_FREQUENT long at most.
 
@@ -72,13 +73,24 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy().view(np.uint64))
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For each residue of the hash, whether the set has an odd number of such shingles; two bits a shingle or more."""
+    bits = 1 << max(9, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
+
+
 def _prefixes(k: int, t: int, frequent):
-    """mapInArrow: (id, text) into (id, d1, d2, n, prefix): the first shingles of the set in the global order."""
+    """mapInArrow: (id, text) into (id, d1, d2, n, prefix, odd): the set's first shingles in the global order, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            d1, d2, n, prefix = [], [], [], []
+            d1, d2, n, prefix, odd = [], [], [], [], []
             for _, s in _sets(batch, k):
                 a, b = _digest(s) if len(s) else (0, 0)
                 most = len(s) - -(-t * len(s) // 100) + 1 if len(s) else 0
@@ -91,9 +103,9 @@ def _prefixes(k: int, t: int, frequent):
                 d2.append(b)
                 n.append(len(s))
                 prefix.append(as_long(ordered))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
+                odd.append(_parities(s))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), lists], ["id", "d1", "d2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), _lists(prefix), _lists(odd)], ["id", "d1", "d2", "n", "prefix", "odd"])
 
     return run
 
@@ -115,9 +127,51 @@ def _fragments(k: int, wanted):
                     if cuts[f] < cuts[f + 1]:
                         for to, v in zip(out, (ids[row].as_py(), a, b, f, as_long(s[cuts[f] : cuts[f + 1]])), strict=True):
                             to.append(v)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[4])]), pa.int32()), pa.array(np.concatenate(out[4]) if out[4] else np.empty(0, np.int64)))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *longs, pa.array(out[3], pa.int32()), lists], ["id", "d1", "d2", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *longs, pa.array(out[3], pa.int32()), _lists(out[4])], ["id", "d1", "d2", "fragment", "part"])
+
+    return run
+
+
+def _of_ids(bloom):
+    """mapInArrow: the rows (id, text) whose id may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.value.has(batch.column(0).to_numpy())))
+
+    return run
+
+
+def _repeated_tokens(maybe):
+    """mapInArrow: (node, n, prefix) into (h, node, n, place) of the shingles that two nodes may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            h = lists.flatten().to_numpy()
+            lengths = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lists)), lengths)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.flatnonzero(maybe.value.has(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])), pa.array(place[at])], ["h", "node", "n", "place"])
+
+    return run
+
+
+def _possible(t: int):
+    """mapInArrow: (a, na, b, nb, oa, ob) into (a, na, b, nb) of the pairs whose parities let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, oa, ob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = oa.values.to_numpy(), ob.values.to_numpy()
+                words = min(len(x), len(y))
+                differ = np.bitwise_xor.reduce(x.reshape(-1, words)) ^ np.bitwise_xor.reduce(y.reshape(-1, words))
+                overlap = (na + nb - int(np.bitwise_count(differ.view(np.uint64)).sum())) // 2
+                keep.append((100 + t) * overlap >= t * (na + nb))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -135,34 +189,33 @@ def _can(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, star_rounds: int = 3):
-        self.k, self.t, self.star_rounds = k, percent, star_rounds
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12):
+        self.k, self.t, self.tries, self.most_rounds = k, percent, tries, most_rounds
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
         often = spark.sparkContext.broadcast(frequent_shingles(self.docs, k))
-        self.sets = cut(self.docs.mapInArrow(_prefixes(k, percent, often), "id long, d1 long, d2 long, n long, prefix array<long>"))
-        self.nodes = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"))
-        # of equal sets the least id's row speaks
-        first = self.sets.where("n > 0").join(self.nodes.where("node is not null"), ["d1", "d2", "n"]).where("id = node")
-        tokens = first.select("node", "n", F.posexplode("prefix").alias("place", "h")).distinct()
-        shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
-        self.tokens = cut(tokens.join(shared, "h"))
-        self._links = None
+        self.sets = cut(self.docs.mapInArrow(_prefixes(k, percent, often), "id long, d1 long, d2 long, n long, prefix array<long>, odd array<long>"))
+        self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd")))
+        named = self.nodes.where("node is not null")
+        shared = named.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
+        maybe = spark.sparkContext.broadcast(Bloom.build(cut(shared), "h"))
+        self.tokens = cut(named.select("node", "n", "prefix").mapInArrow(_repeated_tokens(maybe), "h long, node long, n long, place long"))
+        self._links, self._texts = None, self.docs
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, na, b, nb): those that link, with their overlap, counted in each fragment and summed."""
-        pairs = cut(pairs.select("a", "na", "b", "nb").distinct())
-        spark = pairs.sparkSession
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = spark.sparkContext.broadcast(Bloom.build(ends, "node"))
-        parts = self.docs.mapInArrow(_fragments(self.k, wanted), "id long, d1 long, d2 long, fragment int, part array<long>")
-        # rows that share an id have several sets: each speaks for itself, the largest overlap counts
-        parts = parts.join(ends, parts.id == ends.node, "left_semi").dropDuplicates(["id", "d1", "d2", "fragment"])
-        parts = cut(parts)
+        odd = self.nodes.select("node", "n", "odd")
+        met = pairs.join(odd.toDF("a", "na", "oa"), ["a", "na"]).join(odd.toDF("b", "nb", "ob"), ["b", "nb"])
+        pairs = cut(met.select("a", "na", "b", "nb", "oa", "ob").mapInArrow(_possible(self.t), "a long, na long, b long, nb long").distinct())
+        ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.build(ends, "node"))
+        parts = cut(self._texts.mapInArrow(_fragments(self.k, wanted), "id long, d1 long, d2 long, fragment int, part array<long>"))
         left = parts.select(F.col("id").alias("a"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
         right = parts.select(F.col("id").alias("b"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
         both = pairs.join(left, "a").join(right, ["b", "fragment"])
-        overlaps = both.groupBy("a", "na", "b", "nb", "da", "db").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("overlap"))
+        # rows may repeat, and rows that share an id have several sets: each set counts once, and the most alike decide
+        each = both.groupBy("a", "na", "b", "nb", "da", "db", "fragment").agg(F.max(F.size(F.array_intersect("pa", "pb"))).alias("partial"))
+        overlaps = each.groupBy("a", "na", "b", "nb", "da", "db").agg(F.sum("partial").alias("overlap"))
         return overlaps.where(_enough(self.t, "overlap")).groupBy("a", "na", "b", "nb").agg(F.max("overlap").alias("overlap"))
 
     def links(self) -> DataFrame:
@@ -170,33 +223,46 @@ class JaccardJoin:
         if self._links is not None:
             return self._links
         named, found, tried = self.tokens.withColumn("part", F.col("node")), None, None
-        can = _can(self.t)
-        for step in range(self.star_rounds + 1):
-            if step < self.star_rounds:
-                # another centre each round: the least by another order of the nodes that are still apart
-                order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa")) if step else F.struct(F.col("n").alias("na"), F.col("node"), F.col("place").alias("i"), F.col("part").alias("pa"))
-                centre = named.groupBy("h").agg(F.min(order).alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
-                pairs = named.join(centre, "h").where("part != pa").selectExpr("a", "na", "node as b", "n as nb", "i", "place as j")
+        can, rounds, go_on, n_nodes = _can(self.t), 0, True, self.nodes.count()
+        while True:
+            stars = rounds < self.most_rounds and go_on
+            if stars:
+                # each node is tried with a few others: centres of its shingles by an order of this round, those of most shingles first
+                order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
+                centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
+                pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb", "i", "place as j").where(can)
+                pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
+                if tried is not None:
+                    for x, y in (("a", "b"), ("b", "a")):
+                        pairs = pairs.join(tried.toDF(x, y), ["a", "b"], "left_anti")
+                chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
+                pairs = pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb")
             else:
                 left = named.selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
                 right = named.selectExpr("h", "part", "node as b", "n as nb", "place as j")
-                pairs = left.join(right, "h").where("pa < part")
-            pairs = pairs.where(can).selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
+                pairs = left.join(right, "h").where("pa < part").where(can)
+            pairs = pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
-            if pairs.isEmpty():
-                if step < self.star_rounds:
-                    continue
+            rounds += 1
+            if not pairs.isEmpty():
+                new = cut(self._verified(pairs))
+                tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+                found = new if found is None else found.union(new)
+                go_on = pairs.count() > n_nodes // 200
+                if stars and not new.isEmpty():
+                    parts = components(found).select("node", F.col("component").alias("named"))
+                    named = self.tokens.join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named")
+                    named = named.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h"), "h", "left_semi")
+                    named = cut(named)
+                    if rounds == 1:  # from now on only these can pair: later rounds needn't read the other texts
+                        bloom = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(named.select("node").distinct(), "node"))
+                        self._texts = cut(self.docs.where("id is not null").mapInArrow(_of_ids(bloom), self.docs.schema))
+            else:
+                go_on = False
+            if not stars:
                 break
-            new = cut(self._verified(pairs))
-            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-            found = new if found is None else found.union(new)
-            if step < self.star_rounds and not new.isEmpty():
-                parts = components(found).select("node", F.col("component").alias("named"))
-                named = cut(self.tokens.join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named"))
-                apart = named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h")
-                named = cut(named.join(apart, "h", "left_semi"))
         self._links = found if found is not None else self.tokens.selectExpr("node as a", "n as na", "node as b", "n as nb", "0L as overlap").limit(0)
         return self._links
 

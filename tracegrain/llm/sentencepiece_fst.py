@@ -35,7 +35,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Segments kept by a worker at most; beyond, it starts anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -94,7 +94,11 @@ class Transducer:
         alphabet = {c for p in self.arc for c in p}
         known = "".join(re.escape(c) for c in sorted(alphabet - {SPACE}))
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.arc)
-        parts = f"(?:{SPACE}|[{known}])+" if crosses and known else f"{SPACE}*[{known}]+|{SPACE}+" if known else f"{SPACE}+"
+        # where no piece joins a letter and another character, no path does: such places cut segments too
+        kinds = [{c for c in alphabet - {SPACE} if c.isalpha() == letter} for letter in (True, False)]
+        mixed = any({c.isalpha() for c in p if c != SPACE} == {True, False} for p in self.arc)
+        runs = [known] if mixed else ["".join(re.escape(c) for c in sorted(k)) for k in kinds]
+        parts = f"(?:{SPACE}|[{known}])+" if crosses and known else "|".join([*(f"{SPACE}*[{r}]+" for r in runs if r), f"{SPACE}+"])
         self.segment = re.compile(f"{parts}|[^{known}{SPACE}]+")
         self.alphabet, self.kept, self.pairs, self.first_edges, self.last_edges = alphabet, {}, {}, {}, {}
 
@@ -149,7 +153,7 @@ class Transducer:
         pair = before * len(self.pieces) + piece
         found = self.pairs.get(pair)
         if found is None:
-            if len(self.pairs) > 4 * MOST_KEPT:
+            if len(self.pairs) > MOST_KEPT:
                 self.pairs.clear()
             found = self.pairs[pair] = self._apart(self.pieces[before], self.pieces[piece])
         return 0.0 if found else None
