@@ -5,7 +5,8 @@ the contiguous part of the highest sum. Tags' weights come from pages whose mark
 article element): a tag that stands outside the article more often than inside costs more, by the logarithm of
 the ratio; tags are told apart by name, direction and class words. The labelled pages are a bounded sample,
 `max_labelled`, of the lowest hashes of the id. Elements that are never content (menus, forms, adverts, ...) score no words.
-Where the region lies in an article or main element, that element's bounds replace the region's.
+Where the region lies in an article or main element, that element's bounds replace the region's; else those of the
+smallest section of the page (div, section, table cell) that holds all of it, if there is one below the body.
 
 Text: character references decoded, white space in a block one space, trimmed, blocks joined by a line break.
 
@@ -32,6 +33,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 SPACED = {"br", "td", "th"}
 NEVER = set("head nav aside form footer noscript template svg math select button dialog menu object audio video canvas".split())
 PAGE_ONLY = {"header"}
+SECTIONS = {"div", "section", "td", "article", "main", "center"}
 CONTENT = {"article", "main"}
 #: What may not stay open inside these.
 CLOSED_BY_BLOCK = {"p"}
@@ -51,21 +53,26 @@ class Page:
     """The blocks of a page, and its words and tags in order.
 
     blocks: (text, content element's number or -1, whether it may be content); events: (tag key or None for words,
-    number of words, block's number).
+    number of words, block's number); section: of each block the innermost section's number or -1; outer: of each
+    section the one around it.
     """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, bool]] = []
         self.events: list[tuple[str | None, int, int]] = []
-        self.sizes: list[int] = []
-        self._open: list[tuple[str, bool, int]] = []  # name, not content, content element
+        self.section: list[int] = []
+        self.outer: list[int] = []
+        self._open: list[tuple[str, bool, int, int]] = []  # name, not content, content element, section
         self._text: list[str] = []
         self._elements = 0
         self._read(source)
         self._end_block()
 
     def _state(self) -> tuple[bool, int]:
-        return self._open[-1][1:] if self._open else (False, -1)
+        return self._open[-1][1:3] if self._open else (False, -1)
+
+    def _section(self) -> int:
+        return self._open[-1][3] if self._open else -1
 
     def _end_block(self) -> None:
         if self._text:
@@ -75,6 +82,7 @@ class Page:
                 never, element = self._state()
                 self.events.append((None, 0 if never else text.count(" ") + 1, len(self.blocks)))
                 self.blocks.append((text, element, not never))
+                self.section.append(self._section())
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -119,7 +127,7 @@ class Page:
                     break
         elif name not in VOID:
             if attrs.strip():
-                never, words = _never_content(attrs)
+                never, words = _never_content(attrs, self._state()[1] >= 0)
                 key += "".join(f".{w}" for w in words)
             if name in BLOCKS and self._open and self._open[-1][0] in CLOSED_BY_BLOCK:
                 self._open.pop()
@@ -129,12 +137,16 @@ class Page:
                 element, self._elements = self._elements, self._elements + 1
             if (never, element) != (inside, self._state()[1]):
                 self._end_inline()
-            self._open.append((name, never, element))
+            section = self._section()
+            if name in SECTIONS:
+                self.outer.append(section)
+                section = len(self.outer) - 1
+            self._open.append((name, never, element, section))
         self.events.append((key, 0, -1))
 
     def _leave(self, i: int) -> None:
         before = self._state()
-        if before != (self._open[i - 1][1:] if i else (False, -1)):
+        if before != (self._open[i - 1][1:3] if i else (False, -1)):
             self._end_inline()
         del self._open[i:]
 
@@ -143,15 +155,18 @@ class Page:
         self._end_block()
 
 
-def _never_content(attrs: str) -> tuple[bool, list[str]]:
-    """Whether the attributes say that the element isn't content, and the class words that tell tags apart."""
+def _never_content(attrs: str, inside: bool = False) -> tuple[bool, list[str]]:
+    """Whether the attributes say that the element isn't content, and the class words that tell tags apart.
+
+    inside: in an article or main element, whose own header is content.
+    """
     words: list[str] = []
     never = False
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             found = _CLASS_WORD.findall(value)
-            never |= not NOT_CONTENT.isdisjoint(found)
+            never |= not NOT_CONTENT.isdisjoint(w for w in found if not (inside and w == "header"))
             if name == "class":
                 words += sorted(set(found))[:4]
         elif name == "role":
@@ -175,6 +190,25 @@ def best_region(page: Page, weights: dict[str, float], default: float) -> tuple[
     return found
 
 
+def _within(page: Page, section: int, around: int) -> bool:
+    while section > around:  # a section's number is larger than those around it
+        section = page.outer[section]
+    return section == around
+
+
+def _around(page: Page, blocks: list[int]) -> int:
+    """The smallest section that holds all of the blocks; -1 if only the page does."""
+    found = page.section[blocks[0]]
+    for b in blocks[1:]:
+        other = page.section[b]
+        while found != other:
+            if found > other:
+                found = page.outer[found]
+            else:
+                other = page.outer[other]
+    return found
+
+
 def main_blocks(page: Page, weights: dict[str, float], default: float = 2.0) -> list[str]:
     start, end = best_region(page, weights, default)
     inside = [b for key, words, b in page.events[start:end] if key is None and words]
@@ -186,6 +220,9 @@ def main_blocks(page: Page, weights: dict[str, float], default: float = 2.0) ->
     element = by_element.most_common(1)[0][0]
     if element >= 0:
         return [text for text, of, may in page.blocks if may and of == element]
+    around = _around(page, inside)
+    if around >= 0:
+        return [text for (text, _, may), s in zip(page.blocks, page.section, strict=True) if may and _within(page, s, around)]
     return [page.blocks[b][0] for b in inside]
 
 

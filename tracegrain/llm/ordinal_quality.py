@@ -3,7 +3,8 @@
 Grades 0 to K share one weight for each feature; ordered thresholds t_1 < ... < t_K give
 P(grade >= k) = sigmoid(score - t_k). The sum of these is the expected grade, the last one that is asked for the tail
 probability for selection. Features are the hashed words of the whole text (each once), and the shares of words by
-their last byte. Weights are fitted in numpy on a bounded sample of the ratings, `max_labelled`, of the lowest hashes of
+their last byte. Of the words those get a weight whose presence depends on the grade, by a chi-squared test on the
+sample: the many words that a few rated texts have explain those texts only. Weights are fitted in numpy on a bounded sample of the ratings, `max_labelled`, of the lowest hashes of
 the id; all rows are scored where they lie, in one scan without a shuffle.
 
 Cases: a null text is empty; an empty text is scored by the thresholds alone. Ratings that are null, or whose id has no
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .words import chunks
 
-BITS = 16
+BITS = 18
 LAST = 1 << BITS  # the shares' features follow
 SHARE = 8.0
+#: Chi-squared from which a word's presence counts as dependent on the grade.
+DEPENDENT = 25.0
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,9 +55,21 @@ class Ordinal:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 0) -> Ordinal:
+def dependent_words(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, least: float = DEPENDENT) -> np.ndarray:
+    """Which features count: the words whose presence depends on the grade, and all shares."""
+    size = np.bincount([g for _, _, g in rows], minlength=grades).astype(float)
+    seen = np.array([np.bincount(np.concatenate([f for f, _, g in rows if g == k] or [np.empty(0, np.int64)]), minlength=LAST + 256) for k in range(grades)], float)
+    share = seen.sum(axis=0) / size.sum()
+    due = size[:, None] * share
+    chi2 = ((seen - due) ** 2 / np.maximum(due * (1 - share), 1e-9)).sum(axis=0)
+    chi2[LAST:] = np.inf
+    return chi2 >= least
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int = 20, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 0) -> Ordinal:
     """Of (features, values, grade): by adaptive gradient steps on the likelihood; thresholds are kept in order by their gaps' logarithms."""
-    rng = np.random.default_rng(seed)
+    rng, counts = np.random.default_rng(seed), dependent_words(rows, grades)
+    rows = [(f[counts[f]], v[counts[f]], g) for f, v, g in rows]
     w, g2 = np.zeros(LAST + 256), np.full(LAST + 256, 1e-6)
     base, gaps = np.zeros(1), np.zeros(max(0, grades - 2))
     b2 = np.full(grades - 1, 1e-6)
