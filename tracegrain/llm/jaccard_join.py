@@ -6,9 +6,11 @@ pair. The order's low end gives the pairs: two sets of Jaccard similarity t or m
 n - ceil(t n) + 1 shingles, and the places at which they share it bound what they can share beyond it.
 
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
-* A shingle's nodes aren't paired all with all: first each shingle's nodes are paired with its least node
-  by some order, and each node is tried with the few of those that it meets most. What links merges into components; another
-  round takes another order, and in the end all pairs of a shingle that are still in different components are counted.
+* Where pairing all nodes of the shingles would meet more than `dense` nodes a shingle's node, they aren't paired yet: first
+  each shingle's nodes are paired with its least node by some order, and each node is tried with the few of those that it
+  meets most. What links merges into components; while it is still too much, another round takes another order. In the
+  end all pairs of a shingle that are in different components are counted: in each pair one is outside the
+  component that most of the shingle's nodes are in.
 * A pair is counted only if the parities of both sets, a bit for each residue of the hash, leave it possible:
   every differing bit is a shingle that only one of them has.
 * Which shingles count as frequent comes from the counts of all documents; it decides the order only, so
@@ -133,16 +135,6 @@ def _fragments(k: int, wanted):
     return run
 
 
-def _of_ids(bloom):
-    """mapInArrow: the rows (id, text) whose id may be in the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bloom.value.has(batch.column(0).to_numpy())))
-
-    return run
-
-
 def _repeated_tokens(maybe):
     """mapInArrow: (node, n, prefix) into (h, node, n, place) of the shingles that two nodes may have."""
 
@@ -189,8 +181,8 @@ def _can(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12):
-        self.k, self.t, self.tries, self.most_rounds = k, percent, tries, most_rounds
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 100):
+        self.k, self.t, self.tries, self.most_rounds, self.dense = k, percent, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
         often = spark.sparkContext.broadcast(frequent_shingles(self.docs, k))
@@ -200,7 +192,7 @@ class JaccardJoin:
         shared = named.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
         maybe = spark.sparkContext.broadcast(Bloom.build(cut(shared), "h"))
         self.tokens = cut(named.select("node", "n", "prefix").mapInArrow(_repeated_tokens(maybe), "h long, node long, n long, place long"))
-        self._links, self._texts = None, self.docs
+        self._links = None
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, na, b, nb): those that link, with their overlap, counted in each fragment and summed."""
@@ -209,7 +201,7 @@ class JaccardJoin:
         pairs = cut(met.select("a", "na", "b", "nb", "oa", "ob").mapInArrow(_possible(self.t), "a long, na long, b long, nb long").distinct())
         ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.build(ends, "node"))
-        parts = cut(self._texts.mapInArrow(_fragments(self.k, wanted), "id long, d1 long, d2 long, fragment int, part array<long>"))
+        parts = cut(self.docs.mapInArrow(_fragments(self.k, wanted), "id long, d1 long, d2 long, fragment int, part array<long>"))
         left = parts.select(F.col("id").alias("a"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
         right = parts.select(F.col("id").alias("b"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
         both = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -222,10 +214,13 @@ class JaccardJoin:
         """Pairs (a, b) of nodes that link: enough of them to give every component, not all of a dense one."""
         if self._links is not None:
             return self._links
-        named, found, tried = self.tokens.withColumn("part", F.col("node")), None, None
-        can, rounds, go_on, n_nodes = _can(self.t), 0, True, self.nodes.count()
+        named, found, tried, n_tokens = self.tokens.withColumn("part", F.col("node")), None, None, self.tokens.count()
+        can, rounds = _can(self.t), 0
         while True:
-            stars = rounds < self.most_rounds and go_on
+            # of each shingle: how many of its nodes there are, and the component that most of them are in
+            sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
+            met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("n")).first().n or 0
+            stars = rounds < self.most_rounds and met > self.dense * n_tokens
             if stars:
                 # each node is tried with a few others: centres of its shingles by an order of this round, those of most shingles first
                 order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
@@ -238,9 +233,9 @@ class JaccardJoin:
                 chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
                 pairs = pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb")
             else:
-                left = named.selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
-                right = named.selectExpr("h", "part", "node as b", "n as nb", "place as j")
-                pairs = left.join(right, "h").where("pa < part").where(can)
+                # of two components one isn't the one that most are in
+                others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
+                pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j"), "h").where("pa != part").where(can)
             pairs = pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -250,17 +245,11 @@ class JaccardJoin:
                 new = cut(self._verified(pairs))
                 tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
                 found = new if found is None else found.union(new)
-                go_on = pairs.count() > n_nodes // 200
                 if stars and not new.isEmpty():
                     parts = components(found).select("node", F.col("component").alias("named"))
                     named = self.tokens.join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named")
                     named = named.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h"), "h", "left_semi")
                     named = cut(named)
-                    if rounds == 1:  # from now on only these can pair: later rounds needn't read the other texts
-                        bloom = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(named.select("node").distinct(), "node"))
-                        self._texts = cut(self.docs.where("id is not null").mapInArrow(_of_ids(bloom), self.docs.schema))
-            else:
-                go_on = False
             if not stars:
                 break
         self._links = found if found is not None else self.tokens.selectExpr("node as a", "n as na", "node as b", "n as nb", "0L as overlap").limit(0)
