@@ -181,7 +181,7 @@ def _can(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 100):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 30):
         self.k, self.t, self.tries, self.most_rounds, self.dense = k, percent, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
@@ -222,9 +222,14 @@ class JaccardJoin:
             met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("n")).first().n or 0
             stars = rounds < self.most_rounds and met > self.dense * n_tokens
             if stars:
-                # each node is tried with a few others: centres of its shingles by an order of this round, those of most shingles first
-                order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
-                centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
+                # each node is tried with a few others: centres of its shingles by an order of this round, those of most shingles
+                # first; at first the nodes that meet most others, as the original of many copies does, then any
+                ranked, rank = named, F.xxhash64("node", F.lit(rounds))
+                if rounds == 0:
+                    meets = named.join(sizes, "h").groupBy("node").agg(F.sum("every").alias("meets"))
+                    ranked, rank = named.join(meets, "node"), -F.col("meets")
+                order = F.struct(rank.alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
+                centre = ranked.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
                 pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb", "i", "place as j").where(can)
                 pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
                 if tried is not None:
