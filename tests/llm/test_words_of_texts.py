@@ -168,7 +168,7 @@ def test_jaccard_links_at_the_bound(spark):
         texts.append(" ".join([*common[:at], *(f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 9))), *common[at:]]))
     texts += texts[:15]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for tries, rounds, dense in ((4, 12, 0), (1, 1, 0), (2, 0, 0), (4, 12, 100)):
+    for tries, rounds, dense in ((4, 12, 0), (1, 1, 0), (2, 0, 0), (4, 12, 1000)):
         got = JaccardJoin(df, tries=tries, most_rounds=rounds, dense=dense).membership().selectExpr("id as doc_id", "n_shingles", "component as component_id")
         same_rows(got, linked(list(enumerate(texts))))
 

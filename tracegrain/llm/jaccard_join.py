@@ -6,11 +6,11 @@ pair. The order's low end gives the pairs: two sets of Jaccard similarity t or m
 n - ceil(t n) + 1 shingles, and the places at which they share it bound what they can share beyond it.
 
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
-* Where pairing all nodes of the shingles would meet more than `dense` nodes a shingle's node, they aren't paired yet: first
-  each shingle's nodes are paired with its least node by some order, and each node is tried with the few of those that it
-  meets most. What links merges into components; while it is still too much, another round takes another order. In the
-  end all pairs of a shingle that are in different components are counted: in each pair one is outside the
-  component that most of the shingle's nodes are in.
+* A shingle's nodes aren't paired all with all. First, nodes are sorted by the least shingles of parts of the hash's
+  range, and each is tried with its neighbours, a few in each of ORDERS such lists. What links merges into components. In
+  the end all pairs of a shingle that are in different components are counted: in each pair one is outside the
+  component that most of the shingle's nodes are in. Where that would still meet more than `dense` nodes a shingle's
+  node, rounds come before in which a shingle's nodes are tried with its least node by some order.
 * A pair is counted only if the parities of both sets, a bit for each residue of the hash, leave it possible:
   every differing bit is a shingle that only one of them has.
 * Which shingles count as frequent comes from the counts of all documents; it decides the order only, so
@@ -37,6 +37,9 @@ from .words import as_long, chunks, mix, shingle_hashes
 #: The frequent shingles broadcast at most; of those, each was met LEAST_COUNT times in a batch.
 MOST_FREQUENT, LEAST_COUNT = 1 << 16, 4
 FRAGMENTS = 8
+#: The least shingle of each of BINS parts of the hash's range, and how many rows on each of ORDERS sorted lists are tried.
+BINS, ORDERS, NEAR = 24, 6, 4
+_EDGES = (np.arange(BINS + 1) * (float(2**64) / BINS)).clip(max=float(2**64 - 2048)).astype(np.uint64)
 
 
 def _set_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -82,17 +85,25 @@ def _parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The least shingle of each bin, 0 for an empty bin: two sets agree in about as many bins as they are alike."""
+    cuts = np.searchsorted(s, _EDGES)
+    cuts[-1] = len(s)
+    least = np.where(cuts[:-1] < cuts[1:], s[np.minimum(cuts[:-1], max(0, len(s) - 1))], 0) if len(s) else np.zeros(BINS, np.uint64)
+    return (mix(least) >> np.uint64(33)).astype(np.int32)
+
+
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
 
 def _prefixes(k: int, t: int, frequent):
-    """mapInArrow: (id, text) into (id, d1, d2, n, prefix, odd): the set's first shingles in the global order, and its parities."""
+    """mapInArrow: (id, text) into (id, d1, d2, n, prefix, odd, sketch): the set's first shingles in the global order, its parities and least shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            d1, d2, n, prefix, odd = [], [], [], [], []
+            d1, d2, n, prefix, odd, sketch = [], [], [], [], [], []
             for _, s in _sets(batch, k):
                 a, b = _digest(s) if len(s) else (0, 0)
                 most = len(s) - -(-t * len(s) // 100) + 1 if len(s) else 0
@@ -106,8 +117,9 @@ def _prefixes(k: int, t: int, frequent):
                 n.append(len(s))
                 prefix.append(as_long(ordered))
                 odd.append(_parities(s))
+                sketch.append(_sketch(s))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), _lists(prefix), _lists(odd)], ["id", "d1", "d2", "n", "prefix", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), _lists(prefix), _lists(odd), _lists(sketch).cast(pa.list_(pa.int32()))], ["id", "d1", "d2", "n", "prefix", "odd", "sketch"])
 
     return run
 
@@ -151,6 +163,34 @@ def _repeated_tokens(maybe):
     return run
 
 
+def _beside(t: int):
+    """mapInArrow: sorted rows (order, key, node, n) into (a, na, b, nb) of neighbours that agree in half of their bins or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(1).flatten().to_numpy().reshape(-1, BINS)
+            now = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), key]
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            order, node, n, key = now
+            new = 0 if rest is None else len(rest[0])
+            out = []
+            for by in range(1, min(NEAR, len(node) - 1) + 1):
+                i = np.arange(max(new, by), len(node))
+                j = i - by
+                fits = (order[i] == order[j]) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & (2 * (key[i] == key[j]).sum(axis=1) >= BINS)
+                i, j = i[fits], j[fits]
+                first = node[i] < node[j]
+                out.append(np.stack([np.where(first, node[i], node[j]), np.where(first, n[i], n[j]), np.where(first, node[j], node[i]), np.where(first, n[j], n[i])]))
+            rest = [x[-NEAR:] for x in now]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "na", "b", "nb"])
+
+    return run
+
+
 def _possible(t: int):
     """mapInArrow: (a, na, b, nb, oa, ob) into (a, na, b, nb) of the pairs whose parities let them link."""
 
@@ -181,13 +221,13 @@ def _can(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 30):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 1000):
         self.k, self.t, self.tries, self.most_rounds, self.dense = k, percent, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
         often = spark.sparkContext.broadcast(frequent_shingles(self.docs, k))
-        self.sets = cut(self.docs.mapInArrow(_prefixes(k, percent, often), "id long, d1 long, d2 long, n long, prefix array<long>, odd array<long>"))
-        self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd")))
+        self.sets = cut(self.docs.mapInArrow(_prefixes(k, percent, often), "id long, d1 long, d2 long, n long, prefix array<long>, odd array<long>, sketch array<int>"))
+        self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd"), F.any_value("sketch").alias("sketch")))
         named = self.nodes.where("node is not null")
         shared = named.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
         maybe = spark.sparkContext.broadcast(Bloom.build(cut(shared), "h"))
@@ -210,56 +250,68 @@ class JaccardJoin:
         overlaps = each.groupBy("a", "na", "b", "nb", "da", "db").agg(F.sum("partial").alias("overlap"))
         return overlaps.where(_enough(self.t, "overlap")).groupBy("a", "na", "b", "nb").agg(F.max("overlap").alias("overlap"))
 
+    def _neighbours(self) -> DataFrame:
+        """Pairs of nodes with like sketches: neighbours in sorted lists of all sketches, each list from another bin on."""
+        nodes = self.nodes.where("node is not null").join(self.tokens.select("node").distinct(), "node", "left_semi")
+        turn = lambda i: F.concat(F.slice("sketch", i + 1, BINS - i), F.slice("sketch", 1, i))
+        keys = F.array(*(F.struct(F.lit(i).alias("order"), turn(i * BINS // ORDERS).alias("key")) for i in range(ORDERS)))
+        rows = nodes.select("node", "n", F.explode(keys).alias("k")).select("k.order", "k.key", "node", "n")
+        rows = rows.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
+        return rows.mapInArrow(_beside(self.t), "a long, na long, b long, nb long").distinct()
+
     def links(self) -> DataFrame:
         """Pairs (a, b) of nodes that link: enough of them to give every component, not all of a dense one."""
         if self._links is not None:
             return self._links
         named, found, tried, n_tokens = self.tokens.withColumn("part", F.col("node")), None, None, self.tokens.count()
-        can, rounds = _can(self.t), 0
-        while True:
-            # of each shingle: how many of its nodes there are, and the component that most of them are in
-            sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
-            met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("n")).first().n or 0
-            stars = rounds < self.most_rounds and met > self.dense * n_tokens
-            if stars:
-                # each node is tried with a few others: centres of its shingles by an order of this round, those of most shingles
-                # first; at first the nodes that meet most others, as the original of many copies does, then any
-                ranked, rank = named, F.xxhash64("node", F.lit(rounds))
-                if rounds == 0:
-                    meets = named.join(sizes, "h").groupBy("node").agg(F.sum("every").alias("meets"))
-                    ranked, rank = named.join(meets, "node"), -F.col("meets")
-                order = F.struct(rank.alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
-                centre = ranked.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
-                pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb", "i", "place as j").where(can)
-                pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
-                if tried is not None:
-                    for x, y in (("a", "b"), ("b", "a")):
-                        pairs = pairs.join(tried.toDF(x, y), ["a", "b"], "left_anti")
-                chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
-                pairs = pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb")
+        can, rounds, last = _can(self.t), 0, False
+        while not last:
+            if rounds == 0:
+                pairs = self._neighbours()
             else:
-                # of two components one isn't the one that most are in
-                others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
-                pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j"), "h").where("pa != part").where(can)
-            pairs = pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
+                # of each shingle: how many of its nodes there are, and the component that most of them are in
+                sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
+                met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("n")).first().n or 0
+                last = rounds > self.most_rounds or met <= self.dense * n_tokens
+                pairs = self._crossing(named, sizes, can) if last else self._with_centres(named, tried, can, rounds)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
-            rounds += 1
-            if not pairs.isEmpty():
-                new = cut(self._verified(pairs))
-                tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-                found = new if found is None else found.union(new)
-                if stars and not new.isEmpty():
-                    parts = components(found).select("node", F.col("component").alias("named"))
-                    named = self.tokens.join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named")
-                    named = named.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h"), "h", "left_semi")
-                    named = cut(named)
-            if not stars:
-                break
+            pairs, rounds = cut(pairs), rounds + 1
+            if pairs.isEmpty():
+                continue
+            new = cut(self._verified(pairs))
+            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+            found = new if found is None else found.union(new)
+            if not last and not new.isEmpty():
+                parts = components(found).select("node", F.col("component").alias("named"))
+                named = named.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named")
+                named = named.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h"), "h", "left_semi")
+                named = cut(named)
         self._links = found if found is not None else self.tokens.selectExpr("node as a", "n as na", "node as b", "n as nb", "0L as overlap").limit(0)
         return self._links
 
+    def _crossing(self, named: DataFrame, sizes: DataFrame, can: str) -> DataFrame:
+        """All pairs of a shingle's nodes that are in two components: one isn't in the component that most are in."""
+        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
+        pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j"), "h").where("pa != part").where(can)
+        return self._ordered(pairs)
+
+    def _with_centres(self, named: DataFrame, tried: DataFrame | None, can: str, rounds: int) -> DataFrame:
+        """Each node with a few others: centres of its shingles by an order of this round, those of most shingles first."""
+        order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
+        centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
+        pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb", "i", "place as j").where(can)
+        pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
+        if tried is not None:
+            for x, y in (("a", "b"), ("b", "a")):
+                pairs = pairs.join(tried.toDF(x, y), ["a", "b"], "left_anti")
+        chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
+        return self._ordered(pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb"))
+
+    @staticmethod
+    def _ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
+
     def membership(self) -> DataFrame:
         """(id, n_shingles, component) of every row of docs."""
         parts = components(self.links())
