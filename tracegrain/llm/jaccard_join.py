@@ -148,7 +148,7 @@ def _fragments(k: int, wanted):
 
 
 def _repeated_tokens(maybe):
-    """mapInArrow: (node, n, prefix) into (h, node, n, place) of the shingles that two nodes may have."""
+    """mapInArrow: (node, n, prefix, odd) into (h, node, n, place, o0 ... o3) of the shingles that two nodes may have; o: parities folded to 256 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +158,8 @@ def _repeated_tokens(maybe):
             row = np.repeat(np.arange(len(lists)), lengths)
             place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = np.flatnonzero(maybe.value.has(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])), pa.array(place[at])], ["h", "node", "n", "place"])
+            fold = np.array([np.bitwise_xor.reduce(o.values.to_numpy().reshape(-1, 4)) for o in batch.column(3)], np.int64).reshape(-1, 4)[row[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])), pa.array(place[at]), *(pa.array(fold[:, i].copy()) for i in range(4))], ["h", "node", "n", "place", "o0", "o1", "o2", "o3"])
 
     return run
 
@@ -231,7 +232,7 @@ class JaccardJoin:
         named = self.nodes.where("node is not null")
         shared = named.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
         maybe = spark.sparkContext.broadcast(Bloom.build(cut(shared), "h"))
-        self.tokens = cut(named.select("node", "n", "prefix").mapInArrow(_repeated_tokens(maybe), "h long, node long, n long, place long"))
+        self.tokens = cut(named.select("node", "n", "prefix", "odd").mapInArrow(_repeated_tokens(maybe), "h long, node long, n long, place long, o0 long, o1 long, o2 long, o3 long"))
         self._links = None
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -292,8 +293,9 @@ class JaccardJoin:
 
     def _crossing(self, named: DataFrame, sizes: DataFrame, can: str) -> DataFrame:
         """All pairs of a shingle's nodes that are in two components: one isn't in the component that most are in."""
-        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
-        pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j"), "h").where("pa != part").where(can)
+        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i", *(f"o{i} as p{i}" for i in range(4)))
+        differ = " + ".join(f"bit_count(o{i} ^ p{i})" for i in range(4))
+        pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j", "o0", "o1", "o2", "o3"), "h").where("pa != part").where(can).where(_enough(self.t, f"(na + nb - ({differ})) div 2"))
         return self._ordered(pairs)
 
     def _with_centres(self, named: DataFrame, tried: DataFrame | None, can: str, rounds: int) -> DataFrame:
