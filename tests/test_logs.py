@@ -143,7 +143,7 @@ def test_evidence_files(spark, tmp_path):
     out = {r.path.rsplit("/", 1)[1]: r.outcome for r in evidence.verify(before, evidence.files(spark, str(tmp_path))).collect()}
     assert out == {"a.log": "modified", "b.txt": "ok", "new": "new"}
     names = spark.createDataFrame([("auth.log.1.gz",), ("x-20240101",), ("plain",)], "n string").select(evidence.rotation(F.col("n")).alias("r")).collect()
-    assert [(r.r.base, r.r.index) for r in names] == [("auth.log", 1), ("x", 20240101), ("plain", None)]
+    assert [(r.r["base"], r.r["index"]) for r in names] == [("auth.log", 1), ("x", 20240101), ("plain", None)]
 
 
 def test_digest_is_of_all_rows_in_any_order(spark):
