@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,6 +179,8 @@ def test_extract_keeps_every_page(spark, sf_dir):
 
 # --- models
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
 
 def test_pseudo_likelihood_tells_order_from_disorder(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -207,6 +210,49 @@ def test_network_gradient():
     assert net.log_prob(context, target).mean() > before + 0.5
 
 
+@pytest.mark.parametrize("near", [0, 40, 1 << 14])
+def test_word_scores_have_each_words_share_of_its_class(spark, sf_dir, near):
+    """From plain counts of all words; a made-up word scores less than a real one of its bucket, whichever words the tasks know."""
+    from tests.llm.helpers import words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (7, ""), (8, "Twice twice"), (8, "Twice twice")], docs.schema))
+    model = masked_lm.MaskedLm(docs, rounds=1, near=near)
+    texts, odd = [r.text for r in docs.collect()], "the neverseen1 twice neverseen2 neverseen1"
+    hashed = {}
+    for chunk in masked_lm.chunks(pa.array([*texts, odd]), lower=True):
+        for row, h in chunk:
+            hashed |= dict(zip((w.translate(LOWER) for w in words([*texts, odd][row])), h, strict=True))
+    count = Counter(w.translate(LOWER) for t in texts for w in words(t))
+    of = dict(zip(hashed, masked_lm.classes_of(np.array(list(hashed.values()), np.uint64), model.frequent, model.place), strict=True))
+    total = Counter()
+    for w, n in count.items():
+        total[of[w]] += n * (of[w] >= masked_lm.FREQUENT)
+    share = {w: np.log(max(1, count[w]) / (total[c] + 1)) if (c := of[w]) >= masked_lm.FREQUENT else 0.0 for w in of}
+    every = docs.unionByName(spark.createDataFrame([(9, odd)], docs.schema))
+    plain = defaultdict(list)
+    for c, t in zip(model.score(every).collect(), (r.text for r in every.collect()), strict=True):
+        plain[c.doc_id, c.n_tokens].append(c.log_likelihood + sum(share[w.translate(LOWER)] for w in words(t)))
+    got = defaultdict(list)
+    for r in model.score_words(every).collect():
+        got[r.doc_id, r.n_tokens].append(r.log_likelihood)
+    assert plain.keys() == got.keys()
+    for k, v in plain.items():
+        assert np.allclose(sorted(v), sorted(got[k]), atol=1e-3)
+    bucket = defaultdict(list)
+    for w, n in count.items():
+        bucket[of[w]].append(n)
+    assert any(len(set(n)) > 1 for c, n in bucket.items() if c >= masked_lm.FREQUENT)
+    assert model.score_words(empty(docs)).count() == 0 == masked_lm.MaskedLm(empty(docs)).score_words(empty(docs)).count()
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 8, 11])
+def test_every_token_is_a_target(rounds):
+    h = np.random.default_rng(3).integers(0, 1 << 64, 500, np.uint64)
+    parts = [p for r in range(rounds) for p in masked_lm.parts_of(r, rounds)]
+    assert set(masked_lm.eighth(h)) <= set(parts) and (rounds > masked_lm.MASK or len(parts) == masked_lm.MASK)
+
+
 def test_ordinal_quality_on_held_out_ratings(spark, sf_dir):
     from pyspark.sql import functions as F
 

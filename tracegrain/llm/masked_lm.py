@@ -2,12 +2,15 @@
 
 A small network predicts a token from `window` tokens to its left and right: the sum of embeddings by place, a
 tanh layer, and a two-level softmax over token classes (16 groups of 16). The classes are the corpus's most frequent words
-and, for all others, buckets of their hash. Word counts cover every document.
+and, for all others, buckets of their hash. A word's share of its class, P(word | class) = n(word) / (n(class) + 1), comes from exact
+counts over every document; the counts of the whole vocabulary are a table, which grows with the corpus and meets the
+words of the texts in a join. A word that occurs once in the corpus and one that doesn't occur have the share 1 / (n(class) + 1),
+so the table keeps words that occur twice or more. The most frequent `near` at most are also told to the tasks, so no key of the join is large.
 
-Training is numpy inside tasks: in each round every task starts from the same parameters, masks an eighth of every
-document's tokens (another eighth each round) and takes gradient steps; Spark averages the tasks' parameters, weighted by
-their tokens, as rows. So all documents are learned from, and what is gathered grows with the corpus; the driver holds
-one set of parameters.
+Training is numpy inside tasks: in each round every task starts from the same parameters, masks every document's
+tokens, an eighth at a time, and takes gradient steps; Spark averages the tasks' parameters, weighted by
+their tokens, as rows. The eighths are dealt over the rounds, so that every token of every document is a target at least once,
+whatever the number of rounds; the driver holds one set of parameters.
 
 Cases: a null text is empty; without tokens the sum is 0 and the mean null. Repeated rows are scored each. On
 an empty table nothing is learned. Scores depend a little on how the input is split, as averaging does.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Bloom, cut
 from .words import as_long, chunks
 
 GROUPS = 16
@@ -58,7 +61,12 @@ class Network:
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h, rows = self.hidden(context), np.arange(len(target))
         group, member = target >> 4, target & 15
-        return _log_softmax(h @ self.group)[rows, group] + _log_softmax(np.einsum("nd,ndk->nk", h, self.member[group]))[rows, member]
+        return _log_softmax(h @ self.group)[rows, group] + _log_softmax(self._members(h, group))[rows, member]
+
+    def _members(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Of each row the scores of its group's members; one product for all groups is faster than a gathered one."""
+        every = h @ self.member.transpose(1, 0, 2).reshape(DIM + 1, CLASSES)
+        return every.reshape(-1, GROUPS, GROUPS)[np.arange(len(h)), group]
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float, memory: np.ndarray) -> None:
         """One adaptive gradient step on the mean of a batch; memory: the squares' sums."""
@@ -67,16 +75,19 @@ class Network:
         grad = Network(np.zeros_like(self.vector))
         d_group = np.exp(_log_softmax(h @ self.group))
         d_group[rows, group] -= 1
-        d_member = np.exp(_log_softmax(np.einsum("nd,ndk->nk", h, self.member[group])))
+        d_member = np.exp(_log_softmax(self._members(h, group)))
         d_member[rows, member] -= 1
         grad.group += h.T @ d_group
-        for g in np.unique(group):
-            at = group == g
-            grad.member[g] += h[at].T @ d_member[at]
-        d_h = (d_group @ self.group.T + np.einsum("ndk,nk->nd", self.member[group], d_member))[:, :DIM] * (1 - h[:, :DIM] ** 2)
+        d_class = np.zeros((len(h), GROUPS, GROUPS), np.float32)
+        d_class[rows, group] = d_member
+        d_class = d_class.reshape(-1, CLASSES)
+        grad.member += (h.T @ d_class).reshape(DIM + 1, GROUPS, GROUPS).transpose(1, 0, 2)
+        back = self.member.transpose(0, 2, 1).reshape(CLASSES, DIM + 1)
+        d_h = (d_group @ self.group.T + d_class @ back)[:, :DIM] * (1 - h[:, :DIM] ** 2)
         grad.bias += d_h.sum(axis=0)
         for i in range(2 * WINDOW):
-            np.add.at(grad.embed[i], context[:, i], d_h)
+            at = (context[:, i, None] * DIM + np.arange(DIM)).ravel()
+            grad.embed[i] += np.bincount(at, d_h.ravel(), CLASSES * DIM).reshape(CLASSES, DIM)
         g = grad.vector / len(target)
         memory += g * g
         self.vector -= rate * g / np.sqrt(memory)
@@ -109,8 +120,8 @@ def contexts(tokens: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the most frequent words, sorted, and each one's rank."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(h, n) of every word of the texts: its hash, and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,13 +129,51 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h, n = np.unique(chunk.hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n)], ["h", "n"])
 
-    counts = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the most frequent words, sorted, and each one's rank."""
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()["h"].to_numpy().view(np.uint64)
     order = np.argsort(top)
     return top[order], order
 
 
-def _trained(state, round_: int, rate: float, batch_size: int):
+class Shares:
+    """P(word | class): totals of all classes, counts of at most `near` frequent words, and the table of all others' counts."""
+
+    def __init__(self, counts: DataFrame, frequent: np.ndarray, place: np.ndarray, near: int):
+        bucket = F.lit(FREQUENT) + F.shiftrightunsigned("h", 32) % F.lit(EDGE - FREQUENT)
+        known = F.col("h").isin([int(x) for x in as_long(frequent)])
+        self.total = np.zeros(CLASSES)
+        for r in counts.where(~known).groupBy(bucket.alias("c")).agg(F.sum("n").alias("n")).collect():
+            self.total[r["c"]] = r["n"]
+        # words by their counts' bits: where the count of more frequent ones would pass `near`, the table begins
+        counts = counts.where(~known & (F.col("n") >= 2))
+        by_bits = sorted(((r["b"], r["n"]) for r in counts.groupBy(F.length(F.bin("n")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        least, seen = 1 << 62, 0
+        for b, n in by_bits:
+            seen += n
+            if seen > near:
+                break
+            least = 1 << b - 1
+        got = counts.where(F.col("n") >= least).toArrow().sort_by("h")
+        self.near, self.log_n = got["h"].to_numpy(), np.log(got["n"].to_numpy().astype(float))
+        self.table = counts.where(F.col("n") < least)
+        self.bloom = Bloom.build(self.table, "h")
+
+
+def eighth(h: np.ndarray) -> np.ndarray:
+    """Of the tokens of a chunk: which of the MASK parts masks each."""
+    return (np.arange(len(h)) * 5 + h.astype(np.int64) % 97) % MASK
+
+
+def parts_of(round_: int, rounds: int) -> list[int]:
+    """The parts that a round masks; together the rounds mask all."""
+    return [p for p in range(MASK) if p % rounds == round_] or [round_ % MASK]
+
+
+def _trained(state, parts: list[int], rate: float, batch_size: int):
     """mapInArrow: (text) into (i, v, w): the task's parameters times its tokens, and its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +182,13 @@ def _trained(state, round_: int, rate: float, batch_size: int):
         for batch in batches:
             for chunk in chunks(batch.column(0), lower=True):
                 tokens = classes_of(chunk.hash, frequent, place)
-                masked = np.flatnonzero((np.arange(len(tokens)) * 5 + chunk.hash.astype(np.int64) % 97 + round_) % MASK == 0)
-                if not len(masked):
-                    continue
-                context = contexts(tokens, chunk.bound)[masked]
-                target = tokens[masked]
-                for at in range(0, len(masked), batch_size):
-                    net.step(context[at : at + batch_size], target[at : at + batch_size], rate, memory)
-                seen += len(masked)
+                around, part = contexts(tokens, chunk.bound), eighth(chunk.hash)
+                for p in parts:
+                    masked = np.flatnonzero(part == p)
+                    context, target = around[masked], tokens[masked]
+                    for at in range(0, len(masked), batch_size):
+                        net.step(context[at : at + batch_size], target[at : at + batch_size], rate, memory)
+                    seen += len(masked)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vector))), pa.array(net.vector.astype(float) * seen), pa.array(np.full(len(vector), float(seen)))], ["i", "v", "w"])
 
@@ -148,37 +196,74 @@ def _trained(state, round_: int, rate: float, batch_size: int):
 
 
 class MaskedLm:
-    """Trained on docs; params are bounded by the network's size, whatever the corpus."""
+    """Trained on docs; the network's size is fixed, the words' counts are a table."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float = 0.05, batch_size: int = 512, seed: int = 0):
+    def __init__(self, docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float = 0.05, batch_size: int = 512, seed: int = 0, near: int = 1 << 14):
         texts, spark = docs.select(F.col(text_col).alias("text")), docs.sparkSession
-        self.frequent, self.place = frequent_words(texts)
+        counts = cut(word_counts(texts))
+        self.frequent, self.place = frequent_words(counts)
+        self.shares = Shares(counts, self.frequent, self.place, near)
         self.network = Network.start(seed)
         for r in range(rounds):
             state = spark.sparkContext.broadcast((self.network.vector, self.frequent, self.place))
-            each = texts.mapInArrow(_trained(state, r, rate, batch_size), "i long, v double, w double")
+            each = texts.mapInArrow(_trained(state, parts_of(r, rounds), rate, batch_size), "i long, v double, w double")
             mean = cut(each.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))).toArrow().sort_by("i")
             if mean.num_rows:
                 self.network = Network(mean["v"].to_numpy().astype(np.float32))
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, n_tokens, log_likelihood, mean_log_prob) of every row."""
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        state = docs.sparkSession.sparkContext.broadcast((self.network.vector, self.frequent, self.place))
+    def _scored(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, row, n, classes, words, rest) of every row: the network's sum over classes, the sum of the shares' logarithms without
+        those of the counts in the table, and the hashes that the table may have."""
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+        shares = self.shares
+        state = docs.sparkSession.sparkContext.broadcast((self.network.vector, self.frequent, self.place, np.log(shares.total + 1), shares.near.view(np.uint64), shares.log_n, shares.bloom))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vector, frequent, place = state.value
+            vector, frequent, place, log_total, near, log_n, bloom = state.value
+            order = np.argsort(near)
+            near, log_n = near[order], log_n[order]
             net = Network(vector)
             for batch in batches:
-                total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                total, share, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                rest, ends = [np.empty(0, np.int64)], np.zeros(batch.num_rows + 1, np.int64)
                 for chunk in chunks(batch.column(1), lower=True):
                     tokens = classes_of(chunk.hash, frequent, place)
                     context, scores = contexts(tokens, chunk.bound), np.empty(len(tokens))
                     for at in range(0, len(tokens), 8192):
                         scores[at : at + 8192] = net.log_prob(context[at : at + 8192], tokens[at : at + 8192])
-                    sums = np.concatenate([[0.0], np.cumsum(scores)])
-                    n[chunk.row : chunk.row + chunk.n] = np.diff(chunk.bound)
-                    total[chunk.row : chunk.row + chunk.n] = np.diff(sums[chunk.bound])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 4)), pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)], ["id", "n_tokens", "log_likelihood", "mean_log_prob"])
+                    factor, other = -log_total[tokens], tokens >= FREQUENT
+                    if len(near):
+                        i = np.minimum(np.searchsorted(near, chunk.hash), len(near) - 1)
+                        found = near[i] == chunk.hash
+                        factor[found] += log_n[i[found]]
+                        other &= ~found
+                    at = np.flatnonzero(other)
+                    at = at[bloom.has(as_long(chunk.hash[at]))]
+                    rest.append(as_long(chunk.hash[at]))
+                    here = slice(chunk.row, chunk.row + chunk.n)
+                    ends[chunk.row + 1 : chunk.row + chunk.n + 1] = np.diff(np.searchsorted(at, chunk.bound))
+                    n[here] = np.diff(chunk.bound)
+                    for out, values in ((total, scores), (share, factor)):
+                        out[here] = np.diff(np.concatenate([[0.0], np.cumsum(values)])[chunk.bound])
+                rest = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(np.concatenate(rest)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(total), pa.array(share), rest], ["id", "row", "n", "classes", "words", "rest"])
+
+        return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, n long, classes double, words double, rest array<long>")
+
+    @staticmethod
+    def _named(scored: DataFrame, total, id_col: str) -> DataFrame:
+        mean = F.when(F.col("n") > 0, F.round(total / F.col("n"), 6))
+        return scored.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.round(total, 4).alias("log_likelihood"), mean.alias("mean_log_prob"))
 
-        return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_prob double").withColumnRenamed("id", id_col)
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, n_tokens, log_likelihood, mean_log_prob) of every row, of the network's classes instead of words."""
+        return self._named(self._scored(docs, id_col, text_col), F.col("classes"), id_col)
+
+    def score_words(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, n_tokens, log_likelihood, mean_log_prob) of every row: each word's class by the network times its share of the class."""
+        # row numbers are those of the table that is written, whatever ran twice
+        scored = cut(self._scored(docs, id_col, text_col))
+        words = scored.select("row", F.explode("rest").alias("h")).join(self.shares.table, "h")
+        more = words.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        both = scored.drop("rest").join(more, "row", "left")
+        return self._named(both, F.col("classes") + F.col("words") + F.coalesce("more", F.lit(0.0)), id_col)

@@ -38,7 +38,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return MaskedLm(docs).score(docs)
+    return MaskedLm(docs).score_words(docs)
 
 
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
