@@ -86,6 +86,21 @@ def test_terms_that_disclose_an_entity(spark):
         assert r.doc_id < 100 or r.text == dict(rows)[r.doc_id]
 
 
+def test_terms_go_where_the_entity_is_not_named_and_copies_count_once(spark):
+    """A codename leaks where the address is missing; 2,000 copies of one text change no estimate."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"c{rng.randrange(60)}" for _ in range(n))
+    rows = [(i, f"{say(40)} ann@host.example.org {say(30)} codename77 {say(5)}") for i in range(4)]
+    rows += [(10 + i, rows[0][1]) for i in range(2000)] + [(9000, f"{say(30)} Codename77 {say(9)}")] + [(10_000 + i, say(90)) for i in range(3000)]
+    found = pii.Pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: r.terms for r in found.spans().collect()}
+    for i, text in rows:
+        assert {text[s.start : s.end].lower() for s in spans[i]} == ({"codename77"} if i < 10_000 else set())
+    ratio = found.terms.select("ratio").collect()
+    assert len(ratio) == 1 and abs(ratio[0].ratio - (1 - np.log(5 / 4) / np.log(3006 / 4))) < 1e-9
+    assert found.sanitise().where("lower(text) like '%codename77%'").count() == 0
+
+
 def test_sanitise_keeps_rows(spark):
     docs = odd_documents(spark)
     clean = pii.Pii(docs).sanitise()

@@ -1,18 +1,18 @@
 """Personal data: base patterns, and terms that reveal the entities they find.
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. What else points to them is
-estimated from the corpus: around each entity's every mention lies a context of `window` words on both
-sides, and a term of those contexts discloses the entity by how much of the entity's information it carries,
+estimated from the corpus: a term of the documents that mention an entity discloses it by how much of the entity's information it carries,
 
     PMI(entity; term) / IC(entity) = 1 - log(n(term) / n(entity, term)) / log(N / n(entity)),
 
-with n(entity) and n(entity, term) counted in distinct contexts (copies of a document count once), n(term) and N in
-documents. In documents that mention the entity, a term with `support` contexts and a ratio of
+with n(entity), n(term), n(entity, term) and N all counted in distinct texts (copies of a document count once), wherever in
+a text the two stand. Only entities with `support` different contexts (`window` words on both sides of a mention) count, and
+only pairs with `support` texts. In every document, whether it mentions the entity or not, a term with a ratio of
 `generalise` or more is replaced by its shape, one of `remove` or more is removed.
 
-Counts cover all documents: only contexts' words shuffle, and only words that a context has are counted
-in the corpus; a Bloom filter of fixed size tells the tasks which. Spans are found from the text alone, so they are
-keyed by the text's hash and length; texts don't shuffle for finding them.
+Counts cover all documents: words shuffle only from texts that mention such an entity, and only words of these texts are counted
+in the corpus; a Bloom filter of fixed size tells the tasks which. Of texts only those that may have a copy shuffle. Spans are
+found from the text alone, so they are keyed by the text's hash and length.
 
 A term is a word as white space ends it, A-Z lower-cased. Cases: a null text is empty and has no span; it stays
 null when sanitised. Repeated rows get the same spans each. Null ids are kept; other columns pass through.
@@ -33,6 +33,8 @@ from .shared import Bloom, cut
 from .words import as_long, chunks, mix
 
 KINDS = ("email", "ip", "card", "phone")
+#: Keys over which a term's mentions are dealt.
+SALTS = 16
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 _DIGIT = re.compile("[0-9]")
@@ -123,22 +125,46 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(window: int):
-    """mapInArrow: (text, h, n) into (entity, context, terms): the words around every mention of an entity."""
+    """mapInArrow: (text, h, n) into (entity, context, first): a hash of the words around every mention, and 1 for an entity's first in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [base_spans(t.as_py() or "") for t in batch.column(0)]
             out: list[list] = [[], [], []]
             for row, doc in _docs(batch, 0, np.array([bool(f) for f in found], bool)):
-                text, spans = batch.column(0)[row].as_py(), [{"start": a, "end": b} for _, a, b in found[row]]
+                text, spans, seen = batch.column(0)[row].as_py(), [{"start": a, "end": b} for _, a, b in found[row]], set()
                 free = np.flatnonzero(~_inside(doc, spans))
                 for kind, a, b in found[row]:
                     left = np.searchsorted(free, np.searchsorted(doc.start, a))
                     near = doc.hash[free[max(0, left - window) : left + window]]
                     out[0].append(_entity(kind, text[a:b]))
                     out[1].append(int(np.bitwise_xor.reduce(mix(near + np.arange(len(near), dtype=np.uint64)))) if len(near) else 0)
-                    out[2].append(as_long(np.unique(near)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).view(np.int64)), pa.array(out[2], pa.list_(pa.int64()))], ["entity", "context", "terms"])
+                    out[2].append(int(out[0][-1] not in seen))
+                    seen.add(out[0][-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).view(np.int64)), pa.array(out[2], pa.int64())], ["entity", "context", "first"])
+
+    return run
+
+
+def _together(entities):
+    """mapInArrow: (text, h, n) into (entity, terms): the words of a text for each of its entities that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, wanted = [], []
+            for t in batch.column(0):
+                text = t.as_py() or ""
+                spans = base_spans(text)
+                of = np.array(sorted({_entity(kind, text[a:b]) for kind, a, b in spans}), np.int64)
+                found.append(spans)
+                wanted.append(of[entities.value.has(of)])
+            out: list[list] = [[], []]
+            for row, doc in _docs(batch, 0, np.array([bool(len(w)) for w in wanted], bool)):
+                terms = as_long(np.unique(doc.hash[~_inside(doc, [{"start": a, "end": b} for _, a, b in found[row]])]))
+                for entity in wanted[row]:
+                    out[0].append(entity)
+                    out[1].append(terms)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], ["entity", "terms"])
 
     return run
 
@@ -159,38 +185,61 @@ def _frequencies(terms):
     return run
 
 
-def _mentions(pairs):
-    """mapInArrow: (text, h, n) into (h, n, entity, term, start, end) of the pairs that may disclose."""
+def _mentions(terms):
+    """mapInArrow: (text, h, n) into (h, n, term, start, end) of the words outside base spans that may disclose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "n", "entity", "term", "start", "end"]
+        names = ["h", "n", "term", "start", "end"]
         for batch in batches:
-            found = [base_spans(t.as_py() or "") for t in batch.column(0)]
             out: list[list] = [[] for _ in names]
-            for row, doc in _docs(batch, 0, np.array([bool(f) for f in found], bool)):
-                text = batch.column(0)[row].as_py()
-                free = np.flatnonzero(~_inside(doc, [{"start": a, "end": b} for _, a, b in found[row]]))
-                for entity in {_entity(kind, text[a:b]) for kind, a, b in found[row]}:
-                    for i in free[pairs.value.has(as_long(doc.hash[free]) ^ np.int64(entity))]:
-                        for to, v in zip(out, (batch.column(1)[row].as_py(), batch.column(2)[row].as_py(), entity, int(as_long(doc.hash[i : i + 1])[0]), int(doc.start[i]), int(doc.end[i])), strict=True):
-                            to.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            for chunk in chunks(batch.column(0), lower=True):
+                may = np.flatnonzero(terms.value.has(chunk.hash))
+                for row in np.unique(np.searchsorted(chunk.bound, may, "right") - 1) + chunk.row:
+                    doc = _Doc(chunk, row)
+                    inside = _inside(doc, [{"start": a, "end": b} for _, a, b in base_spans(batch.column(0)[int(row)].as_py())])
+                    at = np.flatnonzero(~inside & terms.value.has(doc.hash))
+                    for to, v in zip(out, ([batch.column(1)[int(row)].as_py()] * len(at), [batch.column(2)[int(row)].as_py()] * len(at), as_long(doc.hash[at]), doc.start[at], doc.end[at]), strict=True):
+                        to.extend(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8) -> DataFrame:
-    """(entity, term, ratio) of the pairs whose ratio is at least generalise; hashes stand for both."""
-    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
-    contexts = texts.withColumns({"h": F.lit(0), "n": F.lit(0)}).mapInArrow(_contexts(window), "entity long, context long, terms array<long>")
-    contexts = cut(contexts.dropDuplicates(["entity", "context"]))
-    often = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    pairs = cut(pairs.join(often, "entity"))
+def _key(text):
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(t).alias("h"), F.length(t).alias("n")
+
+
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, h, n): every text once; only texts whose hash may occur twice shuffle."""
+    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_key(F.col(text_col)))
+    twice = cut(keyed.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.build(twice, "h"))
+
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
+
+    keyed = keyed.withColumn("__maybe", maybe("h"))
+    once = cut(keyed.where("__maybe").drop("__maybe").dropDuplicates(["h", "n"]))
+    return keyed.where("not __maybe").drop("__maybe").unionByName(once)
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8, texts: DataFrame | None = None) -> DataFrame:
+    """(entity, term, ratio) of the pairs whose ratio is at least generalise; hashes stand for both. texts: distinct_texts(docs), if there."""
+    spark, texts = docs.sparkSession, distinct_texts(docs, text_col) if texts is None else texts
+    contexts = texts.mapInArrow(_contexts(window), "entity long, context long, first long").groupBy("entity", "context").agg(F.sum("first").alias("first"))
+    often = contexts.groupBy("entity").agg(F.sum("first").alias("n_entity"), F.count(F.lit(1)).alias("n_contexts"))
+    often = cut(often.where((F.col("n_entity") >= support) & (F.col("n_contexts") >= support)).select("entity", "n_entity"))
+    entities = spark.sparkContext.broadcast(Bloom.build(often, "entity"))
+    pairs = texts.mapInArrow(_together(entities), "entity long, terms array<long>").select("entity", F.explode("terms").alias("term"))
+    pairs = cut(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).join(often, "entity"))
     terms = spark.sparkContext.broadcast(Bloom.build(pairs.select("term").distinct(), "term"))
-    counts = texts.mapInArrow(_frequencies(terms), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
-    total = float(max(2, docs.count()))
+    counts = texts.select("text").mapInArrow(_frequencies(terms), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
+    total = float(max(2, texts.count()))
     ratio = 1 - F.log(F.greatest("n_term", "n_both") / F.col("n_both")) / F.log(F.lit(total + 1) / F.least("n_entity", F.lit(total)))
     return cut(pairs.join(counts, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise))
 
@@ -200,28 +249,25 @@ class Pii:
 
     def __init__(self, docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95):
         self.docs, self.text_col = docs, text_col
-        self.terms = disclosing_terms(docs, text_col, window, support, generalise).withColumn("kind", F.when(F.col("ratio") >= remove, "term").otherwise("hint"))
-        self._keyed = docs.select(F.col(text_col).alias("text"), *self._key(F.col(text_col)))
+        self._texts = distinct_texts(docs, text_col)
+        self.terms = disclosing_terms(docs, text_col, window, support, generalise, self._texts).withColumn("kind", F.when(F.col("ratio") >= remove, "term").otherwise("hint"))
         self._found = None
 
-    @staticmethod
-    def _key(text):
-        t = F.coalesce(text, F.lit(""))
-        return F.xxhash64(t).alias("h"), F.length(t).alias("n")
-
     def term_spans(self) -> DataFrame:
         """(h, n, terms): of each text (its hash and length) that has them, the terms' spans; kind term: to remove, hint: to generalise."""
         if self._found is None:
-            keys = self.terms.select(F.col("entity").bitwiseXOR(F.col("term")).alias("key")).distinct()
-            keys = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(keys, "key"))
-            maybe = self._keyed.mapInArrow(_mentions(keys), "h long, n int, entity long, term long, start int, end int")
-            spans = maybe.join(self.terms, ["entity", "term"]).groupBy("h", "n", "start", "end").agg(F.max("kind").alias("kind"))
+            terms = cut(self.terms.groupBy("term").agg(F.max("kind").alias("kind")))
+            bloom = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(terms, "term"))
+            maybe = self._texts.mapInArrow(_mentions(bloom), "h long, n int, term long, start int, end int")
+            # a term may stand in many texts, so it is dealt over SALTS keys
+            salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            spans = maybe.withColumn("salt", F.pmod(F.xxhash64("h", "start"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
             self._found = cut(spans.groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")))
         return self._found
 
     def spans(self, id_col: str = "doc_id") -> DataFrame:
         """(id, base, terms) of every row: arrays of (kind, start, end)."""
-        found = self.docs.select(F.col(self.text_col).alias("text"), F.col(id_col).alias("id"), *self._key(F.col(self.text_col)))
+        found = self.docs.select(F.col(self.text_col).alias("text"), F.col(id_col).alias("id"), *_key(F.col(self.text_col)))
         id_type = found.schema["id"].dataType.simpleString()
 
         def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +285,7 @@ class Pii:
         """
         spark, columns = self.docs.sparkSession, self.docs.columns
         bloom = spark.sparkContext.broadcast(Bloom.build(self.term_spans(), "h"))
-        keyed = self.docs.withColumn("__h", self._key(F.col(self.text_col))[0]).withColumn("__n", self._key(F.col(self.text_col))[1])
+        keyed = self.docs.withColumn("__h", _key(F.col(self.text_col))[0]).withColumn("__n", _key(F.col(self.text_col))[1])
 
         @F.pandas_udf("boolean")
         def maybe(h):
