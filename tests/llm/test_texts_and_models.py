@@ -179,6 +179,16 @@ def test_odd_pages(source, text):
     assert html_text.main_text(source, {}) == text
 
 
+@pytest.mark.parametrize(("start", "end"), [
+    ('<body class="has-sidebar"><article>', "</article>"), ('<body class="sidebar comments-open"><article>', "</article>"), ('<body><div class="content no-sidebar">', "</div>"),
+    ('<body><article class="post header-fixed comments-open">', "</article>"), ('<body><main id="search">', "</main>"),
+])
+def test_class_words_of_the_page_delete_no_content(start, end):
+    body = '<h2 id="share-prices">Share prices</h2><p>Twelve plain words of an article stand here for everyone to read.</p><h3 id="search">Trees</h3><p>Some more words.</p><math><mi>x</mi></math>'
+    text = html_text.main_text(f"<html>{start}{body}{end}<div class='ad'>Buy</div></body></html>", {})
+    assert text == "Share prices\nTwelve plain words of an article stand here for everyone to read.\nTrees\nSome more words.\nx"
+
+
 def test_extract_keeps_every_page(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     more = spark.createDataFrame([(None, "u", None), (1, "u", ""), (2, None, "<div>" * 3000 + "deep words here" + "</div>" * 3000), (2, None, PAGE.format(f"<article>{BODY * 300}</article>"))], pages.schema)

@@ -4,7 +4,8 @@ A page is a sequence of words, which score positive, and tags, which score negat
 the contiguous part of the highest sum. Tags' weights come from pages whose markup labels their content (an
 article element): a tag that stands outside the article more often than inside costs more, by the logarithm of
 the ratio; tags are told apart by name, direction and class words. The labelled pages are a bounded sample,
-`max_labelled`, of the lowest hashes of the id. Elements that are never content (menus, forms, adverts, ...) score no words.
+`max_labelled`, of the lowest hashes of the id. Elements that are never content (menus, forms, adverts, ...; by name, role or a whole
+class token or id) score no words; a class or id of which only a piece says so makes its tag cost more, and the scan decides.
 Where the region lies in an article or main element, that element's bounds replace the region's; else those of the
 smallest section of the page (div, section, table cell) that holds all of it, if there is one below the body.
 
@@ -31,7 +32,7 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = {"br", "td", "th"}
-NEVER = set("head nav aside form footer noscript template svg math select button dialog menu object audio video canvas".split())
+NEVER = set("head nav aside form footer noscript template svg select button dialog menu object audio video canvas".split())
 PAGE_ONLY = {"header"}
 SECTIONS = {"div", "section", "td", "article", "main", "center"}
 CONTENT = {"article", "main"}
@@ -42,6 +43,10 @@ NOT_CONTENT = set(
     "header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist respond replies disqus widget toolbar search".split()
 )
+#: Elements whose class and id say what the page or a heading has, not what the element is.
+NEUTRAL = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: What a tag costs more of whose class or id a piece, but no whole token, is in NOT_CONTENT; such keys start with the mark.
+DOUBT, DOUBT_MARK = 8.0, "?"
 NOT_CONTENT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
@@ -127,8 +132,8 @@ class Page:
                     break
         elif name not in VOID:
             if attrs.strip():
-                never, words = _never_content(attrs, self._state()[1] >= 0)
-                key += "".join(f".{w}" for w in words)
+                never, doubt, words = _never_content(attrs, self._state()[1] >= 0, name in NEUTRAL)
+                key = DOUBT_MARK * doubt + key + "".join(f".{w}" for w in words)
             if name in BLOCKS and self._open and self._open[-1][0] in CLOSED_BY_BLOCK:
                 self._open.pop()
             inside, element = self._state()
@@ -155,25 +160,32 @@ class Page:
         self._end_block()
 
 
-def _never_content(attrs: str, inside: bool = False) -> tuple[bool, list[str]]:
-    """Whether the attributes say that the element isn't content, and the class words that tell tags apart.
+def _never_content(attrs: str, inside: bool = False, neutral: bool = False) -> tuple[bool, bool, list[str]]:
+    """Whether the attributes say that the element isn't content, whether they raise a doubt, and the class words that tell tags apart.
 
-    inside: in an article or main element, whose own header is content.
+    inside: in an article or main element, whose own header is content. neutral: class and id say nothing of the element.
     """
     words: list[str] = []
-    never = False
+    never = doubt = False
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             found = _CLASS_WORD.findall(value)
-            never |= not NOT_CONTENT.isdisjoint(w for w in found if not (inside and w == "header"))
+            if not neutral:
+                never |= not NOT_CONTENT.isdisjoint(w for w in value.split() if not (inside and w == "header"))
+                doubt |= not NOT_CONTENT.isdisjoint(w for w in found if not (inside and w == "header"))
             if name == "class":
                 words += sorted(set(found))[:4]
         elif name == "role":
             never |= value in NOT_CONTENT_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             never = True
-    return never, words
+    return never, doubt and not never, words
+
+
+def _cost(key: str, weights: dict[str, float], default: float) -> float:
+    plain = key.removeprefix(DOUBT_MARK)
+    return weights.get(plain, weights.get(plain.split(".")[0], default)) + DOUBT * (plain != key)
 
 
 def best_region(page: Page, weights: dict[str, float], default: float) -> tuple[int, int]:
@@ -182,7 +194,7 @@ def best_region(page: Page, weights: dict[str, float], default: float) -> tuple[
     start = 0
     found = (0, 0)
     for i, (key, words, _) in enumerate(page.events):
-        total += words if key is None else -weights.get(key, weights.get(key.split(".")[0], default))
+        total += words if key is None else -_cost(key, weights, default)
         if total > best:
             best, found = total, (start, i + 1)
         elif total <= 0:
@@ -240,6 +252,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 depth = 0
                 for key, _, _ in Page(source.as_py() or "").events:
                     if key is not None:
+                        key = key.removeprefix(DOUBT_MARK)
                         name = key.split(".")[0]
                         depth -= name == "/article" and depth > 0
                         (inside if depth and name != "article" else outside)[key] += 1
