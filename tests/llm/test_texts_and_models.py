@@ -339,6 +339,23 @@ def test_packing(spark, sf_dir, which):
     assert packing.pack(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t "])
+def test_a_million_blanks(blank):
+    encode = packing.Encoder(*packing.default_paths())
+    for text in ("some words" + blank * (1_000_000 // len(blank)) + "end", blank * 1_000_000, "a" + blank * 6000 + "b"):
+        assert list(encode(text)) == encode.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_what_the_fast_encoder_cannot_read_goes_to_the_other():
+    class Raises:
+        def encode_to_numpy(self, *args, **more):
+            raise ValueError("Max stack size exceeded for backtracking")
+
+    encode = packing.Encoder(*packing.default_paths())
+    ids, encode.fast = list(encode("two words")), Raises()
+    assert list(encode("two words")) == ids
+
+
 def test_packing_over_shards_and_back_to_ids(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = packing.pack(docs, shard_rows=50, with_ids=True)

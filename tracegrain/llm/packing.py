@@ -26,10 +26,20 @@ from pyspark.sql import functions as F
 
 #: Beyond these, libraries' tables of letters and numbers may be of different Unicode versions.
 _OTHER = re.compile("[^\x00-ɏ‐-‧€]|<\\|")
+#: The fast library's stack ends in white space of some hundred thousand characters; runs of twice this go to the other, some shorter ones too.
+BLANKS = 5000
+
+
+def _long_blank(text: str) -> bool:
+    """Whether white space fills one of the pieces of BLANKS characters that lie one after another; linear."""
+    return any(text[i].isspace() and text[i : i + BLANKS].isspace() for i in range(0, len(text) - BLANKS + 1, BLANKS))
 
 
 class Encoder:
-    """Ids of the tokenizer file at path; the byte-pair ranks at ranks_path, if given, serve texts that both read alike, faster."""
+    """Ids of the tokenizer file at path; the byte-pair ranks at ranks_path, if given, serve texts that both read alike, faster.
+
+    Texts with a long run of white space, and those on which the fast library raises, go to the tokenizer file too.
+    """
 
     def __init__(self, path: str, ranks_path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,9 +55,12 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or _OTHER.search(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        if self.fast is not None and not _OTHER.search(text) and not _long_blank(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+            except Exception:  # whatever it can't read, the other can
+                pass
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def default_paths() -> tuple[str, str]:
