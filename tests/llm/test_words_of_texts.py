@@ -70,6 +70,15 @@ def test_quality_statistics_and_base_rules(docs, spark, sf_dir):
     assert quality_rules.quality_rules(docs, labels.where("1 = 0")).where("kept = base_failed").count() == 0
 
 
+def test_windows_whose_hashes_share_40_bits_are_not_equal(spark):
+    """The hashes of the windows 'w1482728 x y' and 'w2761922 x y' differ in their low 24 bits only."""
+    a, b = "w1482728 x y", "w2761922 x y"
+    texts = [f"{a} q1 q2 {b}", f"{a} q1 q2 {b} q3 q4 {a}", f"{a} q1 {b} q2 {a} q3 {b}", f"{a} q1 {a}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality_rules.statistics(docs).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in got] == [base_statistics(t)["n_repeat_words"] for t in texts] == [0, 6, 12, 6]
+
+
 def test_quality_rules_learn_a_list():
     rows = [{f: 0.1 for f in quality_rules.FEATURES} | {"symbol_share": 0.9 if i % 4 == 0 else 0.01, "mean_word": float(i % 7), "bad": int(i % 4 == 0), "part": i % 3} for i in range(400)]
     rules = quality_rules.learn(rows)

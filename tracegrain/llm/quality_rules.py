@@ -53,15 +53,14 @@ def words_of(text: Column) -> Column:
 def _with_repeated_words(df: DataFrame) -> DataFrame:
     """df with n_repeat_words, from __h, the word hashes: the words in 3-word windows that occur twice or more.
 
-    A window's hash and its place share a long (the place in the low 24 bits), so that a sort of longs
-    brings equal windows together. Beyond 2**24 words the windows are sorted as structs.
+    Windows are equal if all 64 bits of their hashes are, which a sort of (hash, place) tells. Up to 2**24 words, a window's
+    first 40 bits and its place share a long, and a faster sort of longs tells first which windows may have an equal.
     """
     n, at = F.size("__h"), lambda i: F.get("__h", i)
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
     df = df.withColumn("__w", F.when(n >= 3, windows).otherwise(F.array().cast("array<long>")))
     place, few = F.lit((1 << 24) - 1).cast("long"), n <= 1 << 24
     df = df.withColumn("__s", F.when(few, F.sort_array(F.transform("__w", lambda h, i: h.bitwiseAND(F.lit(-1 << 24).cast("long")).bitwiseOR(i.cast("long"))))))
-    df = df.withColumn("__l", F.when(~few, F.sort_array(F.transform("__w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
 
     def equal(s: str, key) -> Column:
         """The entries of a sorted array whose key is also the one before or after."""
@@ -69,13 +68,15 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
         return F.filter(s, lambda x, i: near(x, i + 1) | near(x, i - 1))
 
     short = F.transform(equal("__s", lambda x: F.shiftright(x, 24)), lambda x: x.bitwiseAND(place).cast("int"))
-    long = F.transform(equal("__l", lambda x: x["h"]), lambda x: x["i"])
+    df = df.withColumn("__m", F.when(few, F.transform(short, lambda i: F.struct(F.get("__w", i).alias("h"), i.alias("i")))).otherwise(F.transform("__w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("__l", F.sort_array("__m"))
+    places = F.transform(equal("__l", lambda x: x["h"]), lambda x: x["i"])
     # of a window, the words past the end of the window before it
     words = F.aggregate(
-        F.sort_array(F.when(few, short).otherwise(long)), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).alias("last")),
+        F.sort_array(places), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-3).alias("last")),
         lambda acc, p: F.struct((acc["sum"] + F.least(F.lit(3), p - acc["last"])).alias("sum"), p.alias("last")), lambda acc: acc["sum"],
     )
-    return df.withColumn("n_repeat_words", words).drop("__w", "__s", "__l")
+    return df.withColumn("n_repeat_words", words).drop("__w", "__s", "__m", "__l")
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
