@@ -160,6 +160,14 @@ def test_indicators(spark):
     assert iocs.rollup(iocs.extract(df, "id", "t")).where("type = 'ipv4'").select(iocs.stix_pattern().alias("p")).orderBy("p").first().p == "[ipv4-addr:value = '10.0.0.1']"
 
 
+@pytest.mark.parametrize(("kind", "size"), [("md5", 32), ("sha256", 64)])
+def test_adjacent_hashes(spark, kind, size):
+    hashes = [f"{i:0{size}x}" for i in range(10)]
+    df = spark.createDataFrame([(1, " ".join(hashes)), (2, ",".join(hashes)), (3, "a" * (size + 1)), (4, f"x{hashes[1]}g{hashes[2].upper()}")], "id long, t string")
+    got = sorted((r.id, r.value) for r in iocs.extract(df, "id", "t", (kind,)).collect())
+    assert got == sorted([(i, h) for i in (1, 2) for h in hashes] + [(4, hashes[1]), (4, hashes[2])])
+
+
 def test_findings_of_reviewed_state(spark):
     stored = spark.createDataFrame([("a", 1, "open"), ("b", 2, "accepted"), ("c", 3, "rejected"), ("d", 1, "open")], "fingerprint string, n_events long, status string")
     new = spark.createDataFrame([("a", 5), ("b", 6), ("e", 1)], "fingerprint string, n_events long")
