@@ -189,6 +189,23 @@ def test_class_words_of_the_page_delete_no_content(start, end):
     assert text == "Share prices\nTwelve plain words of an article stand here for everyone to read.\nTrees\nSome more words.\nx"
 
 
+@pytest.mark.parametrize("size", [10, 5000, 300_000])
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_values_hold_markup(size, quote):
+    value = "x" * size + "<b>leak</b>tail"
+    assert html_text.main_text(f"<article><div data-x={quote}{value}{quote}>text</div></article>", {}) == "text"
+    assert html_text.main_text(f"<article><div data-x={quote}y>text</div><p>more</p></article>", {}) == "text\nmore"
+
+
+def test_quotes_without_an_end_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    html_text.Page('<a "x>" ' * 30_000 + '"')
+    html_text.Page("<a '" * 30_000 + "<p>x")
+    assert time.monotonic() - start < 20
+
+
 def test_extract_keeps_every_page(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     more = spark.createDataFrame([(None, "u", None), (1, "u", ""), (2, None, "<div>" * 3000 + "deep words here" + "</div>" * 3000), (2, None, PAGE.format(f"<article>{BODY * 300}</article>"))], pages.schema)

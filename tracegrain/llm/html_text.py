@@ -49,7 +49,8 @@ NEUTRAL = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"
 DOUBT, DOUBT_MARK = 8.0, "?"
 NOT_CONTENT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TO_QUOTE = re.compile("[^\"'>]*")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _CLASS_WORD = re.compile("[a-z0-9]+")
 
@@ -70,6 +71,7 @@ class Page:
         self._open: list[tuple[str, bool, int, int]] = []  # name, not content, content element, section
         self._text: list[str] = []
         self._elements = 0
+        self._no_end: set[int] = set()  # opening quotes from which no tag's end is found
         self._read(source)
         self._end_block()
 
@@ -89,6 +91,23 @@ class Page:
                 self.blocks.append((text, element, not never))
                 self.section.append(self._section())
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """Of a tag from behind its name, the place of its `>` outside quoted values; else of the first `>`; -1 if there is none.
+
+        A quote from which an earlier tag found no end has none for this one, so a page is read in linear time.
+        """
+        start, quotes = at, []
+        while (at := _TO_QUOTE.match(source, at).end()) < len(source):
+            if source[at] == ">":
+                return at
+            quotes.append(at)
+            to = -1 if at in self._no_end else source.find(source[at], at + 1)
+            if to < 0:
+                break
+            at = to + 1
+        self._no_end.update(quotes)
+        return source.find(">", start)
+
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
         while at < end:
@@ -106,15 +125,15 @@ class Page:
                 to = source.find(">", lt)
                 at = end if to < 0 else to + 1
             elif m := _TAG.match(source, lt):
-                at = m.end()
-                name, closing, attrs = (m[2] or m[5]).lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
+                to = self._tag_end(source, m.end())
+                if to < 0:
+                    return  # a tag cut off by the page's end
+                at, name, closing, attrs = to + 1, m[2].lower(), bool(m[1]), source[m.end() : to]
                 if name in RAW and not closing:
                     m = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(source, at)
                     at = end if m is None else m.end()
                     continue
                 self._tag(name, closing, attrs)
-            elif re.match("</?[a-zA-Z]", source[lt : lt + 3]):
-                return  # a tag cut off by the page's end
             else:
                 self._text.append("<")
                 at = lt + 1
