@@ -153,6 +153,20 @@ def test_digest_is_of_all_rows_in_any_order(spark):
     assert one.digest != evidence.digest(df.withColumn("v", F.when(F.col("id") == 3, "other").otherwise(F.col("v"))), "id", "v").first().digest
 
 
+def test_digest_equals_a_plain_version(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    parts = defaultdict(lambda: [0] * 7)
+    for i in range(500):
+        d, part = sha(f"{i}\tv{i}"), parts[sha(str(i))[:2]]
+        for j in range(6):
+            part[j] += int(d[12 * j : 12 * j + 12], 16)
+        part[6] += 1
+    expected = sha(",".join(":".join(map(str, (p, *v))) for p, v in sorted(parts.items())))
+    assert evidence.digest(spark.range(500).selectExpr("id", "concat('v', id) as v"), "id", "v").first().digest == expected
+
+
 def test_indicators(spark):
     df = spark.createDataFrame([(1, "see http://Evil.Example.com/x?y and 8.8.8.8, 10.0.0.1 or 999.1.1.1"), (2, "D41D8CD98F00B204E9800998ECF8427E /tmp/.x/run"), (3, None)], "id long, t string")
     got = {(r.id, r.type, r.value, r.tag) for r in iocs.extract(df, "id", "t").collect()}

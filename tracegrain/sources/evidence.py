@@ -62,12 +62,17 @@ def rotation(name):
 
 
 def digest(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """One SHA-256 over all rows in the order of key: each 1/256 of the keys' hashes is digested alone, then these in order."""
-    part = rows.select(F.sha2(F.col(key).cast("string"), 256).substr(1, 2).alias("p"), F.sha2(F.concat_ws("\t", F.col(key).cast("string"), F.col(value).cast("string")), 256).alias("d"), F.col(key).alias("k"))
-    # sums of hashes stand for a part, so that nothing is gathered
-    number = F.conv(F.substring("d", 1, 12), 16, 10).cast("decimal(38,0)")
-    by_part = part.groupBy("p").agg(F.sum(number).alias("s"), F.count(F.lit(1)).alias("n"))
-    return by_part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "s", "n"))), lambda x: F.concat_ws(":", x["p"], x["s"].cast("string"), x["n"].cast("string"))), ","), 256).alias("digest"), F.sum("n").alias("n_rows"))
+    """(digest, n_rows): a SHA-256 that stands for the set of rows, whatever their order.
+
+    Each row's SHA-256 (of key, tab, value) is cut into six numbers, 48 bits each and the last 16; these are summed by the first byte of the
+    key's SHA-256, and the parts' sums and counts are digested in the parts' order. Nothing is gathered but the parts.
+    """
+    key, value = F.col(key).cast("string"), F.col(value).cast("string")
+    part = rows.select(F.sha2(key, 256).substr(1, 2).alias("p"), F.sha2(F.concat_ws("\t", key, value), 256).alias("d"))
+    numbers = [F.sum(F.conv(F.substring("d", at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in range(1, 65, 12)]
+    by_part = part.groupBy("p").agg(*numbers, F.count(F.lit(1)).alias("n"))
+    line = F.concat_ws(":", "p", *(F.col(f"s{at}").cast("string") for at in range(1, 65, 12)), F.col("n").cast("string"))
+    return by_part.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ","), 256).alias("digest"), F.sum("n").alias("n_rows"))
 
 
 def verify(recorded: DataFrame, current: DataFrame) -> DataFrame:
