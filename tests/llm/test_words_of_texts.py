@@ -182,6 +182,49 @@ def test_jaccard_links_at_the_bound(spark):
         same_rows(got, linked(list(enumerate(texts))))
 
 
+def test_long_words_of_equal_polynomials_differ():
+    """A Thue-Morse word and its complement have the same polynomial modulo 2**64 for any base."""
+    import numpy as np
+
+    from tracegrain.llm.words import word_bounds, word_hashes
+
+    for n in (64, 1024, 4096):
+        x = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        data = np.frombuffer(f"{x} {x.translate(str.maketrans('ab', 'ba'))} {x.upper()}".encode(), np.uint8)
+        start, end = word_bounds(data, np.array([0, len(data)]))
+        h = word_hashes(data, start, end)
+        assert len(set(h.tolist())) == 3
+        low = word_hashes(data, start, end, lower=True)
+        assert low[0] == low[2] == h[0] != low[1]
+
+
+def test_segments_lose_no_link():
+    """Sets of every small size with as many differing shingles as a link allows share a segment's hash."""
+    import numpy as np
+
+    from tracegrain.llm.jaccard_join import segments
+
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 60), 97, 130, 400, 3000]:
+        for t in (50, 85, 97):
+            for _ in range(12):
+                both = int(rng.integers(max(1, n // 2), n + 1))
+                a = [0, n - both]
+                while 100 * both < t * (both + sum(a)):
+                    a[1] -= 1
+                while 100 * both >= t * (both + sum(a) + 1) and rng.random() < 0.9:
+                    a[int(rng.random() < 0.5)] += 1
+                s = rng.integers(0, 2**63, both + sum(a), dtype=np.uint64) * np.uint64(2)
+                x, y = np.unique(s[: both + a[0]]), np.unique(np.concatenate([s[:both], s[both + a[0] :]]))
+                assert np.array_equal(x, y) or np.isin(segments(x, t), segments(y, t)).any()
+
+
+def test_jaccard_on_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (9, "f g h i j"), (2, "k l m n"), (None, "k l m n")]
+    got = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).membership().selectExpr("id as doc_id", "n_shingles", "component as component_id")
+    same_rows(got, linked(rows))
+
+
 def test_the_oracle_gives_the_same_rows(spark, sf_dir):
     import duckdb
 

@@ -1,29 +1,31 @@
 """Similarity join of word shingle sets by vertical partitioning.
 
-All shingles have one global order: frequent ones last, else by hash. A document's sorted set is cut into
-fragments at fixed places of that order; overlaps are counted in each fragment alone and summed for each
-pair. The order's low end gives the pairs: two sets of Jaccard similarity t or more share one of their first
-n - ceil(t n) + 1 shingles, and the places at which they share it bound what they can share beyond it.
-
-* Equal sets are one node from the start. Only shingles that two nodes share pair anything.
-* A shingle's nodes aren't paired all with all. First, nodes are sorted by the least shingles of parts of the hash's
-  range, and each is tried with its neighbours, a few in each of ORDERS such lists. What links merges into components. In
-  the end all pairs of a shingle that are in different components are counted: in each pair one is outside the
-  component that most of the shingle's nodes are in. Where that would still meet more than `dense` nodes a shingle's
-  node, rounds come before in which a shingle's nodes are tried with its least node by some order.
-* A pair is counted only if the parities of both sets, a bit for each residue of the hash, leave it possible:
+All shingles have one global order, that of their hashes, which is cut into fragments. A document's sorted set falls into
+one segment a fragment.
+
+* Candidates come from fragments. Two sets of sizes a and b with a Jaccard similarity of t or more differ in at most H shingles,
+  H = floor((a + b) (1 - t) / (1 + t)). Cut into P > H fragments, they agree in P - H whole segments or more. So sizes fall
+  into bands, P and the cuts are fixed for each two neighbouring bands, and nodes that share the hash of a whole segment are candidates.
+  Empty segments aren't compared: P - H - 1 is the slack for them. A set that has more empty segments than that also gives its
+  first n - ceil(t n) + 1 shingles, of which two such sets share one. No link is lost, whatever the texts.
+* Overlaps are counted in each fragment alone and summed for each pair; the sums decide.
+* Equal sets are one node from the start. Only segments that two nodes share pair anything.
+* A segment's nodes aren't paired all with all. In rounds, each node is tried with a few centres of its segments; what links merges into
+  components, and segments all of whose nodes are in one component go. When few pairs are left, all pairs of a segment's nodes that are
+  in different components are counted: in each pair one is outside the component that most of the nodes are in.
+* Before sets meet, a pair's parities, a bit for each residue of the hash, tell whether a link is possible:
   every differing bit is a shingle that only one of them has.
-* Which shingles count as frequent comes from the counts of all documents; it decides the order only, so
-  results don't depend on it. The list is broadcast, MOST_FREQUENT long at most.
 
 Cases: null and empty texts and texts without a word have no shingle and link with nothing; texts of fewer
 than k words have one shingle, the whole sequence. Rows that share an id are one document. A row without an id
-is in its text's component; a component's name is the least id in it, null if none of its rows has an id.
+is in its text's component; a component's name is the least id in it, null if none of its rows has an id. An empty table gives
+an empty result. Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,8 @@ from .components import components
 from .shared import Bloom, cut
 from .words import as_long, chunks, mix, shingle_hashes
 
-#: The frequent shingles broadcast at most; of those, each was met LEAST_COUNT times in a batch.
-MOST_FREQUENT, LEAST_COUNT = 1 << 16, 4
-FRAGMENTS = 8
-#: The least shingle of each of BINS parts of the hash's range, and how many rows on each of ORDERS sorted lists are tried.
-BINS, ORDERS, NEAR = 24, 6, 4
-_EDGES = (np.arange(BINS + 1) * (float(2**64) / BINS)).clip(max=float(2**64 - 2048)).astype(np.uint64)
+#: Fragments in which overlaps are counted; the parities' row has the number PARITY.
+FRAGMENTS, PARITY = 8, -1
 
 
 def _set_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -58,24 +56,40 @@ def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None) -> It
             yield row, _set_of(words, k)
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the most frequent shingles, sorted; every document is counted, equal sets once in a batch."""
+def most_differing(sizes: int, t: int) -> int:
+    """The most shingles that only one of two linked sets has, of sizes whose sum is given."""
+    return sizes * (100 - t) // (100 + t)
+
+
+@lru_cache(4096)
+def _band(n: int, t: int) -> tuple[tuple[int, int], ...]:
+    """For a set of n shingles: (number, largest size) of the two pairs of neighbouring bands that it belongs to.
+
+    Bands are such that sets that may link are in one band or in two neighbouring ones.
+    """
+    edges = [1, 2]
+    while len(edges) < 3 or edges[-2] <= n:
+        edges.append(max(edges[-1] + 1, 100 * (edges[-1] - 1) // t + 1))
+    i = max(j for j, e in enumerate(edges) if e <= n)
+    return tuple((j, edges[j + 2] - 1) for j in (i - 1, i) if j >= 0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, sets = set(), []
-            for _, s in _sets(batch, k):
-                if len(s) and (d := _digest(s)) not in seen:
-                    seen.add(d)
-                    sets.append(s)
-            if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= LEAST_COUNT
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[often])), pa.array(n[often])], ["h", "n"])
 
-    counts = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow()
-    return np.sort(top["h"].to_numpy().view(np.uint64))
+def segments(s: np.ndarray, t: int) -> np.ndarray:
+    """Hashes of the segments by which the set (sorted, not empty) can be found."""
+    out, n = [], len(s)
+    mixed, high = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), s >> np.uint64(32)
+    for band, largest in _band(n, t):
+        differing = most_differing(2 * largest, t)
+        if not differing:
+            continue  # only equal sets link
+        slack = 1 + differing // 8
+        parts, salt = differing + 1 + slack, np.uint64(band << 32)
+        fragment = (high * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.diff(fragment, prepend=np.uint64(1 << 40)))
+        out.append(mix(np.add.reduceat(mixed, first) ^ mix(fragment[first] + salt)))
+        if parts - len(first) > slack:
+            out.append(mix(mixed[: n - -(-t * n // 100) + 1] + mix(np.array([salt], np.uint64))))
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -85,109 +99,73 @@ def _parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """The least shingle of each bin, 0 for an empty bin: two sets agree in about as many bins as they are alike."""
-    cuts = np.searchsorted(s, _EDGES)
-    cuts[-1] = len(s)
-    least = np.where(cuts[:-1] < cuts[1:], s[np.minimum(cuts[:-1], max(0, len(s) - 1))], 0) if len(s) else np.zeros(BINS, np.uint64)
-    return (mix(least) >> np.uint64(33)).astype(np.int32)
-
-
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
 
-def _prefixes(k: int, t: int, frequent):
-    """mapInArrow: (id, text) into (id, d1, d2, n, prefix, odd, sketch): the set's first shingles in the global order, its parities and least shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
-        for batch in batches:
-            d1, d2, n, prefix, odd, sketch = [], [], [], [], [], []
-            for _, s in _sets(batch, k):
-                a, b = _digest(s) if len(s) else (0, 0)
-                most = len(s) - -(-t * len(s) // 100) + 1 if len(s) else 0
-                at = np.searchsorted(often, s)
-                is_often = np.zeros(len(s), bool) if not len(often) else often[np.minimum(at, len(often) - 1)] == s
-                ordered = s[~is_often][:most]
-                if len(ordered) < most:
-                    ordered = np.concatenate([ordered, s[is_often][: most - len(ordered)]])
-                d1.append(a)
-                d2.append(b)
-                n.append(len(s))
-                prefix.append(as_long(ordered))
-                odd.append(_parities(s))
-                sketch.append(_sketch(s))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), _lists(prefix), _lists(odd), _lists(sketch).cast(pa.list_(pa.int32()))], ["id", "d1", "d2", "n", "prefix", "odd", "sketch"])
-
-    return run
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _fragments(k: int, wanted):
-    """mapInArrow: (id, text) into (id, d1, d2, fragment, part) of the ids that may be wanted."""
+def _digests(k: int):
+    """mapInArrow: (id, text) into (id, d1, d2, n): two hashes of the set, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            want = wanted.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            out: list[list] = [[], [], [], [], []]
-            for row, s in _sets(batch, k, want):
-                if not len(s):
-                    continue
-                a, b = _digest(s)
-                cuts = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                for f in range(FRAGMENTS):
-                    if cuts[f] < cuts[f + 1]:
-                        for to, v in zip(out, (ids[row].as_py(), a, b, f, as_long(s[cuts[f] : cuts[f + 1]])), strict=True):
-                            to.append(v)
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *longs, pa.array(out[3], pa.int32()), _lists(out[4])], ["id", "d1", "d2", "fragment", "part"])
+            found = [(*(_digest(s) if len(s) else (0, 0)), len(s)) for _, s in _sets(batch, k)]
+            d1, d2, n = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(d1), _longs(d2), pa.array(n, pa.int64())], ["id", "d1", "d2", "n"])
 
     return run
 
 
-def _repeated_tokens(maybe):
-    """mapInArrow: (node, n, prefix, odd) into (h, node, n, place, o0 ... o3) of the shingles that two nodes may have; o: parities folded to 256 bits."""
+def _wanted(batch: pa.RecordBatch, maybe) -> np.ndarray:
+    ids = batch.column(0)
+    return maybe.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _segments(k: int, t: int, nodes, shared):
+    """mapInArrow: (id, text) into (h, node, n) of the ids that may be nodes; shared: only of segments that two nodes may have, else h alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            h = lists.flatten().to_numpy()
-            lengths = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(lists)), lengths)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            at = np.flatnonzero(maybe.value.has(h))
-            fold = np.array([np.bitwise_xor.reduce(o.values.to_numpy().reshape(-1, 4)) for o in batch.column(3)], np.int64).reshape(-1, 4)[row[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])), pa.array(place[at]), *(pa.array(fold[:, i].copy()) for i in range(4))], ["h", "node", "n", "place", "o0", "o1", "o2", "o3"])
+            want, ids = _wanted(batch, nodes), batch.column(0)
+            for at in range(0, batch.num_rows, 512):
+                h, node, n = [], [], []
+                part = batch.slice(at, 512)
+                for row, s in _sets(part, k, want[at : at + 512]):
+                    if len(s):
+                        found = segments(s, t)
+                        h.append(found if shared is None else found[shared.value.has(as_long(found))])
+                        node.append(ids[at + row].as_py())
+                        n.append(len(s))
+                if not h:
+                    continue
+                many = list(map(len, h))
+                columns = [pa.array(as_long(np.concatenate(h)))]
+                if shared is not None:
+                    columns += [pa.array(np.repeat(np.array(node, np.int64), many)), pa.array(np.repeat(np.array(n, np.int64), many))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "node", "n"][: len(columns)])
 
     return run
 
 
-def _beside(t: int):
-    """mapInArrow: sorted rows (order, key, node, n) into (a, na, b, nb) of neighbours that agree in half of their bins or more."""
+def _parts(k: int, wanted):
+    """mapInArrow: (id, text) into (id, d1, n, fragment, part) of the ids that may be wanted; the fragment PARITY holds the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(1).flatten().to_numpy().reshape(-1, BINS)
-            now = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), key]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            order, node, n, key = now
-            new = 0 if rest is None else len(rest[0])
-            out = []
-            for by in range(1, min(NEAR, len(node) - 1) + 1):
-                i = np.arange(max(new, by), len(node))
-                j = i - by
-                fits = (order[i] == order[j]) & (100 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & (2 * (key[i] == key[j]).sum(axis=1) >= BINS)
-                i, j = i[fits], j[fits]
-                first = node[i] < node[j]
-                out.append(np.stack([np.where(first, node[i], node[j]), np.where(first, n[i], n[j]), np.where(first, node[j], node[i]), np.where(first, n[j], n[i])]))
-            rest = [x[-NEAR:] for x in now]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "na", "b", "nb"])
+            out: list[list] = [[], [], [], [], []]
+            for row, s in _sets(batch, k, _wanted(batch, wanted)):
+                if not len(s):
+                    continue
+                cuts = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                parts = [(PARITY, _parities(s)), *((f, as_long(s[cuts[f] : cuts[f + 1]])) for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1])]
+                id_, d1 = batch.column(0)[row].as_py(), _digest(s)[0]
+                for f, part in parts:
+                    for to, v in zip(out, (id_, d1, len(s), f, part), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _longs(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), _lists(out[4])], ["id", "d1", "n", "fragment", "part"])
 
     return run
 
@@ -214,70 +192,67 @@ def _enough(t: int, overlap: str) -> str:
     return f"{100 + t} * ({overlap}) >= {t} * (na + nb)"
 
 
-def _can(t: int) -> str:
-    """As SQL, of a pair that shares a shingle at places i and j: the sizes and places let them link."""
-    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, "1 + least(na - i - 1, nb - j - 1)")
+def _sizes(t: int) -> str:
+    """As SQL, of a pair: the sizes let them link."""
+    return f"100 * least(na, nb) >= {t} * greatest(na, nb)"
 
 
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 4, most_rounds: int = 12, dense: int = 1000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 2, most_rounds: int = 12, dense: int = 16):
         self.k, self.t, self.tries, self.most_rounds, self.dense = k, percent, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         spark = docs.sparkSession
-        often = spark.sparkContext.broadcast(frequent_shingles(self.docs, k))
-        self.sets = cut(self.docs.mapInArrow(_prefixes(k, percent, often), "id long, d1 long, d2 long, n long, prefix array<long>, odd array<long>, sketch array<int>"))
-        self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd"), F.any_value("sketch").alias("sketch")))
-        named = self.nodes.where("node is not null")
-        shared = named.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
-        maybe = spark.sparkContext.broadcast(Bloom.build(cut(shared), "h"))
-        self.tokens = cut(named.select("node", "n", "prefix", "odd").mapInArrow(_repeated_tokens(maybe), "h long, node long, n long, place long, o0 long, o1 long, o2 long, o3 long"))
+        self.sets = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n long"))
+        self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
+        nodes = spark.sparkContext.broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
+        found = self.docs.mapInArrow(_segments(k, percent, nodes, None), "h long")
+        shared = spark.sparkContext.broadcast(Bloom.build(cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")), "h"))
+        tokens = self.docs.mapInArrow(_segments(k, percent, nodes, shared), "h long, node long, n long").distinct()
+        met = tokens.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h")
+        tokens = cut(tokens)
+        self.tokens = cut(tokens.join(met, "h", "left_semi"))
         self._links = None
 
+    def _read_parts(self) -> None:
+        """The sets of all nodes that share a segment, once."""
+        ends = self.tokens.select("node").distinct()
+        wanted = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(cut(ends), "node"))
+        self.parts = cut(self.docs.mapInArrow(_parts(self.k, wanted), "id long, d1 long, n long, fragment int, part array<long>"))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, na, b, nb): those that link, with their overlap, counted in each fragment and summed."""
-        odd = self.nodes.select("node", "n", "odd")
+        odd = self.parts.where(F.col("fragment") == PARITY).select("id", "n", "part")
         met = pairs.join(odd.toDF("a", "na", "oa"), ["a", "na"]).join(odd.toDF("b", "nb", "ob"), ["b", "nb"])
         pairs = cut(met.select("a", "na", "b", "nb", "oa", "ob").mapInArrow(_possible(self.t), "a long, na long, b long, nb long").distinct())
-        ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.build(ends, "node"))
-        parts = cut(self.docs.mapInArrow(_fragments(self.k, wanted), "id long, d1 long, d2 long, fragment int, part array<long>"))
-        left = parts.select(F.col("id").alias("a"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
-        right = parts.select(F.col("id").alias("b"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
-        both = pairs.join(left, "a").join(right, ["b", "fragment"])
+        parts = self.parts.where(F.col("fragment") != PARITY)
+        left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
+        right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
+        both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb", "fragment"])
         # rows may repeat, and rows that share an id have several sets: each set counts once, and the most alike decide
         each = both.groupBy("a", "na", "b", "nb", "da", "db", "fragment").agg(F.max(F.size(F.array_intersect("pa", "pb"))).alias("partial"))
         overlaps = each.groupBy("a", "na", "b", "nb", "da", "db").agg(F.sum("partial").alias("overlap"))
         return overlaps.where(_enough(self.t, "overlap")).groupBy("a", "na", "b", "nb").agg(F.max("overlap").alias("overlap"))
 
-    def _neighbours(self) -> DataFrame:
-        """Pairs of nodes with like sketches: neighbours in sorted lists of all sketches, each list from another bin on."""
-        nodes = self.nodes.where("node is not null").join(self.tokens.select("node").distinct(), "node", "left_semi")
-        turn = lambda i: F.concat(F.slice("sketch", i + 1, BINS - i), F.slice("sketch", 1, i))
-        keys = F.array(*(F.struct(F.lit(i).alias("order"), turn(i * BINS // ORDERS).alias("key")) for i in range(ORDERS)))
-        rows = nodes.select("node", "n", F.explode(keys).alias("k")).select("k.order", "k.key", "node", "n")
-        rows = rows.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
-        return rows.mapInArrow(_beside(self.t), "a long, na long, b long, nb long").distinct()
-
     def links(self) -> DataFrame:
         """Pairs (a, b) of nodes that link: enough of them to give every component, not all of a dense one."""
         if self._links is not None:
             return self._links
-        named, found, tried, n_tokens = self.tokens.withColumn("part", F.col("node")), None, None, self.tokens.count()
-        can, rounds, last = _can(self.t), 0, False
+        named, found, tried = self.tokens.withColumn("part", F.col("node")), None, None
+        rounds, last = 0, self.tokens.isEmpty()
+        if not last:
+            self._read_parts()
         while not last:
-            if rounds == 0:
-                pairs = self._neighbours()
-            else:
-                # of each shingle: how many of its nodes there are, and the component that most of them are in
-                sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
-                met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("n")).first().n or 0
-                last = rounds > self.most_rounds or met <= self.dense * n_tokens
-                pairs = self._crossing(named, sizes, can) if last else self._with_centres(named, tried, can, rounds)
+            rounds += 1
+            # of each segment: how many of its nodes there are, and the component that most of them are in
+            sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
+            met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("met"), F.sum("every").alias("n")).first()
+            last = rounds > self.most_rounds or (met.met or 0) <= self.dense * (met.n or 0)
+            pairs = self._crossing(named, sizes) if last else self._with_centres(named, tried, rounds)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs, rounds = cut(pairs), rounds + 1
+            pairs = cut(pairs)
             if pairs.isEmpty():
                 continue
             new = cut(self._verified(pairs))
@@ -291,18 +266,16 @@ class JaccardJoin:
         self._links = found if found is not None else self.tokens.selectExpr("node as a", "n as na", "node as b", "n as nb", "0L as overlap").limit(0)
         return self._links
 
-    def _crossing(self, named: DataFrame, sizes: DataFrame, can: str) -> DataFrame:
-        """All pairs of a shingle's nodes that are in two components: one isn't in the component that most are in."""
-        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i", *(f"o{i} as p{i}" for i in range(4)))
-        differ = " + ".join(f"bit_count(o{i} ^ p{i})" for i in range(4))
-        pairs = others.join(named.selectExpr("h", "part", "node as b", "n as nb", "place as j", "o0", "o1", "o2", "o3"), "h").where("pa != part").where(can).where(_enough(self.t, f"(na + nb - ({differ})) div 2"))
-        return self._ordered(pairs)
-
-    def _with_centres(self, named: DataFrame, tried: DataFrame | None, can: str, rounds: int) -> DataFrame:
-        """Each node with a few others: centres of its shingles by an order of this round, those of most shingles first."""
-        order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("place").alias("i"), F.col("part").alias("pa"))
-        centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na", "c.i")
-        pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb", "i", "place as j").where(can)
+    def _crossing(self, named: DataFrame, sizes: DataFrame) -> DataFrame:
+        """All pairs of a segment's nodes that are in two components: one isn't in the component that most are in."""
+        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na")
+        return self._ordered(others.join(named.selectExpr("h", "part", "node as b", "n as nb"), "h").where("pa != part").where(_sizes(self.t)))
+
+    def _with_centres(self, named: DataFrame, tried: DataFrame | None, rounds: int) -> DataFrame:
+        """Each node with a few others: centres of its segments by an order of this round, those of most segments first."""
+        order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("part").alias("pa"))
+        centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na")
+        pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb").where(_sizes(self.t))
         pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
         if tried is not None:
             for x, y in (("a", "b"), ("b", "a")):
@@ -314,9 +287,15 @@ class JaccardJoin:
     def _ordered(pairs: DataFrame) -> DataFrame:
         return pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
 
+    def _same_id(self) -> DataFrame:
+        """Links (a, b) between the nodes of rows that share an id with different sets."""
+        named = self.sets.where("n > 0 and id is not null")
+        several = named.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high").select("id")
+        return named.join(several, "id", "left_semi").join(self.nodes, ["d1", "d2", "n"]).where("id != node").selectExpr("id as a", "node as b")
+
     def membership(self) -> DataFrame:
         """(id, n_shingles, component) of every row of docs."""
-        parts = components(self.links())
+        parts = components(self.links().select("a", "b").union(self._same_id()))
         nodes = self.nodes.join(parts, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
         sets = self.sets.select("id", "n", "d1", "d2")
         with_words = sets.where("n > 0").join(nodes, ["d1", "d2", "n"]).select("id", F.col("n").alias("n_shingles"), "component")

@@ -1,19 +1,22 @@
 """Words and shingles of Arrow text columns, hashed without a Python object per word.
 
 A word is a run of bytes outside space and 0x09-0x0D, so words of the UTF-8 bytes are the
-words of the text. A word's hash is a polynomial over its bytes modulo 2**64, taken from
+words of the text. The hash of a word of up to LONG_WORD bytes is a polynomial over its bytes modulo 2**64, taken from
 prefix sums of a whole piece of the buffer; pieces end at white space, so a text of any
-length is hashed in bounded memory beside 8 bytes a word.
+length is hashed in bounded memory beside 8 bytes a word. Of longer words, where such polynomials have well known equal
+values, it is 64 bits of BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 19
+LONG_WORD = 64
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 1 << 21
 
@@ -84,7 +87,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         np.cumsum(table[data[low:high]] * up[: high - low], out=sums[1:])
         out[i:j] = (sums[end[i:j] - low] - sums[start[i:j] - low]) * down[start[i:j] - low]
         i = j
-    return mix(out)
+    out = mix(out)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        word = data[start[i] : end[i]]
+        word = np.where((word >= 65) & (word <= 90), word + 32, word).astype(np.uint8) if lower else word
+        out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
