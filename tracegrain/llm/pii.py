@@ -1,30 +1,37 @@
 """Personal data: base patterns, and terms that reveal the entities they find.
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. What else points to them is
-estimated from the corpus: a term of the documents that mention an entity discloses it by how much of the entity's information it carries,
+estimated from the corpus. Most addresses and numbers are rare, so a mention stands for its value and for the classes of it: its kind,
+an address's domain, a network of 16 bits, a card's issuer, a phone number's prefix. A term of the documents that mention such an entity
+discloses it by how much of the entity's information it carries,
 
     PMI(entity; term) / IC(entity) = 1 - log(n(term) / n(entity, term)) / log(N / n(entity)),
 
 with n(entity), n(term), n(entity, term) and N all counted in distinct texts (copies of a document count once), wherever in
-a text the two stand. Only entities with `support` different contexts (`window` words on both sides of a mention) count, and
-only pairs with `support` texts. In every document, whether it mentions the entity or not, a term with a ratio of
+a text the two stand. A pair counts only with evidence that isn't chance and isn't near copies of one document: the term stands
+there in `support` different contexts (two words on both sides), the entity's mentions too (`window` words on both sides), and by the
+Chernoff bound n KL(n(entity, term) / n(term) || n(entity) / N), with n the smaller of texts and contexts, fewer than `chance` of all pairs
+tried would come about by chance. In every document, whether it mentions the entity or not, a term with a ratio of
 `generalise` or more is replaced by its shape, one of `remove` or more is removed.
 
 Counts cover all documents: words shuffle only from texts that mention such an entity, and only words of these texts are counted
-in the corpus; a Bloom filter of fixed size tells the tasks which. Of texts only those that may have a copy shuffle. Spans are
-found from the text alone, so they are keyed by the text's hash and length.
+in the corpus; a Bloom filter of fixed size tells the tasks which. Of texts only those that may have a copy, and those that
+mention an entity, are written or shuffled. Spans are found from the text alone, so they are keyed by the text's hash and length.
 
 A term is a word as white space ends it, A-Z lower-cased. Cases: a null text is empty and has no span; it stays
-null when sanitised. Repeated rows get the same spans each. Null ids are kept; other columns pass through.
+null when sanitised. Repeated rows get the same spans each. Null ids are kept; other columns pass through, whatever their names. An
+empty table has no terms and gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +42,8 @@ from .words import as_long, chunks, mix
 KINDS = ("email", "ip", "card", "phone")
 #: Keys over which a term's mentions are dealt.
 SALTS = 16
+#: The words before and after a term that are its context.
+BESIDE = 2
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 _DIGIT = re.compile("[0-9]")
@@ -72,7 +81,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *x) for x in _emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(q) <= 3 and int(q or "0") <= 255 for q in (p.lstrip("0") for p in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() < 64 else ""
         if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -82,9 +91,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _entity(kind: str, value: str) -> int:
-    plain = value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
+def _entities(kind: str, value: str) -> list[int]:
+    """Hashes of what a mention stands for: its value and the classes of it."""
+    if kind == "email":
+        of = [value.lower(), "@" + value.lower().rpartition("@")[2]]
+    elif kind == "ip":
+        of = [value, ".".join(value.split(".")[:2])]
+    else:
+        digits = re.sub("[^0-9]", "", value)
+        of = [digits, digits[:6] if kind == "card" else digits[:4]]
+    return [int.from_bytes(hashlib.blake2b(f"{kind}:{level}:{x}".encode(), digest_size=8).digest(), "little", signed=True) for level, x in enumerate(["", *of])]
 
 
 class _Doc:
@@ -116,55 +132,67 @@ def _inside(doc: _Doc, spans: list[dict]) -> np.ndarray:
     return out
 
 
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (text, h, n) into (h, n, spans)."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    """mapInArrow: (id, h, n, text) into (id, h, n, base, text): base spans; the text only where it has one."""
     for batch in batches:
-        spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(t.as_py() or "")] for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(spans, kind)], ["h", "n", "spans"])
+        texts = batch.column(3).to_pylist()
+        spans = [base_spans(t or "") for t in texts]
+        base = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in spans]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.list_(_SPAN)), pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string())], ["id", "h", "n", "base", "text"])
+
+
+def _mixed(near: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(near + np.arange(len(near), dtype=np.uint64)))) if len(near) else 0
 
 
 def _contexts(window: int):
-    """mapInArrow: (text, h, n) into (entity, context, first): a hash of the words around every mention, and 1 for an entity's first in the text."""
+    """mapInArrow: (text, base) into (entity, context, first): a hash of the words around every mention, and 1 for an entity's first in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [base_spans(t.as_py() or "") for t in batch.column(0)]
             out: list[list] = [[], [], []]
-            for row, doc in _docs(batch, 0, np.array([bool(f) for f in found], bool)):
-                text, spans, seen = batch.column(0)[row].as_py(), [{"start": a, "end": b} for _, a, b in found[row]], set()
+            for row, doc in _docs(batch, 0):
+                text, spans, seen = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), set()
                 free = np.flatnonzero(~_inside(doc, spans))
-                for kind, a, b in found[row]:
-                    left = np.searchsorted(free, np.searchsorted(doc.start, a))
-                    near = doc.hash[free[max(0, left - window) : left + window]]
-                    out[0].append(_entity(kind, text[a:b]))
-                    out[1].append(int(np.bitwise_xor.reduce(mix(near + np.arange(len(near), dtype=np.uint64)))) if len(near) else 0)
-                    out[2].append(int(out[0][-1] not in seen))
-                    seen.add(out[0][-1])
+                for s in spans:
+                    left = np.searchsorted(free, np.searchsorted(doc.start, s["start"]))
+                    context = _mixed(doc.hash[free[max(0, left - window) : left + window]])
+                    for e in _entities(s["kind"], text[s["start"] : s["end"]]):
+                        for to, v in zip(out, (e, context, int(e not in seen)), strict=True):
+                            to.append(v)
+                        seen.add(e)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.array(out[1], np.uint64).view(np.int64)), pa.array(out[2], pa.int64())], ["entity", "context", "first"])
 
     return run
 
 
 def _together(entities):
-    """mapInArrow: (text, h, n) into (entity, terms): the words of a text for each of its entities that may be wanted."""
+    """mapInArrow: (text, base) into (entity, terms): for each of a text's entities that may be wanted, (term, context, first) of its other words."""
+    kind = pa.struct([("term", pa.int64()), ("context", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, wanted = [], []
-            for t in batch.column(0):
-                text = t.as_py() or ""
-                spans = base_spans(text)
-                of = np.array(sorted({_entity(kind, text[a:b]) for kind, a, b in spans}), np.int64)
-                found.append(spans)
-                wanted.append(of[entities.value.has(of)])
             out: list[list] = [[], []]
-            for row, doc in _docs(batch, 0, np.array([bool(len(w)) for w in wanted], bool)):
-                terms = as_long(np.unique(doc.hash[~_inside(doc, [{"start": a, "end": b} for _, a, b in found[row]])]))
-                for entity in wanted[row]:
-                    out[0].append(entity)
-                    out[1].append(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], ["entity", "terms"])
+            for row, doc in _docs(batch, 0):
+                text, spans = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                of = np.array(sorted({e for s in spans for e in _entities(s["kind"], text[s["start"] : s["end"]])}), np.int64)
+                of = of[entities.value.has(of)]
+                if not len(of):
+                    continue
+                h, context = doc.hash[~_inside(doc, spans)], np.uint64(0)
+                padded = np.pad(h, BESIDE)
+                for by in (*range(BESIDE), *range(BESIDE + 1, 2 * BESIDE + 1)):
+                    context = mix(context ^ padded[by : by + len(h)])
+                pairs = np.unique(np.stack([h, context + h]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
+                first = np.diff(pairs[0], prepend=pairs[0][:1] + np.uint64(1)) != 0
+                terms = pa.StructArray.from_arrays([pa.array(as_long(pairs[0].copy())), pa.array(as_long(pairs[1].copy())), pa.array(first.astype(np.int64))], fields=list(kind))
+                out[0] += of.tolist()
+                out[1] += [terms] * len(of)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[1])]), pa.int32()), pa.concat_arrays(out[1]) if out[1] else pa.array([], kind))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), lists], ["entity", "terms"])
 
     return run
 
@@ -211,52 +239,72 @@ def _key(text):
     return F.xxhash64(t).alias("h"), F.length(t).alias("n")
 
 
-def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text, h, n): every text once; only texts whose hash may occur twice shuffle."""
-    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_key(F.col(text_col)))
-    twice = cut(keyed.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
-    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.build(twice, "h"))
+def _maybe(bloom):
+    """A column function: whether a long may be in the broadcast filter."""
 
     @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
+    def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
 
+    return maybe
+
+
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, n, base, text) of every row: the text's hash and length, its base spans, and the text if it has any; a table."""
+    found = docs.select(F.col(id_col).alias("id"), *_key(F.col(text_col)), F.col(text_col).alias("text"))
+    return cut(found.mapInArrow(_base, f"id {found.schema['id'].dataType.simpleString()}, h long, n int, base {SPANS}, text string"))
+
+
+def distinct_texts(docs: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, h, n): every text of docs once, rows being its mentions(); only texts whose hash may occur twice shuffle."""
+    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_key(F.col(text_col)))
+    twice = cut(rows.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    maybe = _maybe(docs.sparkSession.sparkContext.broadcast(Bloom.build(twice, "h")))
     keyed = keyed.withColumn("__maybe", maybe("h"))
     once = cut(keyed.where("__maybe").drop("__maybe").dropDuplicates(["h", "n"]))
     return keyed.where("not __maybe").drop("__maybe").unionByName(once)
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8, texts: DataFrame | None = None) -> DataFrame:
-    """(entity, term, ratio) of the pairs whose ratio is at least generalise; hashes stand for both. texts: distinct_texts(docs), if there."""
-    spark, texts = docs.sparkSession, distinct_texts(docs, text_col) if texts is None else texts
-    contexts = texts.mapInArrow(_contexts(window), "entity long, context long, first long").groupBy("entity", "context").agg(F.sum("first").alias("first"))
+def disclosing_terms(texts: DataFrame, rows: DataFrame, window: int = 8, support: int = 3, generalise: float = 0.8, chance: float = 0.01) -> DataFrame:
+    """(entity, term, ratio) of the pairs whose ratio is at least generalise; hashes stand for both. rows: mentions(); texts: distinct_texts()."""
+    spark = rows.sparkSession
+    private = cut(rows.where("text is not null").dropDuplicates(["h", "n"]).select("text", "base"))
+    contexts = private.mapInArrow(_contexts(window), "entity long, context long, first long").groupBy("entity", "context").agg(F.sum("first").alias("first"))
     often = contexts.groupBy("entity").agg(F.sum("first").alias("n_entity"), F.count(F.lit(1)).alias("n_contexts"))
     often = cut(often.where((F.col("n_entity") >= support) & (F.col("n_contexts") >= support)).select("entity", "n_entity"))
     entities = spark.sparkContext.broadcast(Bloom.build(often, "entity"))
-    pairs = texts.mapInArrow(_together(entities), "entity long, terms array<long>").select("entity", F.explode("terms").alias("term"))
-    pairs = cut(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).join(often, "entity"))
+    pairs = private.mapInArrow(_together(entities), "entity long, terms array<struct<term: long, context: long, first: long>>").select("entity", F.inline("terms"))
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("first").alias("first")).groupBy("entity", "term").agg(F.sum("first").alias("n_both"), F.count(F.lit(1)).alias("n_contexts"))
+    pairs = cut(pairs.where((F.col("n_both") >= support) & (F.col("n_contexts") >= support)).join(often, "entity"))
     terms = spark.sparkContext.broadcast(Bloom.build(pairs.select("term").distinct(), "term"))
     counts = texts.select("text").mapInArrow(_frequencies(terms), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
-    total = float(max(2, texts.count()))
-    ratio = 1 - F.log(F.greatest("n_term", "n_both") / F.col("n_both")) / F.log(F.lit(total + 1) / F.least("n_entity", F.lit(total)))
-    return cut(pairs.join(counts, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise))
+    total = float(max(2, rows.select("h", "n").distinct().count()))
+    met = pairs.join(counts, "term").withColumn("n_term", F.greatest("n_term", "n_both"))
+    ratio = 1 - F.log(F.col("n_term") / F.col("n_both")) / F.log(F.lit(total + 1) / F.least("n_entity", F.lit(total)))
+    p, q = F.col("n_both") / F.col("n_term"), F.least("n_entity", F.lit(total - 1)) / F.lit(total)
+    surprise = p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    evidence = F.least("n_both", "n_contexts") / p * F.when(p > q, surprise).otherwise(0.0)
+    chosen = (ratio >= generalise) & (evidence >= F.lit(math.log(max(1, pairs.count()) / chance)))
+    return cut(met.where(chosen).select("entity", "term", ratio.alias("ratio")))
 
 
 class Pii:
     """Finds and sanitises the personal data of docs; estimates are made on docs once."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95):
-        self.docs, self.text_col = docs, text_col
-        self._texts = distinct_texts(docs, text_col)
-        self.terms = disclosing_terms(docs, text_col, window, support, generalise, self._texts).withColumn("kind", F.when(F.col("ratio") >= remove, "term").otherwise("hint"))
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95, chance: float = 0.01):
+        self.docs, self.id_col, self.text_col = docs, id_col, text_col
+        self.rows = mentions(docs, id_col, text_col)
+        self._texts = distinct_texts(docs, self.rows, text_col)
+        self.terms = disclosing_terms(self._texts, self.rows, window, support, generalise, chance).withColumn("kind", F.when(F.col("ratio") >= remove, "term").otherwise("hint"))
         self._found = None
 
     def term_spans(self) -> DataFrame:
         """(h, n, terms): of each text (its hash and length) that has them, the terms' spans; kind term: to remove, hint: to generalise."""
         if self._found is None:
             terms = cut(self.terms.groupBy("term").agg(F.max("kind").alias("kind")))
+            if terms.isEmpty():
+                self._found = self.rows.select("h", "n", F.array().cast(SPANS).alias("terms")).limit(0)
+                return self._found
             bloom = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(terms, "term"))
             maybe = self._texts.mapInArrow(_mentions(bloom), "h long, n int, term long, start int, end int")
             # a term may stand in many texts, so it is dealt over SALTS keys
@@ -265,45 +313,34 @@ class Pii:
             self._found = cut(spans.groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")))
         return self._found
 
-    def spans(self, id_col: str = "doc_id") -> DataFrame:
-        """(id, base, terms) of every row: arrays of (kind, start, end)."""
-        found = self.docs.select(F.col(self.text_col).alias("text"), F.col(id_col).alias("id"), *_key(F.col(self.text_col)))
-        id_type = found.schema["id"].dataType.simpleString()
-
-        def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                part = next(_base(iter([pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 2, 3)], ["text", "h", "n"])])))
-                yield pa.RecordBatch.from_arrays([batch.column(1), *part.columns], ["id", "h", "n", "base"])
+    def _with_terms(self, df: DataFrame, h: str, n: str, terms: str) -> tuple[DataFrame, DataFrame]:
+        """df's rows whose text has no term's span, and the others with the spans as a column."""
+        maybe = _maybe(self.docs.sparkSession.sparkContext.broadcast(Bloom.build(self.term_spans(), "h")))
+        df, spans = df.withColumn("__maybe", maybe(h)), self.term_spans().toDF(h, n, terms)
+        return df.where("not __maybe").drop("__maybe"), df.where("__maybe").drop("__maybe").join(spans, [h, n], "left")
 
-        rows = found.mapInArrow(base, f"id {id_type}, h long, n int, base {SPANS}")
-        return rows.join(self.term_spans(), ["h", "n"], "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"))
+    def spans(self) -> DataFrame:
+        """(id, base, terms) of every row: arrays of (kind, start, end)."""
+        none = F.array().cast(SPANS)
+        plain, met = self._with_terms(self.rows.select("id", "h", "n", "base"), "h", "n", "terms")
+        out = plain.select("id", "base", none.alias("terms")).unionByName(met.select("id", "base", F.coalesce("terms", none).alias("terms")))
+        return out.withColumnRenamed("id", self.id_col)
 
     def sanitise(self) -> DataFrame:
         """docs with base spans replaced by their kind in brackets, hints by their shape, and terms removed.
 
         Only texts that may have a term's span meet the spans in a join; the others pass straight through.
         """
-        spark, columns = self.docs.sparkSession, self.docs.columns
-        bloom = spark.sparkContext.broadcast(Bloom.build(self.term_spans(), "h"))
+        columns = self.docs.columns
         keyed = self.docs.withColumn("__h", _key(F.col(self.text_col))[0]).withColumn("__n", _key(F.col(self.text_col))[1])
 
-        @F.pandas_udf("boolean")
-        def maybe(h):
-            import pandas as pd
-
-            return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
-
         @F.pandas_udf("string")
-        def clean(text, terms):
-            import pandas as pd
-
+        def clean(text: pd.Series, terms: pd.Series) -> pd.Series:
             return pd.Series([None if t is None else replaced(t, base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in (() if x is None else x)]) for t, x in zip(text, terms, strict=True)], dtype=object)
 
-        no_terms = F.lit(None).cast(SPANS)
-        keyed = keyed.withColumn("__maybe", maybe("__h"))
-        plain = keyed.where("not __maybe").withColumn(self.text_col, clean(self.text_col, no_terms))
-        spans = self.term_spans().withColumnsRenamed({"h": "__h", "n": "__n", "terms": "__terms"})
-        met = keyed.where("__maybe").join(spans, ["__h", "__n"], "left").withColumn(self.text_col, clean(self.text_col, "__terms"))
+        plain, met = self._with_terms(keyed, "__h", "__n", "__terms")
+        plain = plain.withColumn(self.text_col, clean(self.text_col, F.lit(None).cast(SPANS)))
+        met = met.withColumn(self.text_col, clean(self.text_col, "__terms"))
         return plain.select(columns).unionByName(met.select(columns))
 
 
