@@ -1,21 +1,23 @@
 """Similarity join of word shingle sets by vertical partitioning.
 
-All shingles have one global order, that of their hashes, which is cut into fragments. A document's sorted set falls into
-one segment a fragment.
-
-* Candidates come from fragments. Two sets of sizes a and b with a Jaccard similarity of t or more differ in at most H shingles,
-  H = floor((a + b) (1 - t) / (1 + t)). Cut into P > H fragments, they agree in P - H whole segments or more. So sizes fall
-  into bands, P and the cuts are fixed for each two neighbouring bands, and nodes that share the hash of a whole segment are candidates.
-  Empty segments aren't compared: P - H - 1 is the slack for them. A set that has more empty segments than that also gives its
-  first n - ceil(t n) + 1 shingles, of which two such sets share one. No link is lost, whatever the texts.
-* Overlaps are counted in each fragment alone and summed for each pair; the sums decide.
-* Equal sets are one node from the start. Only segments that two nodes share pair anything.
-* A segment's nodes aren't paired all with all. In rounds, each node is tried with a few centres of its segments; what links merges into
-  components, and segments all of whose nodes are in one component go. When few pairs are left, all pairs of a segment's nodes that are
-  in different components are counted: in each pair one is outside the component that most of the nodes are in.
+All shingles have one global order: rare ones first, frequent ones last, else by hash. A document's sorted set is cut into
+fragments at fixed places of that order. Overlaps are counted in each fragment alone and summed for each pair.
+
+* The order's low end gives the candidates. Of two sets that link, with an overlap of at least A = ceil(t max(a, b)), the first
+  n - ceil(t n) + `support` shingles of both share min(`support`, A) or more; their number is summed for each pair, and pairs
+  below it never meet. Shingles that many sets hold stand at the order's end, so sets that differ from a large group by more than a
+  link allows share no candidates with it.
+* Of the candidates, overlaps are counted in each fragment alone and summed for each pair; the sums decide.
+* Equal sets are one node from the start. Only shingles that two nodes share pair anything.
+* A shingle's nodes aren't paired all with all. In rounds, each node is tried with a few centres of its shingles; what links merges into
+  components, and shingles all of whose nodes are in one component go. When few pairs are left, all pairs of a shingle's nodes that are in
+  different components are counted: in each pair one is outside the component that most of the nodes are in.
 * Before sets meet, a pair's parities, a bit for each residue of the hash, tell whether a link is possible:
   every differing bit is a shingle that only one of them has.
 
+Which shingles count as frequent is found from all documents (those that a batch of them holds twice), by a Bloom filter that keeps the most frequent ones
+if it can't hold all. It decides the order only: no link is lost, whatever the order.
+
 Cases: null and empty texts and texts without a word have no shingle and link with nothing; texts of fewer
 than k words have one shingle, the whole sequence. Rows that share an id are one document. A row without an id
 is in its text's component; a component's name is the least id in it, null if none of its rows has an id. An empty table gives
@@ -25,7 +27,6 @@ an empty result. Columns other than the id and the text play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Bloom, cut
+from .shared import MOST_BITS, Bloom, cut
 from .words import as_long, chunks, mix, shingle_hashes
 
 #: Fragments in which overlaps are counted; the parities' row has the number PARITY.
 FRAGMENTS, PARITY = 8, -1
+#: The number of a row that holds a batch's repeated shingles; shingles whose repeats are counted at once, but for longer texts.
+REPEATED, AT_ONCE = -1, 1 << 22
 
 
 def _set_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -56,40 +59,11 @@ def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None) -> It
             yield row, _set_of(words, k)
 
 
-def most_differing(sizes: int, t: int) -> int:
-    """The most shingles that only one of two linked sets has, of sizes whose sum is given."""
-    return sizes * (100 - t) // (100 + t)
-
-
-@lru_cache(4096)
-def _band(n: int, t: int) -> tuple[tuple[int, int], ...]:
-    """For a set of n shingles: (number, largest size) of the two pairs of neighbouring bands that it belongs to.
-
-    Bands are such that sets that may link are in one band or in two neighbouring ones.
-    """
-    edges = [1, 2]
-    while len(edges) < 3 or edges[-2] <= n:
-        edges.append(max(edges[-1] + 1, 100 * (edges[-1] - 1) // t + 1))
-    i = max(j for j, e in enumerate(edges) if e <= n)
-    return tuple((j, edges[j + 2] - 1) for j in (i - 1, i) if j >= 0)
-
-
-def segments(s: np.ndarray, t: int) -> np.ndarray:
-    """Hashes of the segments by which the set (sorted, not empty) can be found."""
-    out, n = [], len(s)
-    mixed, high = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), s >> np.uint64(32)
-    for band, largest in _band(n, t):
-        differing = most_differing(2 * largest, t)
-        if not differing:
-            continue  # only equal sets link
-        slack = 1 + differing // 8
-        parts, salt = differing + 1 + slack, np.uint64(band << 32)
-        fragment = (high * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.diff(fragment, prepend=np.uint64(1 << 40)))
-        out.append(mix(np.add.reduceat(mixed, first) ^ mix(fragment[first] + salt)))
-        if parts - len(first) > slack:
-            out.append(mix(mixed[: n - -(-t * n // 100) + 1] + mix(np.array([salt], np.uint64))))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+def prefix(s: np.ndarray, t: int, support: int, often: np.ndarray) -> np.ndarray:
+    """The set's first shingles in the global order; often tells of each of s, sorted by hash, whether it is frequent."""
+    most = min(len(s), len(s) - -(-t * len(s) // 100) + support)
+    rare = s[~often][:most]
+    return np.concatenate([rare, s[often][: most - len(rare)]])
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -103,18 +77,45 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
 
+NOTHING = np.empty(0, np.int64)
+
+
 def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _digests(k: int):
-    """mapInArrow: (id, text) into (id, d1, d2, n): two hashes of the set, and its size."""
+    """mapInArrow: (id, text) into (id, d1, d2, n, h, c): two hashes of the set, and its size; rows of n = REPEATED hold the shingles h that c different
+    sets of a batch have, two or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(*(_digest(s) if len(s) else (0, 0)), len(s)) for _, s in _sets(batch, k)]
-            d1, d2, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(d1), _longs(d2), pa.array(n, pa.int64())], ["id", "d1", "d2", "n"])
+            out: list[list] = [[], [], [], [], [], []]
+            sets: list[np.ndarray] = []
+            seen: set = set()
+            at_once = 0
+
+            def add(*values) -> None:
+                for to, v in zip(out, values, strict=True):
+                    to.append(v)
+
+            def repeated() -> None:
+                h, c = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+                add(None, 0, 0, REPEATED, as_long(h[c > 1]), c[c > 1])
+                sets.clear()
+
+            for row, s in _sets(batch, k):
+                d1, d2 = _digest(s) if len(s) else (0, 0)
+                add(batch.column(0)[row].as_py(), d1, d2, len(s), NOTHING, NOTHING)
+                if len(s) and d1 not in seen:
+                    seen.add(d1)
+                    sets.append(s)
+                    at_once += len(s)
+                if at_once >= AT_ONCE:
+                    repeated()
+                    at_once = 0
+            repeated()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _longs(out[1]), _longs(out[2]), pa.array(out[3], pa.int64()), _lists(out[4]), _lists(out[5])], ["id", "d1", "d2", "n", "h", "c"])
 
     return run
 
@@ -124,28 +125,31 @@ def _wanted(batch: pa.RecordBatch, maybe) -> np.ndarray:
     return maybe.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _segments(k: int, t: int, nodes, shared):
-    """mapInArrow: (id, text) into (h, node, n) of the ids that may be nodes; shared: only of segments that two nodes may have, else h alone."""
+def _prefixes(k: int, t: int, support: int, nodes, frequent):
+    """mapInArrow: (id, text) into (node, n, prefix) of the ids that may be nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want, ids = _wanted(batch, nodes), batch.column(0)
-            for at in range(0, batch.num_rows, 512):
-                h, node, n = [], [], []
-                part = batch.slice(at, 512)
-                for row, s in _sets(part, k, want[at : at + 512]):
-                    if len(s):
-                        found = segments(s, t)
-                        h.append(found if shared is None else found[shared.value.has(as_long(found))])
-                        node.append(ids[at + row].as_py())
-                        n.append(len(s))
-                if not h:
-                    continue
-                many = list(map(len, h))
-                columns = [pa.array(as_long(np.concatenate(h)))]
-                if shared is not None:
-                    columns += [pa.array(np.repeat(np.array(node, np.int64), many)), pa.array(np.repeat(np.array(n, np.int64), many))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "node", "n"][: len(columns)])
+            node, n, lists = [], [], []
+            for row, s in _sets(batch, k, _wanted(batch, nodes)):
+                if len(s):
+                    node.append(batch.column(0)[row].as_py())
+                    n.append(len(s))
+                    lists.append(as_long(prefix(s, t, support, frequent.value.has(as_long(s)))))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(lists)], ["node", "n", "prefix"])
+
+    return run
+
+
+def _tokens(shared):
+    """mapInArrow: (node, n, prefix) into (h, node, n) of the shingles that two nodes may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            at = np.flatnonzero(shared.value.has(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1))], ["h", "node", "n"])
 
     return run
 
@@ -200,23 +204,36 @@ def _sizes(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tries: int = 2, most_rounds: int = 12, dense: int = 16):
-        self.k, self.t, self.tries, self.most_rounds, self.dense = k, percent, tries, most_rounds, dense
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, tries: int = 2, most_rounds: int = 12, dense: int = 2):
+        self.k, self.t, self.support, self.tries, self.most_rounds, self.dense = k, percent, support, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        spark = docs.sparkSession
-        self.sets = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n long"))
+        broadcast = docs.sparkSession.sparkContext.broadcast
+        read = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n long, h array<long>, c array<long>"))
+        self.sets = read.where(F.col("n") != REPEATED).select("id", "d1", "d2", "n")
         self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
-        nodes = spark.sparkContext.broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
-        found = self.docs.mapInArrow(_segments(k, percent, nodes, None), "h long")
-        shared = spark.sparkContext.broadcast(Bloom.build(cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")), "h"))
-        tokens = self.docs.mapInArrow(_segments(k, percent, nodes, shared), "h long, node long, n long").distinct()
+        nodes = broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
+        frequent = broadcast(Bloom.build(self._frequent(read.where(F.col("n") == REPEATED)), "h"))
+        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, support, nodes, frequent), "node long, n long, prefix array<long>"))
+        shared = prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
+        shared = broadcast(Bloom.build(cut(shared), "h"))
+        tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n long").distinct())
         met = tokens.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h")
-        tokens = cut(tokens)
         self.tokens = cut(tokens.join(met, "h", "left_semi"))
         self._links = None
 
+    @staticmethod
+    def _frequent(repeated: DataFrame) -> DataFrame:
+        """Of batches' repeated shingles: all, or as many of the most frequent ones as a filter holds."""
+        counts = cut(repeated.select(F.inline(F.arrays_zip("h", "c"))).groupBy("h").agg(F.sum("c").alias("c")))
+        level = F.floor(F.log2("c")).cast("int")
+        sizes = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        least = min(sizes, default=0)
+        while sum(n for x, n in sizes.items() if x >= least) > MOST_BITS // 16:
+            least += 1
+        return counts.where(level >= least).select("h")
+
     def _read_parts(self) -> None:
-        """The sets of all nodes that share a segment, once."""
+        """The sets of all nodes that share a shingle, once."""
         ends = self.tokens.select("node").distinct()
         wanted = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(cut(ends), "node"))
         self.parts = cut(self.docs.mapInArrow(_parts(self.k, wanted), "id long, d1 long, n long, fragment int, part array<long>"))
@@ -245,7 +262,7 @@ class JaccardJoin:
             self._read_parts()
         while not last:
             rounds += 1
-            # of each segment: how many of its nodes there are, and the component that most of them are in
+            # of each shingle: how many of its nodes there are, and the component that most of them are in
             sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
             met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("met"), F.sum("every").alias("n")).first()
             last = rounds > self.most_rounds or (met.met or 0) <= self.dense * (met.n or 0)
@@ -267,25 +284,35 @@ class JaccardJoin:
         return self._links
 
     def _crossing(self, named: DataFrame, sizes: DataFrame) -> DataFrame:
-        """All pairs of a segment's nodes that are in two components: one isn't in the component that most are in."""
+        """All pairs of a shingle's nodes that are in two components: one isn't in the component that most are in."""
         others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na")
-        return self._ordered(others.join(named.selectExpr("h", "part", "node as b", "n as nb"), "h").where("pa != part").where(_sizes(self.t)))
+        pairs = others.join(named.join(sizes.select("h", "top"), "h").selectExpr("h", "part", "part != top as second", "node as b", "n as nb"), "h").where("pa != part").where(_sizes(self.t))
+        # a pair of which both are outside comes from either of them
+        return self._supported(pairs.where("not second or a < b"))
 
     def _with_centres(self, named: DataFrame, tried: DataFrame | None, rounds: int) -> DataFrame:
-        """Each node with a few others: centres of its segments by an order of this round, those of most segments first."""
+        """Each node with a few others: centres of its shingles by an order of this round, those of most shingles first."""
         order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("part").alias("pa"))
         centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na")
         pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb").where(_sizes(self.t))
-        pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less"))
+        pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less")).where(self._enough_shared("-less"))
         if tried is not None:
             for x, y in (("a", "b"), ("b", "a")):
                 pairs = pairs.join(tried.toDF(x, y), ["a", "b"], "left_anti")
         chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
-        return self._ordered(pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb"))
+        return self._ordered(pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb")).distinct()
+
+    def _enough_shared(self, n: str) -> str:
+        """As SQL: a pair shares as many of its prefixes' shingles as one that links."""
+        return f"{n} >= least({self.support}, ({self.t} * greatest(na, nb) + 99) div 100)"
 
     @staticmethod
     def _ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
+        return pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb")
+
+    def _supported(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs, a row for each shingle that they share: those that share enough."""
+        return self._ordered(pairs).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("n")).where(self._enough_shared("n")).drop("n")
 
     def _same_id(self) -> DataFrame:
         """Links (a, b) between the nodes of rows that share an id with different sets."""
