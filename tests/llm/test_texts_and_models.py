@@ -233,6 +233,48 @@ def test_class_words_of_the_page_delete_no_content(start, end):
     assert text == "Share prices\nTwelve plain words of an article stand here for everyone to read.\nTrees\nSome more words.\nx"
 
 
+@pytest.mark.parametrize("start", ['<div class="sidebar">', '<div id="header"><div>', '<section class="menu social">', '<div class="ads"><article>'])
+def test_what_holds_most_words_is_content(start):
+    body = "<p>Twelve plain words of an article stand here for everyone to read.</p><p>Some more words.</p><p class=share>Share this</p>"
+    end = "".join(f"</{t}>" for t in reversed(re.findall("<([a-z]+)", start)))
+    text = html_text.main_text(f"<html><body><nav>Home</nav>{start}{body}{end}<div class='ad'>Buy</div></body></html>", {})
+    assert text == "Twelve plain words of an article stand here for everyone to read.\nSome more words."
+
+
+def test_the_scan_finds_the_region_without_article_and_main(spark, sf_dir):
+    """Pages whose article and main elements are renamed give the same text; weights come from pages as they are."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = html_text.learn_weights(pages)
+    differ = 0
+    rows = pages.collect()
+    for r in rows:
+        plain = re.sub("(</?)(?:article|main)(?=[ >])", r"\1div", r.html)
+        differ += html_text.main_text(plain, weights) != html_text.main_text(r.html, weights)
+    assert differ <= len(rows) // 50
+
+
+def test_the_region_has_the_largest_sum():
+    """Against all contiguous runs of events of random pages."""
+    rng = random.Random(8)
+    for _ in range(60):
+        source = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "word ", "two words ", "<br>", "<li>"]) for _ in range(rng.randrange(40)))
+        page = html_text.Page(source)
+        weights = {"p": 0.5, "/p": 0.25, "div": 3.0, "br": 0.0}
+        score = [n if key is None else -html_text._cost(key, weights, 1.0) for key, n, _ in page.events]
+        start, end = html_text.best_region(page, weights, 1.0)
+        best = max((sum(score[a:b]) for a in range(len(score)) for b in range(a + 1, len(score) + 1)), default=0.0)
+        assert abs(sum(score[start:end]) - max(0.0, best)) < 1e-9
+
+
+def test_end_tags_without_a_start_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    html_text.Page("<i>" * 100_000 + "</b>" * 100_000)
+    html_text.Page("<b><i>" * 60_000 + "</b></i>" * 60_000)
+    assert time.monotonic() - start < 10
+
+
 @pytest.mark.parametrize("size", [10, 5000, 300_000])
 @pytest.mark.parametrize("quote", ['"', "'"])
 def test_long_values_hold_markup(size, quote):

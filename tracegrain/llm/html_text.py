@@ -5,14 +5,16 @@ the contiguous part of the highest sum. Tags' weights come from pages whose mark
 article element): a tag that stands outside the article more often than inside costs more, by the logarithm of
 the ratio; tags are told apart by name, direction and class words. The labelled pages are a bounded sample,
 `max_labelled`, of the lowest hashes of the id. Elements that are never content (menus, forms, adverts, ...; by name, role or a whole
-class token or id) score no words; a class or id of which only a piece says so makes its tag cost more, and the scan decides.
+class token or id) score no words; a class or id of which only a piece says so makes its tag cost more, and the scan decides. On a page without
+article or main element (or with one in such an element), an element with four fifths of the words is not ruled out by a class or id that doesn't speak of comments.
 Where the region lies in an article or main element, that element's bounds replace the region's; else those of the
 smallest section of the page (div, section, table cell) that holds all of it, if there is one below the body.
 
 Text: character references decoded, white space in a block one space, trimmed, blocks joined by a line break.
 
 Cases: a null page is empty; an empty page, and one without words, has an empty text. Markup that is cut short
-ends at the page's end; a `<` that opens no tag is text. Repeated rows give a row each, null ids stay null.
+ends at the page's end, so a tag without its `>` takes the rest; a `<` that opens no tag is text. Repeated rows give a row each, null ids stay
+null. Columns `text` and `n_chars` of the input are replaced, others pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,10 +45,13 @@ NOT_CONTENT = set(
     "header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist respond replies disqus widget toolbar search".split()
 )
+COMMENTS = set("comment comments commentlist respond replies disqus".split())
 #: Elements whose class and id say what the page or a heading has, not what the element is.
 NEUTRAL = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a tag costs more of whose class or id a piece, but no whole token, is in NOT_CONTENT; such keys start with the mark.
 DOUBT, DOUBT_MARK = 8.0, "?"
+#: Stands for an element's name, role or style among what says that it isn't content.
+HARD = -1
 NOT_CONTENT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -68,15 +73,33 @@ class Page:
         self.events: list[tuple[str | None, int, int]] = []
         self.section: list[int] = []
         self.outer: list[int] = []
-        self._open: list[tuple[str, bool, int, int]] = []  # name, not content, content element, section
+        # name, what says that it isn't content (numbers of elements by class or id, HARD for all else), content element, section
+        self._open: list[tuple[str, tuple[int, ...], int, int]] = []
+        self._excluded: list[tuple[int, ...]] = []  # of each block
+        self._n_excluding = 0
         self._text: list[str] = []
         self._elements = 0
+        self._n_open: Counter[str] = Counter()  # by name: an end tag without its start costs nothing
         self._no_end: set[int] = set()  # opening quotes from which no tag's end is found
         self._read(source)
         self._end_block()
-
-    def _state(self) -> tuple[bool, int]:
-        return self._open[-1][1:3] if self._open else (False, -1)
+        if self._n_excluding and not any(may and element >= 0 for _, element, may in self.blocks):
+            self._lift()
+
+    def _lift(self) -> None:
+        """Of a page without article or main element: one with four fifths of the words is no menu, whatever its class or id says."""
+        words: Counter[int] = Counter()
+        for (text, _, _), by in zip(self.blocks, self._excluded, strict=True):
+            if HARD not in by:
+                words.update(dict.fromkeys((HARD, *by), text.count(" ") + 1))
+        lifted = {x for x, n in words.items() if 5 * n >= 4 * words[HARD]} - {HARD}
+        if lifted:
+            may = [lifted.issuperset(by) for by in self._excluded]
+            self.blocks = [(text, element, m) for (text, element, _), m in zip(self.blocks, may, strict=True)]
+            self.events = [(key, (self.blocks[b][0].count(" ") + 1) * may[b] if key is None else n, b) for key, n, b in self.events]
+
+    def _state(self) -> tuple[tuple[int, ...], int]:
+        return self._open[-1][1:3] if self._open else ((), -1)
 
     def _section(self) -> int:
         return self._open[-1][3] if self._open else -1
@@ -90,6 +113,7 @@ class Page:
                 self.events.append((None, 0 if never else text.count(" ") + 1, len(self.blocks)))
                 self.blocks.append((text, element, not never))
                 self.section.append(self._section())
+                self._excluded.append(never)
 
     def _tag_end(self, source: str, at: int) -> int:
         """Of a tag from behind its name, the place of its `>` outside quoted values; else of the first `>`; -1 if there is none.
@@ -143,20 +167,24 @@ class Page:
             self._end_block()
         elif name in SPACED:
             self._text.append(" ")
-        key, never = ("/" if closing else "") + name, False
+        key, hard, by_class = ("/" if closing else "") + name, False, False
         if closing:
-            for i in range(len(self._open) - 1, -1, -1):
+            for i in () if not self._n_open[name] else range(len(self._open) - 1, -1, -1):
                 if self._open[i][0] == name:
                     self._leave(i)
                     break
         elif name not in VOID:
             if attrs.strip():
-                never, doubt, words = _never_content(attrs, self._state()[1] >= 0, name in NEUTRAL)
+                hard, by_class, doubt, words = _never_content(attrs, self._state()[1] >= 0, name in NEUTRAL)
                 key = DOUBT_MARK * doubt + key + "".join(f".{w}" for w in words)
             if name in BLOCKS and self._open and self._open[-1][0] in CLOSED_BY_BLOCK:
-                self._open.pop()
+                self._n_open[self._open.pop()[0]] -= 1
             inside, element = self._state()
-            never |= inside or name in NEVER or (name in PAGE_ONLY and element < 0)
+            never = inside
+            if hard or name in NEVER or (name in PAGE_ONLY and element < 0):
+                never = inside if HARD in inside else (*inside, HARD)
+            elif by_class and HARD not in inside:
+                never, self._n_excluding = (*inside, self._n_excluding), self._n_excluding + 1
             if name in CONTENT and not never and element < 0:
                 element, self._elements = self._elements, self._elements + 1
             if (never, element) != (inside, self._state()[1]):
@@ -166,12 +194,14 @@ class Page:
                 self.outer.append(section)
                 section = len(self.outer) - 1
             self._open.append((name, never, element, section))
+            self._n_open[name] += 1
         self.events.append((key, 0, -1))
 
     def _leave(self, i: int) -> None:
         before = self._state()
-        if before != (self._open[i - 1][1:3] if i else (False, -1)):
+        if before != (self._open[i - 1][1:3] if i else ((), -1)):
             self._end_inline()
+        self._n_open.subtract(x[0] for x in self._open[i:])
         del self._open[i:]
 
     def _end_inline(self) -> None:
@@ -179,27 +209,28 @@ class Page:
         self._end_block()
 
 
-def _never_content(attrs: str, inside: bool = False, neutral: bool = False) -> tuple[bool, bool, list[str]]:
-    """Whether the attributes say that the element isn't content, whether they raise a doubt, and the class words that tell tags apart.
+def _never_content(attrs: str, inside: bool = False, neutral: bool = False) -> tuple[bool, bool, bool, list[str]]:
+    """Whether role or style say that the element isn't content, whether class or id do, whether they raise a doubt, and the class words that tell tags apart.
 
     inside: in an article or main element, whose own header is content. neutral: class and id say nothing of the element.
     """
     words: list[str] = []
-    never = doubt = False
+    hard = never = doubt = False
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             found = _CLASS_WORD.findall(value)
             if not neutral:
                 never |= not NOT_CONTENT.isdisjoint(w for w in value.split() if not (inside and w == "header"))
+                hard |= not COMMENTS.isdisjoint(value.split())
                 doubt |= not NOT_CONTENT.isdisjoint(w for w in found if not (inside and w == "header"))
             if name == "class":
                 words += sorted(set(found))[:4]
         elif name == "role":
-            never |= value in NOT_CONTENT_ROLES
+            hard |= value in NOT_CONTENT_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            never = True
-    return never, doubt and not never, words
+            hard = True
+    return hard, never, doubt and not never, words
 
 
 def _cost(key: str, weights: dict[str, float], default: float) -> float:
