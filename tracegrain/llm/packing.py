@@ -1,13 +1,13 @@
 """Sum-of-squares packing of tokenised documents into sequences of a fixed length.
 
 Every document is tokenised and closed by an end id; only a document longer than a sequence is cut, into full
-pieces and a shorter first one. Pieces are dealt by hash over shards of about `shard_rows` documents, so a shard's
-size doesn't grow with the input, and each shard is packed in one task from its lengths alone. Longest
-first, a piece goes where the sum over all gaps of (open sequences with that gap) squared becomes smallest; a new
-sequence is opened only if none has room. A shard wastes about one sequence of tens of thousands.
+pieces and a shorter first one. Pieces are dealt by hash, of a row's place in its partition too, over shards of about `shard_rows` pieces, so a shard's
+size grows neither with the input nor with the rows that repeat, and each shard is packed in one task from its lengths alone. Longest
+first, a piece goes where the sum over all gaps of (open sequences with that gap) squared becomes smallest, of equal sums to the smallest gap;
+a new sequence is opened only if none has room. A shard wastes about one sequence of tens of thousands.
 
-Cases: a null text is empty: its document is the end id alone. Rows that repeat are packed each. A null id is kept.
-An empty table gives no piece.
+Cases: a null text is empty: its document is the end id alone. Rows that repeat are packed each. A null id is kept. Pieces of equal length
+are placed in the order of id, piece and checksum. Columns other than the id and the text play no part, whatever their names. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def default_paths() -> tuple[str, str]:
 
 def _tokenised(paths: tuple[str, str | None], size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(*paths)
+        encode, at = Encoder(*paths), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, done = [], {}
             for text in batch.column(1):
@@ -83,7 +84,9 @@ def _tokenised(paths: tuple[str, str | None], size: int, end_id: int, with_ids:
                     done[text] = [{"start": a, "length": b - a, "crc": zlib.crc32(ids[a:b].tobytes())} | ({"ids": ids[a:b].astype(np.int32)} if with_ids else {}) for a, b in zip(cuts, cuts[1:], strict=False)]
                 rows.append(done[text])
             fields = [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct(fields)))], ["id", "pieces"])
+            place = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(rows, pa.list_(pa.struct(fields)))], ["id", "place", "pieces"])
 
     return run
 
@@ -117,11 +120,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """A row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset; with_ids: and its ids."""
     schema = docs.select(F.col(id_col).alias("id")).schema
     id_type = schema["id"].dataType.simpleString()
-    shards = max(1, -(-docs.count() // shard_rows))
+    # a token has two characters or more but in scripts of their own, whose shards hold a few times as many pieces
+    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text_col).cast("long"))).first()
+    shards = max(1, -(-(rows + (chars or 0) // (2 * size)) // shard_rows))
     extra, extra_type = (["ids"], ", ids array<int>") if with_ids else ([], "")
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_tokenised(paths or default_paths(), size, end_id, with_ids), f"id {id_type}, pieces array<struct<start: long, length: long, crc: long{extra_type.replace('ids ', 'ids: ')}>>")
-    pieces = cut.select("id", F.posexplode("pieces").alias("piece", "p")).select("id", "piece", "p.*")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length", "crc"), F.lit(shards)))
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_tokenised(paths or default_paths(), size, end_id, with_ids), f"id {id_type}, place long, pieces array<struct<start: long, length: long, crc: long{extra_type.replace('ids ', 'ids: ')}>>")
+    pieces = cut.select("id", "place", F.posexplode("pieces").alias("piece", "p")).select("id", "place", "piece", "p.*")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("place", "piece", "length", "crc"), F.lit(shards))).drop("place")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece", "crc"], ascending=[False, True, True, True], kind="stable")
