@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bits_for, cut, word_and_mask
 
 BITS_A_VALUE = 3
+#: Groups of a larger share of the rows, and of so many rows at least, are broadcast: 1 / LARGE of them at most.
+LARGE, LEAST_LARGE = 1e-4, 200
 
 
 def _twice(words: int, merged: bool):
@@ -80,24 +82,40 @@ def _prepared(df: DataFrame, text_col: str, null_as_empty: bool) -> tuple[DataFr
     return (seen if null_as_empty else seen.withColumn("__again", F.col("__again") & text.isNotNull())), F.sha2(text.cast("binary"), 256)
 
 
+def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined with groups (one row for each __sha); rows of large groups don't shuffle.
+
+    Groups of more than LARGE of all rows (LEAST_LARGE at least) are fewer than 1 / LARGE, so they are broadcast.
+    """
+    large = cut(groups.where(F.col("__size") > max(LEAST_LARGE, int(LARGE * rows.count()))).select("__sha", F.lit(True).alias("__large")))
+    if large.isEmpty():
+        return rows.join(groups, "__sha")
+    marked = rows.join(F.broadcast(large), "__sha", "left")
+    of_large = F.broadcast(groups.join(F.broadcast(large.select("__sha")), "__sha", "left_semi"))
+    few = marked.where("__large is null").drop("__large").join(groups, "__sha")
+    return few.unionByName(marked.where("__large").drop("__large").join(of_large, "__sha"))
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_as_empty: bool = True) -> DataFrame:
     """A row for each row of df: its id, keep_id, group_size, kept and text_sha256."""
     seen, sha = _prepared(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", null_as_empty)
     seen = cut(seen.select("__id", sha.alias("__sha"), "__again"))
     single = seen.where("not __again").select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
     many = seen.where("__again").drop("__again")
-    many = many.join(many.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")), "__sha")
-    # rows that equal even in their id: the window's groups hold these only
-    first = F.row_number().over(Window.partitionBy("__sha", "__id").orderBy("__size")) == 1
+    met = _met(many, cut(many.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))))
     top = F.col("__id").eqNullSafe(F.col("__keep"))
-    many = many.where(top).withColumn("kept", first).unionByName(many.where(~top).withColumn("kept", F.lit(False)))
-    return single.unionByName(many.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), "kept", F.col("__sha").alias("text_sha256")))
+    # rows that equal even in their id are counted, and one of them is kept
+    same = met.where(top).groupBy("__sha", "__id", "__keep", "__size").agg(F.count(F.lit(1)).alias("__n"))
+    same = same.select("__sha", "__id", "__keep", "__size", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__i"))
+    out = same.select("__id", "__sha", "__keep", "__size", (F.col("__i") == 1).alias("kept")).unionByName(met.where(~top).withColumn("kept", F.lit(False)))
+    return single.unionByName(out.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), "kept", F.col("__sha").alias("text_sha256")))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_as_empty: bool = True) -> DataFrame:
     """df without the rows whose text another row with a larger id has; the columns stay as they are."""
     seen, sha = _prepared(df, text_col, null_as_empty)
     many = cut(seen.where("__again").withColumn("__sha", sha))
-    groups = many.groupBy("__sha").agg(F.max(id_col).alias("__keep"))
-    kept = many.join(groups, "__sha").where(F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    groups = cut(many.groupBy("__sha").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size")))
+    # one of the rows that equal even in their id; partial aggregation leaves one of them a task
+    kept = _met(many, groups).where(F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
     return seen.where("not __again").select(df.columns).unionByName(kept.select(df.columns))

@@ -15,9 +15,11 @@ MOST_BITS = 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all of Spark runs in this one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster tables are written to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracegrain-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
