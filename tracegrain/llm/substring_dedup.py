@@ -6,6 +6,9 @@ the edges' source coordinates. There, neighbouring edges of equal counts compact
 verify it: a path that starts at as many places as its edges has no branch in it, as each of its edges is followed
 by the same one everywhere; one that fails is marked. Paths are the long repeated spans.
 
+An edge is told by 128 bits: two hashes of its words by polynomials of their own. Both count and join, so among 10**13 windows fewer than one in 10**11
+runs meets a false equal.
+
 Before, anchors keep the rest out of the shuffle. A window's anchor is the least hashed `anchor`-gram of its
 words, so equal windows have equal anchors, and neighbours mostly share one. Anchors are counted first; a
 window whose anchor occurs once can't repeat. A Bloom filter of fixed size tells tasks which anchors repeat; the
@@ -38,14 +41,24 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     step = 7 if k % 7 == 0 else 1
     parts = shingle_hashes(words, step)
-    return shingle_hashes(parts, k) if step == 1 else _strided(parts, k // step, step, n)
+    return shingle_hashes(parts, k) if step == 1 else _strided(parts, k // step, step, n, 0xA0761D6478BD642F)
+
+
+def second_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of every k consecutive words."""
+    n, step = len(words) - k + 1, 5 if k % 5 == 0 else 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    again = mix(words ^ np.uint64(0x8EBC6AF09C88C6E3))
+    parts = _strided(again, step, 1, len(words) - step + 1, 0xE7037ED1A0B428DB)
+    return _strided(parts, k // step, step, n, 0xEB44ACCAB455D165)
 
 
-def _strided(parts: np.ndarray, times: int, step: int, n: int) -> np.ndarray:
+def _strided(parts: np.ndarray, times: int, step: int, n: int, base: int) -> np.ndarray:
     out, power = np.zeros(n, np.uint64), 1
     for i in range(times):
         out += parts[i * step : i * step + n] * np.uint64(power)
-        power = power * 0xA0761D6478BD642F % (1 << 64)
+        power = power * base % (1 << 64)
     return mix(out)
 
 
@@ -89,11 +102,11 @@ def _key(words: np.ndarray) -> int:
 
 
 def _edges(k: int, anchor: int, maybe):
-    """mapInArrow: (text) into (doc, first, edges): runs of windows whose anchors may repeat; doc is the text's key."""
+    """mapInArrow: (text) into (doc, first, edges, seconds): runs of windows whose anchors may repeat; doc is the text's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for chunk in chunks(batch.column(0)):
                 for _, words in chunk:
                     if len(words) < k:
@@ -103,13 +116,13 @@ def _edges(k: int, anchor: int, maybe):
                     passed = np.repeat(maybe.value.has(as_long(grams[at[change]])), np.diff(np.append(change, len(at))))
                     if not passed.any():
                         continue
-                    edges, doc = as_long(window_hashes(words, k)), _key(words)
+                    edges, seconds, doc = as_long(window_hashes(words, k)), as_long(second_hashes(words, k)), _key(words)
                     borders = np.flatnonzero(np.diff(np.concatenate([[False], passed, [False]]).astype(np.int8)))
                     for a, b in zip(borders[::2], borders[1::2], strict=True):
-                        for to, v in zip(out, (doc, a, edges[a:b]), strict=True):
+                        for to, v in zip(out, (doc, a, edges[a:b], seconds[a:b]), strict=True):
                             to.append(v)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[2])]), pa.int32()), pa.array(np.concatenate(out[2]) if out[2] else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), lists], ["doc", "first", "edges"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in out[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *lists], ["doc", "first", "edges", "seconds"])
 
     return run
 
@@ -158,18 +171,22 @@ class RepeatedSpans:
         texts, spark = docs.select(F.col(text_col).alias("text")), docs.sparkSession
         counts = texts.mapInArrow(_anchor_counts(k, anchor), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         maybe = spark.sparkContext.broadcast(Bloom.build(cut(counts.where("n > 1").select("h")), "h"))
-        runs = texts.mapInArrow(_edges(k, anchor, maybe), "doc long, first long, edges array<long>")
-        self.runs = cut(runs.groupBy("doc", "first").agg(F.any_value("edges").alias("edges"), F.count(F.lit(1)).alias("copies")))
-        self._covered = None
+        runs = texts.mapInArrow(_edges(k, anchor, maybe), "doc long, first long, edges array<long>, seconds array<long>")
+        self.runs = cut(runs.groupBy("doc", "first").agg(F.any_value("edges").alias("edges"), F.any_value("seconds").alias("seconds"), F.count(F.lit(1)).alias("copies")))
+        self._edges = self._covered = None
 
     def edges(self) -> DataFrame:
-        """(e, n): the edges that start at n places, two or more."""
-        return self.runs.select(F.explode("edges").alias("e"), "copies").groupBy("e").agg(F.sum("copies").alias("n")).where("n > 1")
+        """(e, f, n): the edges (their two hashes) that start at n places, two or more; a table, so that places of one edge can be dealt over tasks when they meet it."""
+        if self._edges is None:
+            counts = self.runs.select(F.inline(F.arrays_zip(F.col("edges").alias("e"), F.col("seconds").alias("f"))), "copies").groupBy("e", "f").agg(F.sum("copies").alias("n"))
+            self._edges = cut(counts.where("n > 1"))
+        return self._edges
 
     def candidates(self) -> DataFrame:
         """(doc, start, windows, path, content, n, copies): runs of neighbouring repeated edges of equal counts, in each source."""
-        placed = self.runs.select("doc", "first", "copies", F.posexplode("edges").alias("i", "e")).select("doc", (F.col("first") + F.col("i")).cast("int").alias("at"), "e", "copies")
-        found = placed.join(self.edges(), "e")
+        both = F.arrays_zip(F.col("edges").alias("e"), F.col("seconds").alias("f"))
+        placed = self.runs.select("doc", "first", "copies", F.posexplode(both).alias("i", "x")).select("doc", (F.col("first") + F.col("i")).cast("int").alias("at"), "x.e", "x.f", "copies")
+        found = placed.join(self.edges(), ["e", "f"])
         by_place = Window.partitionBy("doc").orderBy("at")
         new = F.coalesce((F.lag("at").over(by_place) == F.col("at") - 1) & (F.lag("n").over(by_place) == F.col("n")), F.lit(False))
         marked = found.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("no", F.sum("new").over(by_place))
