@@ -87,6 +87,43 @@ def test_quality_rules_learn_a_list():
     assert quality_rules.learn([]) == [] == quality_rules.learn([r | {"bad": 0} for r in rows])
 
 
+def test_kept_is_the_plain_evaluation_of_the_list(spark, docs, sf_dir):
+    """Features of each text by their definitions; the first rule of the list that holds rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = quality_rules.learn(quality_rules.labelled_sample(table, labels, "doc_id", "text", "quality", 6000))
+    T = quality_rules.Threshold
+    for rules in (learned, [], [(T("digit_share", True, 0.2),), (T("mean_word", True, 5.5), T("upper_share", False, 0.01)), (T("repeat_share", True, 0.1), T("dup_line_share", True, 0.1))]):
+        expected = []
+        for i, t in rows_of(docs):
+            s, text = base_statistics(t), t or ""
+            count = lambda chars: sum(text.count(c) for c in chars)  # noqa: E731, B023
+            lines, chars, n = sum(bool(words(x)) for x in text.split("\n")), max(1, s["word_chars"]), max(1, s["n_words"])
+            f = {
+                "symbol_share": s["n_symbols"] / chars, "mean_word": s["word_chars"] / n, "dup_line_share": s["n_dup_lines"] / max(1, lines), "repeat_share": s["n_repeat_words"] / n,
+                "upper_share": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, "mark_share": count("!?|#*$%&<>{}[]=_~^@;") / chars, "digit_share": count("0123456789") / chars,
+            }
+            first = next((j for j, rule in enumerate(rules, 1) if all((f[x.feature] >= x.value) == x.above for x in rule)), 0)
+            failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+            expected.append({"doc_id": i, "rule": first, "kept": not failed and not first})
+        same_rows(quality_rules.judge(docs, rules), expected, ["doc_id", "rule", "kept"])
+
+
+def test_pruning_leaves_one_threshold_a_feature_and_direction():
+    T = quality_rules.Threshold
+    rows = [{f: i / 100 for f in quality_rules.FEATURES} | {"bad": int(i > 50)} for i in range(100)]
+    rule = quality_rules._prune((T("mark_share", True, 0.1), T("mark_share", True, 0.51), T("mean_word", False, 2.0)), rows)
+    assert rule == (T("mark_share", True, 0.51),) or rule == (T("mark_share", True, 0.51), T("mean_word", False, 2.0))
+
+
+def test_long_texts_have_exact_windows(spark):
+    """Half a million different words have no repeated window; with the first ten words again at the end they have six or more."""
+    text = " ".join(f"{i:x}" for i in range(500_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " " + " ".join(f"{i:x}" for i in range(10)))], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.statistics(docs).select("doc_id", "n_repeat_words").collect()}
+    assert got == {1: 0, 2: 20}
+
+
 def test_quality_rules_on_held_out_labels(spark, sf_dir):
     """Learned on half of the labels: few good documents go, and junk that the rules find is junk."""
     from pyspark.sql import functions as F

@@ -11,8 +11,10 @@ The labelled rows are a bounded sample, `max_labelled`, of the lowest hashes of
 functions in one scan without a shuffle.
 
 Cases: a null text has no word. A text without words has all statistics 0. Labels that are null, and labelled ids
-without a document, don't count; without a reject label the list is empty and all that pass the base rules are kept. Columns of
-the input keep their values; a statistic's column replaces a column of the same name.
+without a document, don't count; of labelled rows that share an id, the one of the smallest statistics counts. Without a reject label the list is
+empty and all that pass the base rules are kept. Columns of the input keep their values, but for those named as a statistic, a feature, base_failed, rule
+or kept, which are replaced; names that start with two underscores are the module's own. Of candidates of equal gain the first in FEATURES' order and of the
+lowest threshold is taken. Repeated rows get a verdict each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,7 +162,9 @@ def _prune(rule: Rule, rows: list[dict]) -> Rule:
     for n in range(len(rule) - 1, 0, -1):
         if _worth(rule[:n], rows) >= _worth(best, rows):
             best = rule[:n]
-    return best
+    # of two thresholds of one feature in the same direction, the stricter one says all
+    bound = {(t.feature, t.above): (max if t.above else min)(u.value for u in best if (u.feature, u.above) == (t.feature, t.above)) for t in best}
+    return tuple(dict.fromkeys(Threshold(f, above, v) for (f, above), v in bound.items()))
 
 
 def learn(rows: list[dict], precision: float = 0.98, least: int = 5, cuts: int = 24, most: int = 3, rules: int = 24) -> list[Rule]:
@@ -181,9 +185,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """Statistics of at most max_labelled labelled documents, those of the lowest hashes of their ids."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
-    found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)
-    found = statistics(found, text_col).select(*FEATURES, (F.col("__label") == 0).cast("int").alias("bad"), F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(3)).alias("part"), F.xxhash64(id_col).alias("o"))
-    return sorted((r.asDict() for r in found.limit(2 * max_labelled).collect()), key=lambda r: (r["o"], *(r[f] for f in FEATURES)))
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
+    found = statistics(found, "__text").select(*FEATURES, (F.col("__label") == 0).cast("int").alias("bad"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)).alias("part"), F.xxhash64("__id").alias("o"), "__id")
+    # of rows that share an id one, so no more than max_labelled reach the driver
+    one = found.groupBy("__id").agg(F.min(F.struct("o", *FEATURES, "bad", "part")).alias("x")).select("x.*")
+    return sorted((r.asDict() for r in one.collect()), key=lambda r: (r["o"], *(r[f] for f in FEATURES)))
 
 
 def verdict(rules: list[Rule]) -> Column:
