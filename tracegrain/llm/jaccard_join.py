@@ -204,7 +204,7 @@ def _sizes(t: int) -> str:
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, tries: int = 2, most_rounds: int = 12, dense: int = 2):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, tries: int = 1, most_rounds: int = 12, dense: int = 16):
         self.k, self.t, self.support, self.tries, self.most_rounds, self.dense = k, percent, support, tries, most_rounds, dense
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         broadcast = docs.sparkSession.sparkContext.broadcast
@@ -232,18 +232,15 @@ class JaccardJoin:
             least += 1
         return counts.where(level >= least).select("h")
 
-    def _read_parts(self) -> None:
-        """The sets of all nodes that share a shingle, once."""
-        ends = self.tokens.select("node").distinct()
-        wanted = self.docs.sparkSession.sparkContext.broadcast(Bloom.build(cut(ends), "node"))
-        self.parts = cut(self.docs.mapInArrow(_parts(self.k, wanted), "id long, d1 long, n long, fragment int, part array<long>"))
-
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, na, b, nb): those that link, with their overlap, counted in each fragment and summed."""
-        odd = self.parts.where(F.col("fragment") == PARITY).select("id", "n", "part")
+        ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.build(ends, "node"))
+        every = cut(self.docs.mapInArrow(_parts(self.k, wanted), "id long, d1 long, n long, fragment int, part array<long>"))
+        odd = every.where(F.col("fragment") == PARITY).select("id", "n", "part")
         met = pairs.join(odd.toDF("a", "na", "oa"), ["a", "na"]).join(odd.toDF("b", "nb", "ob"), ["b", "nb"])
         pairs = cut(met.select("a", "na", "b", "nb", "oa", "ob").mapInArrow(_possible(self.t), "a long, na long, b long, nb long").distinct())
-        parts = self.parts.where(F.col("fragment") != PARITY)
+        parts = every.where(F.col("fragment") != PARITY)
         left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
         right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
         both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb", "fragment"])
@@ -258,14 +255,12 @@ class JaccardJoin:
             return self._links
         named, found, tried = self.tokens.withColumn("part", F.col("node")), None, None
         rounds, last = 0, self.tokens.isEmpty()
-        if not last:
-            self._read_parts()
         while not last:
             rounds += 1
             # of each shingle: how many of its nodes there are, and the component that most of them are in
             sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
             met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("met"), F.sum("every").alias("n")).first()
-            last = rounds > self.most_rounds or (met.met or 0) <= self.dense * (met.n or 0)
+            last = rounds > self.most_rounds or rounds > 1 and (met.met or 0) <= self.dense * (met.n or 0)
             pairs = self._crossing(named, sizes) if last else self._with_centres(named, tried, rounds)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
