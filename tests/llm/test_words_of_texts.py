@@ -214,8 +214,8 @@ def test_jaccard_links_at_the_bound(spark):
         texts.append(" ".join([*common[:at], *(f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 9))), *common[at:]]))
     texts += texts[:15]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for tries, rounds, dense in ((4, 12, 0), (1, 1, 0), (2, 0, 0), (4, 12, 1000)):
-        got = JaccardJoin(df, tries=tries, most_rounds=rounds, dense=dense).membership().selectExpr("id as doc_id", "n_shingles", "component as component_id")
+    for rounds in (0, 1, 2, 5):
+        got = JaccardJoin(df, rounds=rounds).membership().selectExpr("id as doc_id", "n_shingles", "component as component_id")
         same_rows(got, linked(list(enumerate(texts))))
 
 
@@ -236,10 +236,10 @@ def test_long_words_of_equal_polynomials_differ():
 
 
 def test_prefixes_lose_no_link():
-    """Sets that link share as many shingles of their prefixes as is asked for, whichever shingles are frequent."""
+    """Sets that link share a shingle of their prefixes at places that the smaller one has in front and that let them link, whichever shingles are frequent."""
     import numpy as np
 
-    from tracegrain.llm.jaccard_join import prefix
+    from tracegrain.llm.jaccard_join import overlap, prefix
 
     rng = np.random.default_rng(2)
     for n in [*range(1, 60), 97, 130, 400, 3000]:
@@ -251,8 +251,11 @@ def test_prefixes_lose_no_link():
                 s = rng.integers(0, 2**63, both + sum(a), dtype=np.uint64) * np.uint64(2)
                 often = dict(zip(s.tolist(), rng.random(len(s)) < 0.4, strict=True))
                 x, y = np.unique(s[: both + a[0]]), np.unique(np.concatenate([s[:both], s[both + a[0] :]]))
-                p, q = (prefix(z, t, 4, np.array([often[v] for v in z.tolist()])) for z in (x, y))
-                assert len(np.intersect1d(p, q)) >= min(4, -(-t * max(len(x), len(y)) // 100))
+                assert overlap(x, y) == both
+                p, q = (prefix(z, t, np.array([often[v] for v in z.tolist()])).tolist() for z in sorted((x, y), key=len))
+                small, large = sorted((len(x), len(y)))
+                met = [(p.index(h), q.index(h)) for h in set(p) & set(q)]
+                assert any(i <= small - -(-2 * t * small // (100 + t)) and (100 + t) * (1 + min(small - i - 1, large - j - 1)) >= t * (small + large) for i, j in met)
 
 
 def test_jaccard_on_one_id_with_different_texts(spark):

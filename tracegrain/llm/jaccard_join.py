@@ -3,25 +3,23 @@
 All shingles have one global order: rare ones first, frequent ones last, else by hash. A document's sorted set is cut into
 fragments at fixed places of that order. Overlaps are counted in each fragment alone and summed for each pair.
 
-* The order's low end gives the candidates. Of two sets that link, with an overlap of at least A = ceil(t max(a, b)), the first
-  n - ceil(t n) + `support` shingles of both share min(`support`, A) or more; their number is summed for each pair, and pairs
-  below it never meet. Shingles that many sets hold stand at the order's end, so sets that differ from a large group by more than a
-  link allows share no candidates with it.
-* Of the candidates, overlaps are counted in each fragment alone and summed for each pair; the sums decide.
+* The order's low end gives the candidates. Two sets that link share one of their first n - ceil(t n) + 1 shingles. In the smaller set
+  that is one of the first n - ceil(2 t n / (1 + t)) + 1, and the places at which they share it bound what they can share beyond it:
+  a pair meets only if sizes and places leave a link possible. Shingles that many sets hold stand at the order's end, so sets that differ from a
+  large group by more than a link allows share nothing with it there.
+* Of a candidate pair, whole texts meet, and overlaps are counted in each of FRAGMENTS parts of the hash's range; their sum decides.
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
-* A shingle's nodes aren't paired all with all. In rounds, each node is tried with a few centres of its shingles; what links merges into
-  components, and shingles all of whose nodes are in one component go. When few pairs are left, all pairs of a shingle's nodes that are in
-  different components are counted: in each pair one is outside the component that most of the nodes are in.
-* Before sets meet, a pair's parities, a bit for each residue of the hash, tell whether a link is possible:
-  every differing bit is a shingle that only one of them has.
+* A shingle's nodes aren't paired all with all. In `rounds` rounds each node is tried with the one centre that it shares most shingles with; what links
+  merges into components. Then all pairs of a shingle's nodes that are in different components are counted: in each pair one
+  is outside the largest component that the shingle occurs in.
 
 Which shingles count as frequent is found from all documents (those that a batch of them holds twice), by a Bloom filter that keeps the most frequent ones
 if it can't hold all. It decides the order only: no link is lost, whatever the order.
 
 Cases: null and empty texts and texts without a word have no shingle and link with nothing; texts of fewer
 than k words have one shingle, the whole sequence. Rows that share an id are one document. A row without an id
-is in its text's component; a component's name is the least id in it, null if none of its rows has an id. An empty table gives
-an empty result. Columns other than the id and the text play no part.
+is in its text's component; a component's name is the least id in it, null if none of its rows has an id. Of centres that share equally many
+shingles the one of the least hash is tried. An empty table gives an empty result. Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -30,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import MOST_BITS, Bloom, cut
+from .shared import MOST_BITS, Bloom, cut, discard
 from .words import as_long, chunks, mix, shingle_hashes
 
-#: Fragments in which overlaps are counted; the parities' row has the number PARITY.
-FRAGMENTS, PARITY = 8, -1
+#: Fragments in which overlaps are counted.
+FRAGMENTS = 8
 #: The number of a row that holds a batch's repeated shingles; shingles whose repeats are counted at once, but for longer texts.
 REPEATED, AT_ONCE = -1, 1 << 22
 
@@ -59,18 +57,18 @@ def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None) -> It
             yield row, _set_of(words, k)
 
 
-def prefix(s: np.ndarray, t: int, support: int, often: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, t: int, often: np.ndarray) -> np.ndarray:
     """The set's first shingles in the global order; often tells of each of s, sorted by hash, whether it is frequent."""
-    most = min(len(s), len(s) - -(-t * len(s) // 100) + support)
+    most = len(s) - -(-t * len(s) // 100) + 1
     rare = s[~often][:most]
     return np.concatenate([rare, s[often][: most - len(rare)]])
 
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    """For each residue of the hash, whether the set has an odd number of such shingles; two bits a shingle or more."""
-    bits = 1 << max(9, int(2 * len(s) - 1).bit_length())
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets share: counted in each fragment, and summed."""
+    cuts = np.arange(FRAGMENTS + 1, dtype=np.uint64) << np.uint64(61)
+    a, b = (np.append(np.searchsorted(s, cuts[:-1]), len(s)) for s in (x, y))
+    return sum(len(np.intersect1d(x[a[f] : a[f + 1]], y[b[f] : b[f + 1]], assume_unique=True)) for f in range(FRAGMENTS))
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -115,7 +113,7 @@ def _digests(k: int):
                     repeated()
                     at_once = 0
             repeated()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _longs(out[1]), _longs(out[2]), pa.array(out[3], pa.int64()), _lists(out[4]), _lists(out[5])], ["id", "d1", "d2", "n", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _longs(out[1]), _longs(out[2]), pa.array(out[3], pa.int32()), _lists(out[4]), _lists(out[5])], ["id", "d1", "d2", "n", "h", "c"])
 
     return run
 
@@ -125,7 +123,7 @@ def _wanted(batch: pa.RecordBatch, maybe) -> np.ndarray:
     return maybe.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _prefixes(k: int, t: int, support: int, nodes, frequent):
+def _prefixes(k: int, t: int, nodes, frequent):
     """mapInArrow: (id, text) into (node, n, prefix) of the ids that may be nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,90 +133,95 @@ def _prefixes(k: int, t: int, support: int, nodes, frequent):
                 if len(s):
                     node.append(batch.column(0)[row].as_py())
                     n.append(len(s))
-                    lists.append(as_long(prefix(s, t, support, frequent.value.has(as_long(s)))))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(lists)], ["node", "n", "prefix"])
+                    lists.append(as_long(prefix(s, t, frequent.value.has(as_long(s)))))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(lists)], ["node", "n", "prefix"])
 
     return run
 
 
 def _tokens(shared):
-    """mapInArrow: (node, n, prefix) into (h, node, n) of the shingles that two nodes may have."""
+    """mapInArrow: (node, n, prefix) into (h, node, n, place) of the shingles that two nodes may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            h, lengths = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = np.flatnonzero(shared.value.has(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1))], ["h", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1)), pa.array(place[at].astype(np.int32))], ["h", "node", "n", "place"])
 
     return run
 
 
-def _parts(k: int, wanted):
-    """mapInArrow: (id, text) into (id, d1, n, fragment, part) of the ids that may be wanted; the fragment PARITY holds the parities."""
+def _texts(wanted):
+    """mapInArrow: (id, text) of the ids that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for row, s in _sets(batch, k, _wanted(batch, wanted)):
-                if not len(s):
-                    continue
-                cuts = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                parts = [(PARITY, _parities(s)), *((f, as_long(s[cuts[f] : cuts[f + 1]])) for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1])]
-                id_, d1 = batch.column(0)[row].as_py(), _digest(s)[0]
-                for f, part in parts:
-                    for to, v in zip(out, (id_, d1, len(s), f, part), strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _longs(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), _lists(out[4])], ["id", "d1", "n", "fragment", "part"])
+            yield batch.filter(pa.array(_wanted(batch, wanted)))
 
     return run
 
 
-def _possible(t: int):
-    """mapInArrow: (a, na, b, nb, oa, ob) into (a, na, b, nb) of the pairs whose parities let them link."""
+def _compared(k: int):
+    """mapInArrow: (a, na, b, nb, x, y) into (a, na, b, nb, overlap) of the texts x and y whose sets have na and nb shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, nb, oa, ob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                x, y = oa.values.to_numpy(), ob.values.to_numpy()
-                words = min(len(x), len(y))
-                differ = np.bitwise_xor.reduce(x.reshape(-1, words)) ^ np.bitwise_xor.reduce(y.reshape(-1, words))
-                overlap = (na + nb - int(np.bitwise_count(differ.view(np.uint64)).sum())) // 2
-                keep.append((100 + t) * overlap >= t * (na + nb))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+            sizes = [batch.column(i).to_pylist() for i in (1, 3)]
+            shared, keep, known = [], [], {}
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = []
+                for side in (0, 1):
+                    ids, texts = part.column(2 * side), part.column(4 + side)
+                    found = [known.get((ids[i], sizes[side][at + i])) for i in range(part.num_rows)]
+                    fresh = np.array([f is None for f in found], bool)
+                    for row, s in _sets(pa.RecordBatch.from_arrays([ids, texts], ["id", "text"]), k, fresh):
+                        if found[row] is None:
+                            found[row] = s
+                    sets.append(found)
+                # pairs come in the order of one side: its sets are kept for the rows that follow
+                known = {(part.column(0)[i], sizes[0][at + i]): s for i, s in enumerate(sets[0])}
+                for i, (x, y) in enumerate(zip(*sets, strict=True)):
+                    keep.append(len(x) == sizes[0][at + i] and len(y) == sizes[1][at + i])
+                    shared.append(overlap(x, y))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], ["a", "na", "b", "nb", "overlap"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _enough(t: int, overlap: str) -> str:
+def _enough(t: int, shared: str) -> str:
     """As SQL: 100 * overlap >= t * union, of sets of na and nb shingles."""
-    return f"{100 + t} * ({overlap}) >= {t} * (na + nb)"
+    return f"{100 + t} * ({shared}) >= {t} * (na + nb)"
 
 
-def _sizes(t: int) -> str:
-    """As SQL, of a pair: the sizes let them link."""
-    return f"100 * least(na, nb) >= {t} * greatest(na, nb)"
+def _can(t: int) -> str:
+    """As SQL, of a pair that shares a shingle at places i and j: the sizes and places let them link."""
+    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, "1 + least(na - i - 1, nb - j - 1)")
 
 
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, tries: int = 1, most_rounds: int = 12, dense: int = 16):
-        self.k, self.t, self.support, self.tries, self.most_rounds, self.dense = k, percent, support, tries, most_rounds, dense
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 2):
+        self.k, self.t, self.rounds = k, percent, rounds
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         broadcast = docs.sparkSession.sparkContext.broadcast
-        read = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n long, h array<long>, c array<long>"))
+        read = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n int, h array<long>, c array<long>"))
         self.sets = read.where(F.col("n") != REPEATED).select("id", "d1", "d2", "n")
         self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
         nodes = broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
         frequent = broadcast(Bloom.build(self._frequent(read.where(F.col("n") == REPEATED)), "h"))
-        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, support, nodes, frequent), "node long, n long, prefix array<long>"))
-        shared = prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
+        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, nodes, frequent), "node long, n int, prefix array<long>"))
+        # the smaller set of a pair has the shingle they share further in front than the larger one may
+        front = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
+        placed = prefixes.select("n", F.posexplode("prefix").alias("place", "h")).select("h", front.alias("front"))
+        shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.max("front").alias("front")).where("many > 1 and front").select("h")
         shared = broadcast(Bloom.build(cut(shared), "h"))
-        tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n long").distinct())
-        met = tokens.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h")
-        self.tokens = cut(tokens.join(met, "h", "left_semi"))
+        self.tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n int, place int"))
+        discard(prefixes)
         self._links = None
 
     @staticmethod
@@ -233,81 +236,59 @@ class JaccardJoin:
         return counts.where(level >= least).select("h")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, na, b, nb): those that link, with their overlap, counted in each fragment and summed."""
+        """Of pairs (a, na, b, nb): those that link, with their overlap, from the texts of both."""
         ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         wanted = pairs.sparkSession.sparkContext.broadcast(Bloom.build(ends, "node"))
-        every = cut(self.docs.mapInArrow(_parts(self.k, wanted), "id long, d1 long, n long, fragment int, part array<long>"))
-        odd = every.where(F.col("fragment") == PARITY).select("id", "n", "part")
-        met = pairs.join(odd.toDF("a", "na", "oa"), ["a", "na"]).join(odd.toDF("b", "nb", "ob"), ["b", "nb"])
-        pairs = cut(met.select("a", "na", "b", "nb", "oa", "ob").mapInArrow(_possible(self.t), "a long, na long, b long, nb long").distinct())
-        parts = every.where(F.col("fragment") != PARITY)
-        left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), "fragment", F.col("part").alias("pa"))
-        right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), "fragment", F.col("part").alias("pb"))
-        both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb", "fragment"])
-        # rows may repeat, and rows that share an id have several sets: each set counts once, and the most alike decide
-        each = both.groupBy("a", "na", "b", "nb", "da", "db", "fragment").agg(F.max(F.size(F.array_intersect("pa", "pb"))).alias("partial"))
-        overlaps = each.groupBy("a", "na", "b", "nb", "da", "db").agg(F.sum("partial").alias("overlap"))
-        return overlaps.where(_enough(self.t, "overlap")).groupBy("a", "na", "b", "nb").agg(F.max("overlap").alias("overlap"))
+        texts = self.docs.mapInArrow(_texts(wanted), "id long, text string")
+        both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "na", "b", "nb", "x", "y")
+        counted = both.mapInArrow(_compared(self.k), "a long, na int, b long, nb int, overlap long")
+        # rows may repeat, and rows that share an id have several sets: the most alike decide
+        return counted.where(_enough(self.t, "overlap")).groupBy("a", "na", "b", "nb").agg(F.max("overlap").alias("overlap"))
 
     def links(self) -> DataFrame:
         """Pairs (a, b) of nodes that link: enough of them to give every component, not all of a dense one."""
         if self._links is not None:
             return self._links
-        named, found, tried = self.tokens.withColumn("part", F.col("node")), None, None
-        rounds, last = 0, self.tokens.isEmpty()
-        while not last:
-            rounds += 1
-            # of each shingle: how many of its nodes there are, and the component that most of them are in
-            sizes = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("part", "n").alias("top"))
-            met = sizes.agg(F.sum(F.col("every") * (F.col("every") - F.col("most"))).alias("met"), F.sum("every").alias("n")).first()
-            last = rounds > self.most_rounds or rounds > 1 and (met.met or 0) <= self.dense * (met.n or 0)
-            pairs = self._crossing(named, sizes) if last else self._with_centres(named, tried, rounds)
+        found = tried = None
+        for i in range(1, self.rounds + 2):
+            named = self._named(found)
+            pairs = self._with_centres(named, i) if i <= self.rounds else self._crossing(named)
+            pairs = pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
-            if pairs.isEmpty():
-                continue
             new = cut(self._verified(pairs))
             tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
             found = new if found is None else found.union(new)
-            if not last and not new.isEmpty():
-                parts = components(found).select("node", F.col("component").alias("named"))
-                named = named.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("named", "node")).drop("named")
-                named = named.join(named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("h"), "h", "left_semi")
-                named = cut(named)
-        self._links = found if found is not None else self.tokens.selectExpr("node as a", "n as na", "node as b", "n as nb", "0L as overlap").limit(0)
-        return self._links
-
-    def _crossing(self, named: DataFrame, sizes: DataFrame) -> DataFrame:
-        """All pairs of a shingle's nodes that are in two components: one isn't in the component that most are in."""
-        others = named.join(sizes.select("h", "top"), "h").where("part != top").selectExpr("h", "part as pa", "node as a", "n as na")
-        pairs = others.join(named.join(sizes.select("h", "top"), "h").selectExpr("h", "part", "part != top as second", "node as b", "n as nb"), "h").where("pa != part").where(_sizes(self.t))
-        # a pair of which both are outside comes from either of them
-        return self._supported(pairs.where("not second or a < b"))
-
-    def _with_centres(self, named: DataFrame, tried: DataFrame | None, rounds: int) -> DataFrame:
-        """Each node with a few others: centres of its shingles by an order of this round, those of most shingles first."""
-        order = F.struct(F.xxhash64("node", F.lit(rounds)).alias("o"), "node", F.col("n").alias("na"), F.col("part").alias("pa"))
-        centre = named.groupBy("h").agg(F.min(order).alias("c")).select("h", "c.o", "c.pa", F.col("c.node").alias("a"), "c.na")
-        pairs = named.join(centre, "h").where("part != pa").selectExpr("o", "a", "na", "node as b", "n as nb").where(_sizes(self.t))
-        pairs = pairs.groupBy("o", "a", "na", "b", "nb").agg((-F.count(F.lit(1))).alias("less")).where(self._enough_shared("-less"))
-        if tried is not None:
-            for x, y in (("a", "b"), ("b", "a")):
-                pairs = pairs.join(tried.toDF(x, y), ["a", "b"], "left_anti")
-        chosen = F.slice(F.sort_array(F.collect_list(F.struct("less", "o", "a", "na"))), 1, self.tries)
-        return self._ordered(pairs.groupBy("b", "nb").agg(chosen.alias("c")).select(F.explode("c").alias("c"), "b", "nb").select("c.a", "c.na", "b", "nb")).distinct()
-
-    def _enough_shared(self, n: str) -> str:
-        """As SQL: a pair shares as many of its prefixes' shingles as one that links."""
-        return f"{n} >= least({self.support}, ({self.t} * greatest(na, nb) + 99) div 100)"
-
-    @staticmethod
-    def _ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb")
-
-    def _supported(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs, a row for each shingle that they share: those that share enough."""
-        return self._ordered(pairs).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("n")).where(self._enough_shared("n")).drop("n")
+        self._links = found
+        return found
+
+    def _named(self, found: DataFrame | None) -> DataFrame:
+        """The tokens with their nodes' components (part) and how many nodes these have."""
+        if found is None:
+            return self.tokens.withColumns({"part": F.col("node"), "size": F.lit(1).cast("long")})
+        parts = components(found.select("a", "b"))
+        parts = cut(parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", F.col("component").alias("part"), "size"))
+        return self.tokens.join(parts, "node", "left").withColumns({"part": F.coalesce("part", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+
+    def _with_centres(self, named: DataFrame, i: int) -> DataFrame:
+        """Each node with one other: of its shingles' centres the one that it shares most of them with.
+
+        The first round's centres are the nodes that have the shingle furthest in front, so those with fewest rare ones; others are taken by hash.
+        """
+        order = [F.xxhash64("node", F.lit(i)), F.col("node")]
+        centre = F.first(F.struct("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"))).over(Window.partitionBy("h").orderBy(*([F.col("place")] if i == 1 else []), *order))
+        met = named.withColumn("c", centre).where("part != c.part").select("c.a", "c.na", "c.i", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j")).where(_can(self.t))
+        counted = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("many"))
+        return counted.groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("many", F.xxhash64("a"))).alias("c")).select("c.a", "c.na", "b", "nb")
+
+    def _crossing(self, named: DataFrame) -> DataFrame:
+        """All pairs of a shingle's nodes that are in two components: one isn't in the largest one there."""
+        named = named.withColumn("top", F.max(F.struct("size", "part")).over(Window.partitionBy("h"))["part"])
+        others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
+        every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j")
+        # a pair of which both are outside comes from the one of them that is less
+        return others.join(every, "h").where("pa != part and (not other or a < b)").where(_can(self.t)).select("a", "na", "b", "nb")
 
     def _same_id(self) -> DataFrame:
         """Links (a, b) between the nodes of rows that share an id with different sets."""
@@ -320,5 +301,5 @@ class JaccardJoin:
         parts = components(self.links().select("a", "b").union(self._same_id()))
         nodes = self.nodes.join(parts, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
         sets = self.sets.select("id", "n", "d1", "d2")
-        with_words = sets.where("n > 0").join(nodes, ["d1", "d2", "n"]).select("id", F.col("n").alias("n_shingles"), "component")
-        return with_words.unionByName(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
+        with_words = sets.where("n > 0").join(nodes, ["d1", "d2", "n"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component")
+        return with_words.unionByName(sets.where("n = 0").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component")))

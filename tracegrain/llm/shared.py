@@ -36,7 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = where
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that cut() wrote; only once everything made from it is written too."""
+    table._table.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(table._table, True)
 
 
 def bits_for(n: int, a_row: int = 16) -> int:
