@@ -252,10 +252,11 @@ def test_prefixes_lose_no_link():
                 often = dict(zip(s.tolist(), rng.random(len(s)) < 0.4, strict=True))
                 x, y = np.unique(s[: both + a[0]]), np.unique(np.concatenate([s[:both], s[both + a[0] :]]))
                 assert overlap(x, y) == both
-                p, q = (prefix(z, t, np.array([often[v] for v in z.tolist()])).tolist() for z in sorted((x, y), key=len))
+                p, q = (prefix(z, t, 4, np.array([often[v] for v in z.tolist()])).tolist() for z in sorted((x, y), key=len))
                 small, large = sorted((len(x), len(y)))
                 met = [(p.index(h), q.index(h)) for h in set(p) & set(q)]
-                assert any(i <= small - -(-2 * t * small // (100 + t)) and (100 + t) * (1 + min(small - i - 1, large - j - 1)) >= t * (small + large) for i, j in met)
+                good = sum(i < small - -(-2 * t * small // (100 + t)) + 4 and (100 + t) * (4 + min(small - i - 1, large - j - 1)) >= t * (small + large) for i, j in met)
+                assert good >= min(4, -(-t * large // 100))
 
 
 def test_jaccard_on_one_id_with_different_texts(spark):

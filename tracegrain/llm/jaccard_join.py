@@ -3,10 +3,11 @@
 All shingles have one global order: rare ones first, frequent ones last, else by hash. A document's sorted set is cut into
 fragments at fixed places of that order. Overlaps are counted in each fragment alone and summed for each pair.
 
-* The order's low end gives the candidates. Two sets that link share one of their first n - ceil(t n) + 1 shingles. In the smaller set
-  that is one of the first n - ceil(2 t n / (1 + t)) + 1, and the places at which they share it bound what they can share beyond it:
-  a pair meets only if sizes and places leave a link possible. Shingles that many sets hold stand at the order's end, so sets that differ from a
-  large group by more than a link allows share nothing with it there.
+* The order's low end gives the candidates. Two sets that link, the larger one of m shingles, share at least min(`support`, ceil(t m)) of their first
+  n - ceil(t n) + `support` shingles: their number is summed for each pair. In the smaller set those are among the first
+  n - ceil(2 t n / (1 + t)) + `support`, and the places at which the pair shares them bound what it can share beyond them: a pair
+  meets only if sizes and places leave a link possible. Shingles that many sets hold stand at the order's end, so sets that differ from a large group by
+  more than a link allows share little with it there.
 * Of a candidate pair, whole texts meet, and overlaps are counted in each of FRAGMENTS parts of the hash's range; their sum decides.
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
 * A shingle's nodes aren't paired all with all. In `rounds` rounds each node is tried with the one centre that it shares most shingles with; what links
@@ -57,9 +58,9 @@ def _sets(batch: pa.RecordBatch, k: int, wanted: np.ndarray | None = None) -> It
             yield row, _set_of(words, k)
 
 
-def prefix(s: np.ndarray, t: int, often: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, t: int, support: int, often: np.ndarray) -> np.ndarray:
     """The set's first shingles in the global order; often tells of each of s, sorted by hash, whether it is frequent."""
-    most = len(s) - -(-t * len(s) // 100) + 1
+    most = min(len(s), len(s) - -(-t * len(s) // 100) + support)
     rare = s[~often][:most]
     return np.concatenate([rare, s[often][: most - len(rare)]])
 
@@ -123,7 +124,7 @@ def _wanted(batch: pa.RecordBatch, maybe) -> np.ndarray:
     return maybe.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _prefixes(k: int, t: int, nodes, frequent):
+def _prefixes(k: int, t: int, support: int, nodes, frequent):
     """mapInArrow: (id, text) into (node, n, prefix) of the ids that may be nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def _prefixes(k: int, t: int, nodes, frequent):
                 if len(s):
                     node.append(batch.column(0)[row].as_py())
                     n.append(len(s))
-                    lists.append(as_long(prefix(s, t, frequent.value.has(as_long(s)))))
+                    lists.append(as_long(prefix(s, t, support, frequent.value.has(as_long(s)))))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(lists)], ["node", "n", "prefix"])
 
     return run
@@ -197,16 +198,16 @@ def _enough(t: int, shared: str) -> str:
     return f"{100 + t} * ({shared}) >= {t} * (na + nb)"
 
 
-def _can(t: int) -> str:
-    """As SQL, of a pair that shares a shingle at places i and j: the sizes and places let them link."""
-    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, "1 + least(na - i - 1, nb - j - 1)")
+def _can(t: int, support: int) -> str:
+    """As SQL, of a pair that shares a shingle at places i and j, as one of the first `support`: the sizes and places let them link."""
+    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, f"{support} + least(na - i - 1, nb - j - 1)")
 
 
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 2):
-        self.k, self.t, self.rounds = k, percent, rounds
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, rounds: int = 1):
+        self.k, self.t, self.support, self.rounds = k, percent, support, rounds
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         broadcast = docs.sparkSession.sparkContext.broadcast
         read = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n int, h array<long>, c array<long>"))
@@ -214,9 +215,9 @@ class JaccardJoin:
         self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
         nodes = broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
         frequent = broadcast(Bloom.build(self._frequent(read.where(F.col("n") == REPEATED)), "h"))
-        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, nodes, frequent), "node long, n int, prefix array<long>"))
+        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, support, nodes, frequent), "node long, n int, prefix array<long>"))
         # the smaller set of a pair has the shingle they share further in front than the larger one may
-        front = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
+        front = F.expr(f"place < n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + {support}")
         placed = prefixes.select("n", F.posexplode("prefix").alias("place", "h")).select("h", front.alias("front"))
         shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.max("front").alias("front")).where("many > 1 and front").select("h")
         shared = broadcast(Bloom.build(cut(shared), "h"))
@@ -253,7 +254,6 @@ class JaccardJoin:
         for i in range(1, self.rounds + 2):
             named = self._named(found)
             pairs = self._with_centres(named, i) if i <= self.rounds else self._crossing(named)
-            pairs = pairs.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
@@ -264,9 +264,9 @@ class JaccardJoin:
         return found
 
     def _named(self, found: DataFrame | None) -> DataFrame:
-        """The tokens with their nodes' components (part) and how many nodes these have."""
+        """The tokens with their nodes' components (part) and, once links are found, how many nodes these have."""
         if found is None:
-            return self.tokens.withColumns({"part": F.col("node"), "size": F.lit(1).cast("long")})
+            return self.tokens.withColumn("part", F.col("node"))
         parts = components(found.select("a", "b"))
         parts = cut(parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", F.col("component").alias("part"), "size"))
         return self.tokens.join(parts, "node", "left").withColumns({"part": F.coalesce("part", "node"), "size": F.coalesce("size", F.lit(1).cast("long"))})
@@ -278,17 +278,27 @@ class JaccardJoin:
         """
         order = [F.xxhash64("node", F.lit(i)), F.col("node")]
         centre = F.first(F.struct("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"))).over(Window.partitionBy("h").orderBy(*([F.col("place")] if i == 1 else []), *order))
-        met = named.withColumn("c", centre).where("part != c.part").select("c.a", "c.na", "c.i", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j")).where(_can(self.t))
-        counted = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("many"))
-        return counted.groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("many", F.xxhash64("a"))).alias("c")).select("c.a", "c.na", "b", "nb")
+        met = named.withColumn("c", centre).where("part != c.part").select("c.a", "c.na", "c.i", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j")).where(_can(self.t, self.support))
+        # either side of a pair may have chosen the other
+        counted = self._supported(met)
+        side = lambda x, y: counted.select(F.col(x).alias("b"), F.struct("many", F.xxhash64(y).alias("o"), "a", "na", "b", "nb").alias("p"))
+        best = side("a", "b").union(side("b", "a")).groupBy("b").agg(F.max("p").alias("p"))
+        return best.select("p.a", "p.na", "p.b", "p.nb").distinct()
 
     def _crossing(self, named: DataFrame) -> DataFrame:
         """All pairs of a shingle's nodes that are in two components: one isn't in the largest one there."""
-        named = named.withColumn("top", F.max(F.struct("size", "part")).over(Window.partitionBy("h"))["part"])
+        size = F.col("size") if "size" in named.columns else F.lit(1)
+        named = named.withColumn("top", F.max(F.struct(size.alias("size"), "part")).over(Window.partitionBy("h"))["part"])
         others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
         every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j")
         # a pair of which both are outside comes from the one of them that is less
-        return others.join(every, "h").where("pa != part and (not other or a < b)").where(_can(self.t)).select("a", "na", "b", "nb")
+        pairs = others.join(every, "h").where("pa != part and (not other or a < b)").where(_can(self.t, self.support))
+        return self._supported(pairs).drop("many")
+
+    def _supported(self, met: DataFrame) -> DataFrame:
+        """(a, na, b, nb, many) of pairs that come once for each shingle they share: those that share as many as a pair that links."""
+        counted = met.selectExpr("least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb").groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("many"))
+        return counted.where(f"many >= least({self.support}, ({self.t} * greatest(na, nb) + 99) div 100)")
 
     def _same_id(self) -> DataFrame:
         """Links (a, b) between the nodes of rows that share an id with different sets."""
