@@ -5,8 +5,8 @@ fragments at fixed places of that order. Overlaps are counted in each fragment a
 
 * The order's low end gives the candidates. Two sets that link, the larger one of m shingles, share at least min(`support`, ceil(t m)) of their first
   n - ceil(t n) + `support` shingles: their number is summed for each pair. In the smaller set those are among the first
-  n - ceil(2 t n / (1 + t)) + `support`, and the places at which the pair shares them bound what it can share beyond them: a pair
-  meets only if sizes and places leave a link possible. Shingles that many sets hold stand at the order's end, so sets that differ from a large group by
+  n - ceil(2 t n / (1 + t)) + `support`, and the places at which the pair shares them bound what it can share beyond them, as does the
+  first place of each set that any other set shares: a pair meets only if sizes and places leave a link possible. Shingles that many sets hold stand at the order's end, so sets that differ from a large group by
   more than a link allows share little with it there.
 * Of a candidate pair, whole texts meet, and overlaps are counted in each of FRAGMENTS parts of the hash's range; their sum decides.
 * Equal sets are one node from the start. Only shingles that two nodes share pair anything.
@@ -141,7 +141,7 @@ def _prefixes(k: int, t: int, support: int, nodes, frequent):
 
 
 def _tokens(shared):
-    """mapInArrow: (node, n, prefix) into (h, node, n, place) of the shingles that two nodes may have."""
+    """mapInArrow: (node, n, prefix) into (h, node, n, place, first) of the shingles that two nodes may have; first: the place of the node's first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +149,9 @@ def _tokens(shared):
             row = np.repeat(np.arange(batch.num_rows), lengths)
             place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = np.flatnonzero(shared.value.has(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1)), pa.array(place[at].astype(np.int32))], ["h", "node", "n", "place"])
+            first = np.zeros(batch.num_rows, np.int32)
+            first[row[at][::-1]] = place[at][::-1]  # of several values for a row the last counts, which is its first one
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1)), pa.array(place[at].astype(np.int32)), pa.array(first[row[at]])], ["h", "node", "n", "place", "first"])
 
     return run
 
@@ -199,8 +201,8 @@ def _enough(t: int, shared: str) -> str:
 
 
 def _can(t: int, support: int) -> str:
-    """As SQL, of a pair that shares a shingle at places i and j, as one of the first `support`: the sizes and places let them link."""
-    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, f"{support} + least(na - i - 1, nb - j - 1)")
+    """As SQL, of a pair that shares a shingle at places i and j, as one of the first `support`, and nothing before places fa and fb: the sizes and places let them link."""
+    return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, f"least(na - fa, nb - fb, {support} + na - i - 1, {support} + nb - j - 1)")
 
 
 class JaccardJoin:
@@ -220,8 +222,8 @@ class JaccardJoin:
         front = F.expr(f"place < n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + {support}")
         placed = prefixes.select("n", F.posexplode("prefix").alias("place", "h")).select("h", front.alias("front"))
         shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.max("front").alias("front")).where("many > 1 and front").select("h")
-        shared = broadcast(Bloom.build(cut(shared), "h"))
-        self.tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n int, place int"))
+        shared = broadcast(Bloom.build(cut(shared), "h", a_row=32))
+        self.tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n int, place int, first int"))
         discard(prefixes)
         self._links = None
 
@@ -277,8 +279,8 @@ class JaccardJoin:
         The first round's centres are the nodes that have the shingle furthest in front, so those with fewest rare ones; others are taken by hash.
         """
         order = [F.xxhash64("node", F.lit(i)), F.col("node")]
-        centre = F.first(F.struct("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"))).over(Window.partitionBy("h").orderBy(*([F.col("place")] if i == 1 else []), *order))
-        met = named.withColumn("c", centre).where("part != c.part").select("c.a", "c.na", "c.i", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j")).where(_can(self.t, self.support))
+        centre = F.first(F.struct("part", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"), F.col("first").alias("fa"))).over(Window.partitionBy("h").orderBy(*([F.col("place")] if i == 1 else []), *order))
+        met = named.withColumn("c", centre).where("part != c.part").select("c.a", "c.na", "c.i", "c.fa", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.col("first").alias("fb")).where(_can(self.t, self.support))
         # either side of a pair may have chosen the other
         counted = self._supported(met)
         side = lambda x, y: counted.select(F.col(x).alias("b"), F.struct("many", F.xxhash64(y).alias("o"), "a", "na", "b", "nb").alias("p"))
@@ -289,8 +291,8 @@ class JaccardJoin:
         """All pairs of a shingle's nodes that are in two components: one isn't in the largest one there."""
         size = F.col("size") if "size" in named.columns else F.lit(1)
         named = named.withColumn("top", F.max(F.struct(size.alias("size"), "part")).over(Window.partitionBy("h"))["part"])
-        others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i")
-        every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j")
+        others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i", "first as fa")
+        every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j", "first as fb")
         # a pair of which both are outside comes from the one of them that is less
         pairs = others.join(every, "h").where("pa != part and (not other or a < b)").where(_can(self.t, self.support))
         return self._supported(pairs).drop("many")

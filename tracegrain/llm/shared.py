@@ -68,11 +68,11 @@ class Bloom:
         self.words = words
 
     @staticmethod
-    def build(df: DataFrame, column: str) -> Bloom:
-        """Of df's values of a long column. Spark or-s the words together; MOST_BITS / 64 of them
+    def build(df: DataFrame, column: str, a_row: int = 16) -> Bloom:
+        """Of df's values of a long column, with so many bits for each. Spark or-s the words together; MOST_BITS / 64 of them
         reach the driver at most, whatever df's size; a filter that fills up lets more pass."""
         df = df.where(F.col(column).isNotNull())
-        n = bits_for(df.count()) // 64
+        n = bits_for(df.count(), a_row) // 64
         word, mask = word_and_mask(F.col(column), n)
         out = np.zeros(n, np.int64)
         got = df.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask")).toArrow()
