@@ -14,6 +14,9 @@ fragments at fixed places of that order. Overlaps are counted in each fragment a
   merges into components. Then all pairs of a shingle's nodes that are in different components are counted: in each pair one
   is outside the largest component that the shingle occurs in.
 
+* In that last step a pair's parities, a bit for each of 128 residues of the hash, have to leave a link possible too: every differing bit is a shingle
+  that only one of the two has.
+
 Which shingles count as frequent is found from all documents (those that a batch of them holds twice), by a Bloom filter that keeps the most frequent ones
 if it can't hold all. It decides the order only: no link is lost, whatever the order.
 
@@ -65,6 +68,12 @@ def prefix(s: np.ndarray, t: int, support: int, often: np.ndarray) -> np.ndarray
     return np.concatenate([rare, s[often][: most - len(rare)]])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 128 residues of the hash, whether the set has an odd number of such shingles."""
+    odd = np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """How many shingles two sets share: counted in each fragment, and summed."""
     cuts = np.arange(FRAGMENTS + 1, dtype=np.uint64) << np.uint64(61)
@@ -125,23 +134,25 @@ def _wanted(batch: pa.RecordBatch, maybe) -> np.ndarray:
 
 
 def _prefixes(k: int, t: int, support: int, nodes, frequent):
-    """mapInArrow: (id, text) into (node, n, prefix) of the ids that may be nodes."""
+    """mapInArrow: (id, text) into (node, n, prefix, o0, o1) of the ids that may be nodes; o: the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, lists = [], [], []
+            node, n, lists, odd = [], [], [], []
             for row, s in _sets(batch, k, _wanted(batch, nodes)):
                 if len(s):
+                    odd.append(parities(s))
                     node.append(batch.column(0)[row].as_py())
                     n.append(len(s))
                     lists.append(as_long(prefix(s, t, support, frequent.value.has(as_long(s)))))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(lists)], ["node", "n", "prefix"])
+            o = np.array(odd, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(lists), pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], ["node", "n", "prefix", "o0", "o1"])
 
     return run
 
 
 def _tokens(shared):
-    """mapInArrow: (node, n, prefix) into (h, node, n, place, first) of the shingles that two nodes may have; first: the place of the node's first one."""
+    """mapInArrow: (node, n, prefix, o0, o1) into (h, node, n, place, first, o0, o1) of the shingles that two nodes may have; first: the place of the node's first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +162,7 @@ def _tokens(shared):
             at = np.flatnonzero(shared.value.has(h))
             first = np.zeros(batch.num_rows, np.int32)
             first[row[at][::-1]] = place[at][::-1]  # of several values for a row the last counts, which is its first one
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1)), pa.array(place[at].astype(np.int32)), pa.array(first[row[at]])], ["h", "node", "n", "place", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(batch.column(i).take(pa.array(row[at])) for i in (0, 1)), pa.array(place[at].astype(np.int32)), pa.array(first[row[at]]), *(batch.column(i).take(pa.array(row[at])) for i in (3, 4))], ["h", "node", "n", "place", "first", "o0", "o1"])
 
     return run
 
@@ -217,13 +228,13 @@ class JaccardJoin:
         self.nodes = cut(self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
         nodes = broadcast(Bloom.build(self.nodes.select("node").where("node is not null"), "node"))
         frequent = broadcast(Bloom.build(self._frequent(read.where(F.col("n") == REPEATED)), "h"))
-        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, support, nodes, frequent), "node long, n int, prefix array<long>"))
+        prefixes = cut(self.docs.mapInArrow(_prefixes(k, percent, support, nodes, frequent), "node long, n int, prefix array<long>, o0 long, o1 long"))
         # the smaller set of a pair has the shingle they share further in front than the larger one may
         front = F.expr(f"place < n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + {support}")
         placed = prefixes.select("n", F.posexplode("prefix").alias("place", "h")).select("h", front.alias("front"))
         shared = placed.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.max("front").alias("front")).where("many > 1 and front").select("h")
         shared = broadcast(Bloom.build(cut(shared), "h", a_row=32))
-        self.tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n int, place int, first int"))
+        self.tokens = cut(prefixes.mapInArrow(_tokens(shared), "h long, node long, n int, place int, first int, o0 long, o1 long"))
         discard(prefixes)
         self._links = None
 
@@ -291,10 +302,11 @@ class JaccardJoin:
         """All pairs of a shingle's nodes that are in two components: one isn't in the largest one there."""
         size = F.col("size") if "size" in named.columns else F.lit(1)
         named = named.withColumn("top", F.max(F.struct(size.alias("size"), "part")).over(Window.partitionBy("h"))["part"])
-        others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i", "first as fa")
-        every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j", "first as fb")
+        others = named.where("part != top").selectExpr("h", "part as pa", "node as a", "n as na", "place as i", "first as fa", "o0 as p0", "o1 as p1")
+        every = named.selectExpr("h", "part", "part != top as other", "node as b", "n as nb", "place as j", "first as fb", "o0", "o1")
         # a pair of which both are outside comes from the one of them that is less
         pairs = others.join(every, "h").where("pa != part and (not other or a < b)").where(_can(self.t, self.support))
+        pairs = pairs.where(_enough(self.t, "(na + nb - bit_count(o0 ^ p0) - bit_count(o1 ^ p1)) div 2"))
         return self._supported(pairs).drop("many")
 
     def _supported(self, met: DataFrame) -> DataFrame:
