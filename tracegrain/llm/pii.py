@@ -174,7 +174,8 @@ def _together(entities):
     kind = pa.struct([("term", pa.int64()), ("context", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a text gives a list for each of its entities, so few texts are taken at once
+        for batch in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
             out: list[list] = [[], []]
             for row, doc in _docs(batch, 0):
                 text, spans = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
