@@ -169,8 +169,9 @@ def _contexts(window: int):
     return run
 
 
-def _together(entities):
-    """mapInArrow: (text, base) into (entity, terms): for each of a text's entities that may be wanted, (term, context, first) of its other words."""
+def _together(entities, wanted=None):
+    """mapInArrow: (text, base) into (entity, terms): for each of a text's entities that may be wanted, (term, context, first) of its other words;
+    contexts only of the words that may be wanted, else every word once."""
     kind = pa.struct([("term", pa.int64()), ("context", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +185,13 @@ def _together(entities):
                 if not len(of):
                     continue
                 h, context = doc.hash[~_inside(doc, spans)], np.uint64(0)
+                if wanted is None:
+                    h = np.unique(h)
                 padded = np.pad(h, BESIDE)
-                for by in (*range(BESIDE), *range(BESIDE + 1, 2 * BESIDE + 1)):
+                for by in (*range(BESIDE), *range(BESIDE + 1, 2 * BESIDE + 1)) if wanted is not None else ():
                     context = mix(context ^ padded[by : by + len(h)])
-                pairs = np.unique(np.stack([h, context + h]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
+                may = np.flatnonzero(wanted.value.has(as_long(h))) if wanted is not None else np.arange(len(h))
+                pairs = np.unique(np.stack([h, context + h])[:, may], axis=1) if len(may) else np.empty((2, 0), np.uint64)
                 first = np.diff(pairs[0], prepend=pairs[0][:1] + np.uint64(1)) != 0
                 terms = pa.StructArray.from_arrays([pa.array(as_long(pairs[0].copy())), pa.array(as_long(pairs[1].copy())), pa.array(first.astype(np.int64))], fields=list(kind))
                 out[0] += of.tolist()
@@ -274,19 +278,23 @@ def disclosing_terms(texts: DataFrame, rows: DataFrame, window: int = 8, support
     often = contexts.groupBy("entity").agg(F.sum("first").alias("n_entity"), F.count(F.lit(1)).alias("n_contexts"))
     often = cut(often.where((F.col("n_entity") >= support) & (F.col("n_contexts") >= support)).select("entity", "n_entity"))
     entities = spark.sparkContext.broadcast(Bloom.build(often, "entity"))
-    pairs = private.mapInArrow(_together(entities), "entity long, terms array<struct<term: long, context: long, first: long>>").select("entity", F.inline("terms"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("first").alias("first")).groupBy("entity", "term").agg(F.sum("first").alias("n_both"), F.count(F.lit(1)).alias("n_contexts"))
-    pairs = cut(pairs.where((F.col("n_both") >= support) & (F.col("n_contexts") >= support)).join(often, "entity"))
+    schema = "entity long, terms array<struct<term: long, context: long, first: long>>"
+    pairs = private.mapInArrow(_together(entities), schema).select("entity", F.inline("terms")).groupBy("entity", "term").agg(F.sum("first").alias("n_both"))
+    pairs = cut(pairs.where(F.col("n_both") >= support).join(often, "entity"))
     terms = spark.sparkContext.broadcast(Bloom.build(pairs.select("term").distinct(), "term"))
     counts = texts.select("text").mapInArrow(_frequencies(terms), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
     total = float(max(2, rows.select("h", "n").distinct().count()))
     met = pairs.join(counts, "term").withColumn("n_term", F.greatest("n_term", "n_both"))
     ratio = 1 - F.log(F.col("n_term") / F.col("n_both")) / F.log(F.lit(total + 1) / F.least("n_entity", F.lit(total)))
+    met = cut(met.withColumn("ratio", ratio).where(F.col("ratio") >= generalise))
+    # contexts are read only of the words whose share would do
+    near = spark.sparkContext.broadcast(Bloom.build(met.select("term").distinct(), "term"))
+    contexts = private.mapInArrow(_together(entities, near), schema).select("entity", F.inline("terms")).groupBy("entity", "term", "context").agg(F.sum("first").alias("first")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
+    met = met.join(contexts.where(F.col("n_contexts") >= support), ["entity", "term"])
     p, q = F.col("n_both") / F.col("n_term"), F.least("n_entity", F.lit(total - 1)) / F.lit(total)
     surprise = p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
     evidence = F.least("n_both", "n_contexts") / p * F.when(p > q, surprise).otherwise(0.0)
-    chosen = (ratio >= generalise) & (evidence >= F.lit(math.log(max(1, pairs.count()) / chance)))
-    return cut(met.where(chosen).select("entity", "term", ratio.alias("ratio")))
+    return cut(met.where(evidence >= F.lit(math.log(max(1, pairs.count()) / chance))).select("entity", "term", "ratio"))
 
 
 class Pii:
