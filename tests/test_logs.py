@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tests.conftest import same_rows
 from tracegrain.functions.regexes import from_python, glob, wildcard
 from tracegrain.operators import correlate, findings, iocs, rules
-from tracegrain.plans import queries
-from tracegrain.sources import evidence, parsers
+from tracegrain.plans import registry as queries
+from tracegrain.sources import evidence
 
 TABLES = ("events", "documents", "pages")
 
@@ -104,32 +104,6 @@ def test_patterns(spark):
         from_python("[[a]]")
 
 
-def lines(spark, *rows, path="/home/ann/x"):
-    return spark.createDataFrame([(path, i, r) for i, r in enumerate(rows, 1)], "path string, line_number int, line string")
-
-
-def test_syslog_years_and_messages(spark):
-    got = parsers.syslog(lines(
-        spark, "Dec 31 23:59:58 web sshd[3]: Failed password for invalid user bob from 9.9.9.9 port 4 ssh2", "Jan  1 00:00:01 web sshd[3]: Accepted publickey for ann from 8.8.4.4 port 5 ssh2",
-        "Feb 30 00:00:00 web sudo: ann : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls -l", "2024-03-01T10:00:00.5+02:00 web useradd[9]: new user: name=eve, UID=0, GID=0", "garbage", "", "Mar  1 10:00:00 web CRON[1]: (root) CMD (run it)",
-    ), year=2024, month=4).orderBy("line_number").collect()
-    assert [r.event_type for r in got] == ["auth.login.failure", "auth.login.success", "auth.sudo", "user.create", "parse_error", "cron.exec"]
-    assert [str(r.timestamp_utc) for r in got] == ["2023-12-31 23:59:58", "2024-01-01 00:00:01", "None", "2024-03-01 08:00:00.500000", "None", "2024-03-01 10:00:00"]
-    assert (got[0].actor, got[0].src_ip, got[2].command, got[3].target, got[5].command) == ("bob", "9.9.9.9", "/bin/ls -l", "eve", "run it")
-
-
-def test_other_formats(spark):
-    a = parsers.access(lines(spark, '1.2.3.4 - ann [10/Oct/2024:13:55:36 +0200] "GET /a?b=1 HTTP/1.1" 404 - "-" "ua \\"x\\""', "junk")).orderBy("line_number").collect()
-    assert (a[0].src_ip, a[0].method, a[0].target, a[0].status, a[0].bytes, a[0].user_agent, str(a[0].timestamp_utc)) == ("1.2.3.4", "GET", "/a?b=1", 404, None, 'ua "x"', "2024-10-10 11:55:36")
-    assert a[1].event_type == "parse_error"
-    h = parsers.shell_history(lines(spark, "#1700000000", "", "ls", "pwd", ": 1700000100:0;make")).orderBy("line_number").collect()
-    assert [(r.command, r.timestamp_utc is None, r.actor) for r in h] == [("ls", False, "ann"), ("pwd", True, "ann"), ("make", False, "ann")]
-    r = parsers.audit(lines(spark, 'type=SYSCALL msg=audit(1700000000.123:77): arch=c0 exe="/bin/sh" key="k 1" exe="no"')).first()
-    assert (r.record_type, r.serial, r.extra["exe"], r.extra["key"]) == ("SYSCALL", 77, "/bin/sh", "k 1")
-    d = parsers.simple(lines(spark, "2024-01-01 00:00:00 install vim:amd64 <none> 9.1", "x"), parsers.DPKG, ["ts", "action", "rest"]).orderBy("line_number").collect()
-    assert [r.parsed for r in d] == [True, False] and d[0].action == "install"
-
-
 def test_evidence_files(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\r\ntwo \xff\n")
     (tmp_path / "b.txt").write_bytes(gzip.compress(b"three\nfour\n"))

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null if it isn't four numbers up to 255, without leading zeros, between dots."""
-    parts = F.split(ip, "[.]")
+    return let(F.split(ip, "[.]"), _number_of)
+
+
+def _number_of(parts: Column) -> Column:
     number = F.lit(0).cast("long")
     for i in range(4):
         part = F.get(parts, F.lit(i))
@@ -21,25 +30,36 @@ def ipv4_number(ip: Column) -> Column:
 
 def canonical_ipv6(ip: Column) -> Column:
     """An IPv6 address in lower case, without leading zeros, its first longest run of zero groups as ::; null if it is none."""
-    sides = F.split(ip, "::")
+    return let(F.split(ip, "::"), lambda sides: let(_groups(sides), lambda every: let(_plain(every), _shortened)))
+
+
+def _groups(sides: Column) -> Column:
     groups = lambda i: F.when(F.get(sides, F.lit(i)) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, F.lit(i)), ":"))
     left, right = groups(0), groups(1)
     filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)
-    every = F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (F.size(left) + F.size(right) <= 7), filled)
+    return F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (F.size(left) + F.size(right) <= 7), filled)
+
+
+def _plain(every: Column) -> Column:
     valid = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    plain = F.array_join(F.transform(every, lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":")
+    return F.when(valid, F.array_join(F.transform(every, lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":"))
+
+
+def _shortened(plain: Column) -> Column:
     out = plain
     for n in range(2, 9):
         run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
         out = F.when(plain.rlike(run), F.concat(F.regexp_extract(plain, run, 1), F.lit("::"), F.regexp_extract(plain, run, 2))).otherwise(out)
-    return F.when(valid, out)
+    return out
 
 
 def canonical_ip(text: Column) -> Column:
     """An IPv4 or IPv6 address without a port or brackets; null if the text is none."""
-    text = F.trim(text)
-    bare = F.when(text.startswith("["), F.substring_index(F.substring(text, 2, 100), "]", 1)).when(F.size(F.split(text, ":")) == 2, F.substring_index(text, ":", 1)).otherwise(text)
-    return F.when(bare.contains(":"), canonical_ipv6(bare)).when(ipv4_number(bare).isNotNull(), bare)
+    return let(let(F.trim(text), _bare), lambda bare: F.when(bare.contains(":"), canonical_ipv6(bare)).when(ipv4_number(bare).isNotNull(), bare))
+
+
+def _bare(text: Column) -> Column:
+    return F.when(text.startswith("["), F.substring_index(F.substring(text, 2, 100), "]", 1)).when(F.size(F.split(text, ":")) == 2, F.substring_index(text, ":", 1)).otherwise(text)
 
 
 def in_network(ip: Column, network: str) -> Column:
@@ -75,8 +95,7 @@ def _in(number: Column, *networks: str) -> Column:
 
 def is_usable(ip: Column) -> Column:
     """Of a canonical address: neither loopback nor unspecified nor multicast."""
-    number = ipv4_number(ip)
-    return F.coalesce(~_in(number, "127.0.0.0/8", "0.0.0.0/32", "224.0.0.0/4"), ip.contains(":") & ~ip.isin("::", "::1") & ~ip.startswith("ff"))
+    return F.coalesce(let(ipv4_number(ip), lambda number: ~_in(number, "127.0.0.0/8", "0.0.0.0/32", "224.0.0.0/4")), ip.contains(":") & ~ip.isin("::", "::1") & ~ip.startswith("ff"))
 
 
 def is_public(ip: Column) -> Column:
@@ -87,7 +106,4 @@ def is_public(ip: Column) -> Column:
 
 def is_global(ip: Column) -> Column:
     """Whether an IPv4 address is routed globally; null if it is no IPv4 address."""
-    number, local = ipv4_number(ip), F.lit(False)
-    for net in map(ipaddress.ip_network, NOT_GLOBAL):
-        local = local | number.between(int(net.network_address), int(net.broadcast_address))
-    return ~local
+    return let(ipv4_number(ip), lambda number: ~_in(number, *NOT_GLOBAL))

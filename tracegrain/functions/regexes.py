@@ -12,38 +12,49 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in _JAVA_META and c not in "\"'/\n\t" else c for c in text)
 
 
+_PIECE = re.compile(r"\\([*?\\])|(\*)|(\?)|([^*?\\]+|\\)", re.S)
+
+
 def wildcard(value: str) -> str | None:
     """Of a value in which * stands for any characters and ? for one, a pattern without anchors; None if it has neither.
 
     A backslash before *, ? or itself takes its meaning away.
     """
-    out, special, i = [], False, 0
-    while i < len(value):
-        c = value[i]
-        if c == "\\" and value[i + 1 : i + 2] in ("*", "?", "\\") and value[i + 1 : i + 2]:
-            i += 1
-            out.append(literal(value[i]))
-        elif c in "*?":
-            special = True
-            out.append(".*" if c == "*" else ".")
-        else:
-            out.append(literal(c))
-        i += 1
-    return "".join(out) if special else None
+    pieces = [(m.lastindex, m[m.lastindex]) for m in _PIECE.finditer(value)]
+    if not any(kind in (2, 3) for kind, _ in pieces):
+        return None
+    return "".join(".*" if kind == 2 else "." if kind == 3 else literal(text) for kind, text in pieces)
 
 
 def unescaped(value: str) -> str:
     return re.sub(r"\\([*?\\])", r"\1", value)
 
 
+_PART = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<\w+>|\{,(\d+)\}|.", re.S)
+
+
 def from_python(pattern: str, ignore_case: bool = False) -> str:
     """A Python pattern for rlike: Unicode classes, only \\n ends lines. Raises ValueError on what can't be carried over."""
-    re.compile(pattern)
-    if re.search(r"\(\?P=|\(\?\(|(?<!\\)\[[^\]]*(\[|&&)", pattern):
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"not a pattern: {pattern} ({e})") from e
+    if re.search(r"\(\?P=|\(\?\(", pattern):
         raise ValueError(f"the pattern can't be used in Spark: {pattern}")
-    names = iter(range(1, 1000))
-    pattern = re.sub(r"\(\?P<\w+>", lambda _: f"(?<g{next(names)}>", pattern).replace("\\Z", "\\z")
-    return f"(?{'i' if ignore_case else ''}Ud){pattern}"
+    out, names = [], 0
+    for m in _PART.finditer(pattern):
+        part = m[0]
+        if part == "\\Z":
+            part = "\\z"
+        elif part.startswith("(?P<"):
+            names += 1
+            part = f"(?<g{names}>"
+        elif m[1] is not None:
+            part = f"{{0,{m[1]}}}"
+        elif part.startswith("[") and len(part) > 1 and ("[" in part[1:] or "&&" in part):
+            raise ValueError(f"the pattern can't be used in Spark: {pattern}")
+        out.append(part)
+    return f"(?{'i' if ignore_case else ''}Ud){''.join(out)}"
 
 
 def glob(pattern: str) -> str:

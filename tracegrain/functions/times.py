@@ -23,3 +23,23 @@ def ntz_micros(ts: Column) -> Column:
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     seconds = F.extract(F.lit("SECOND"), ts)
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
+def iso(micros: Column) -> Column:
+    """Microseconds since 1970 as ISO 8601 in UTC, with microseconds if there are any."""
+    seconds = F.floor(micros / 1_000_000)
+    rest = micros - seconds * 1_000_000
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd")
+    clock = F.pmod(seconds, F.lit(86_400))
+    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    text = F.concat(day, F.lit("T"), two(F.floor(clock / 3600)), F.lit(":"), two(F.floor(clock % 3600 / 60)), F.lit(":"), two(clock % 60))
+    return F.concat(text, F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.lpad(rest.cast("long").cast("string"), 6, "0"))), F.lit("+00:00"))
+
+
+def literal_micros(text: str) -> int:
+    """Of an ISO 8601 time; without an offset it is UTC. Raises ValueError on anything else."""
+    from datetime import UTC, datetime, timedelta
+
+    at = datetime.fromisoformat(text.strip())
+    at = at if at.tzinfo else at.replace(tzinfo=UTC)
+    return (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)

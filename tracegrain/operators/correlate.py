@@ -2,78 +2,158 @@
 
 Input: rows with rule_key, id, micros (null: dropped) and the key columns (rows with a null key are dropped).
 A cluster is a run of a key's rows without a gap above the span; no window reaches over such a gap.
+
+A key may hold most of all rows. So a key's time is cut into buckets of BUCKETS spans, tasks order the rows of one bucket, and what
+passes from bucket to bucket (the last time, running sums) is summed over the buckets, of which there are few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = ("micros", "actor", "src_ip", "event_type")
+BUCKETS = 64
+COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
+
+
+def _bucket(micros: str | Column, span: int) -> Column:
+    return F.floor((F.col(micros) if isinstance(micros, str) else micros) / F.lit(max(1, span) * BUCKETS))
+
+
+def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    other = b.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    test = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return a.join(other, test).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def _clusters(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Dated rows with cluster, from 1 in each key."""
+    rows = rows.withColumn("__b", _bucket("micros", span))
+    order = Window.partitionBy(*keys, "__b").orderBy("micros", "id")
+    new = F.coalesce((F.col("micros") - F.lag("micros").over(order) > span).cast("int"), F.lit(0))
+    rows = rows.withColumn("__new", new).withColumn("__news", F.sum("__new").over(order))
+    buckets = rows.groupBy(*keys, "__b").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.max("__news").alias("news"))
+    by_key = Window.partitionBy(*keys).orderBy("__b")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(by_key) > span).cast("int"), F.lit(1))
+    buckets = buckets.withColumn("__starts", starts).withColumn("__before", F.sum(F.col("__starts") + F.col("news")).over(by_key) - F.col("news"))
+    out = _join(rows, buckets.select(*keys, "__b", "__before"), [*keys, "__b"])
+    return out.withColumn("cluster", F.col("__before") + F.col("__news")).drop("__b", "__new", "__news", "__before")
 
 
 def clustered(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
     """rows with cluster, from 1 in each key."""
     rows = rows.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.col("micros").isNotNull()))
-    order = Window.partitionBy(*keys).orderBy("micros", "id")
-    new = F.coalesce((F.col("micros") - F.lag("micros").over(order) > span).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(order)).drop("__new")
+    return _clusters(rows, keys, span)
+
+
+def with_sessions(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """rows with cluster; undated rows of a key are one more, cluster 0. Null keys are a key of their own."""
+    return _clusters(rows.where("micros is not null"), keys, span).unionByName(rows.where("micros is null").withColumn("cluster", F.lit(0).cast("long")))
 
 
 def sessions(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """A row for each cluster; undated rows of a key are one more, cluster 0. Null keys are a key of their own."""
-    order = Window.partitionBy(*keys).orderBy("micros", "id")
-    dated = rows.where("micros is not null")
-    new = F.coalesce((F.col("micros") - F.lag("micros").over(order) > span).cast("int"), F.lit(1))
-    marked = dated.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(order)).drop("__new")
-    every = marked.unionByName(rows.where("micros is null").withColumn("cluster", F.lit(0).cast("long")))
-    return every.groupBy(*keys, "cluster").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events"))
+    """A row for each cluster of with_sessions()."""
+    return with_sessions(rows, keys, span).groupBy(*keys, "cluster").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events"))
+
+
+def _running(deltas: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """(keys, micros, now): of deltas (keys, micros, d) the sum of all up to each time."""
+    at = deltas.groupBy(*keys, "micros").agg(F.sum("d").alias("d")).withColumn("__b", _bucket("micros", span))
+    inside = at.withColumn("__sum", F.sum("d").over(Window.partitionBy(*keys, "__b").orderBy("micros")))
+    totals = at.groupBy(*keys, "__b").agg(F.sum("d").alias("t"))
+    totals = totals.withColumn("__before", F.sum("t").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("t")).drop("t")
+    return inside.join(totals, [*keys, "__b"]).select(*keys, "micros", (F.col("__sum") + F.col("__before")).alias("now"))
 
 
-def _peaks(rows: DataFrame, keys: list[str], peak: Column, threshold: int) -> DataFrame:
-    out = rows.withColumn("__w", peak).groupBy(*keys, "cluster").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events"), F.max("__w").cast("long").alias("peak"))
-    return out.where(F.col("peak") >= threshold)
+def _peaks(rows: DataFrame, active: DataFrame, keys: list[str], span: int, threshold: float, test: str) -> DataFrame:
+    """Clusters of rows, with their peak: the most that is active at the time of one of their rows. active: (keys, start, end), the end left out."""
+    deltas = active.select(*keys, F.col("start").alias("micros"), F.lit(1).cast("long").alias("d")).unionByName(active.select(*keys, F.col("end").alias("micros"), F.lit(-1).cast("long").alias("d")))
+    now = _running(deltas, keys, span)
+    out = clustered(rows, keys, span).join(now, [*keys, "micros"])
+    out = out.groupBy(*keys, "cluster").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events"), F.max("now").alias("peak"))
+    return out.where(COMPARE[test](F.col("peak"), threshold))
 
 
-def event_count(rows: DataFrame, keys: list[str], span: int, threshold: int) -> DataFrame:
-    """Clusters in which `threshold` distinct events or more lie within a span.
+def event_count(rows: DataFrame, keys: list[str], span: int, threshold: float, test: str = "gte") -> DataFrame:
+    """Clusters whose largest number of distinct events within a span passes the test. Events that are the same by IDENTITY count once."""
+    distinct = rows.where("micros is not null").groupBy(*dict.fromkeys((*keys, *IDENTITY))).agg(F.min("id").alias("id"))
+    active = distinct.select(*keys, F.col("micros").alias("start"), (F.col("micros") + span + 1).alias("end"))
+    return _peaks(distinct, active, keys, span, threshold, test)
 
-    Events that are the same by IDENTITY count once, so they are made distinct first and then counted by a range frame.
+
+def value_count(rows: DataFrame, keys: list[str], field: str, span: int, threshold: float, test: str = "gte") -> DataFrame:
+    """Clusters whose largest number of distinct values of a field within a span passes the test; null is no value.
+
+    A value counts from each time that it occurs until it occurs again or a span has passed, so no set of values is gathered.
     """
-    distinct = rows.groupBy(*dict.fromkeys((*keys, *IDENTITY))).agg(F.min("id").alias("id"))
-    frame = Window.partitionBy(*keys, "cluster").orderBy("micros").rangeBetween(-span, 0)
-    return _peaks(clustered(distinct, keys, span), keys, F.count(F.lit(1)).over(frame), threshold)
+    seen = rows.where(F.col("micros").isNotNull() & F.col(field).isNotNull()).select(*keys, F.col(field).alias("__v"), "micros").distinct()
+    after = F.lead("micros").over(Window.partitionBy(*keys, "__v").orderBy("micros"))
+    active = seen.select(*keys, F.col("micros").alias("start"), F.least(after, F.col("micros") + span + 1).alias("end"))
+    # times at which only rows without a value are still have what is active then
+    nothing = rows.where("micros is not null").select(*keys, F.col("micros").alias("start"), F.col("micros").alias("end"))
+    return _peaks(rows, active.unionByName(nothing), keys, span, threshold, test)
+
+
+def distinct_values(rows: DataFrame, found: DataFrame, keys: list[str], field: str, span: int) -> DataFrame:
+    """(keys, cluster, value): the field's values in each cluster that value_count() found, sorted by who reads them."""
+    return clustered(rows, keys, span).join(found.select(*keys, "cluster"), [*keys, "cluster"], "left_semi").where(F.col(field).isNotNull()).select(*keys, "cluster", F.col(field).alias("value")).distinct()
+
 
+def _greedy(keys: int):
+    """mapInArrow: sorted candidate windows (keys ..., cluster, a, b) into those taken from left to right without overlap."""
 
-def value_count(rows: DataFrame, keys: list[str], field: str, span: int, threshold: int) -> DataFrame:
-    """Clusters in which a field has `threshold` distinct values or more within a span; null is no value."""
-    frame = Window.partitionBy(*keys, "cluster").orderBy("micros").rangeBetween(-span, 0)
-    return _peaks(clustered(rows, keys, span), keys, F.size(F.collect_set(field).over(frame)), threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, free = None, 0
+        for batch in batches:
+            take = []
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(keys + 1)), strict=True))
+            for name, a, b in zip(names, batch.column(keys + 1).to_pylist(), batch.column(keys + 2).to_pylist(), strict=True):
+                if name != of:
+                    of, free = name, 0
+                take.append(a >= free)
+                if a >= free:
+                    free = b
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+    return run
 
 
 def temporal(rows: DataFrame, keys: list[str], rules: list[str], span: int, ordered: bool = False) -> DataFrame:
     """Windows of a span in which every rule matches (ordered: first matches in the rules' order), from left to right without overlap.
 
-    A window starts at a row and takes all rows up to a span later; after one that holds, the next starts behind it.
+    A window starts at a row and takes all rows up to a span later; after one that holds, the next starts behind it. A cluster's rows are sorted in one
+    task, and its windows are chosen as they pass.
     """
     rows = clustered(rows.where(F.col("rule_key").isin(rules)), keys, span)
     parts = Window.partitionBy(*keys, "cluster")
     rows = rows.withColumn("rn", F.row_number().over(parts.orderBy("micros", "id")) - 1)
     rows = rows.withColumn("end", F.count(F.lit(1)).over(parts.orderBy("micros").rangeBetween(Window.unboundedPreceding, span)))
-    ahead = parts.orderBy("micros", "id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = parts.orderBy(F.desc("micros"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     firsts = [F.min(F.when(F.col("rule_key") == r, F.col("rn"))).over(ahead) for r in rules]
     rows = rows.withColumn("__p", F.array(*firsts))
     ok = reduce(lambda a, b: a & b, (F.coalesce(F.get("__p", F.lit(i)) < F.col("end"), F.lit(False)) for i in range(len(rules))))
     if ordered:
         ok = reduce(lambda a, b: a & b, (F.get("__p", F.lit(i)) < F.get("__p", F.lit(i + 1)) for i in range(len(rules) - 1)), ok)
-    starts = rows.where(ok).groupBy(*keys, "cluster").agg(F.sort_array(F.collect_list(F.struct(F.col("rn").cast("long").alias("rn"), F.col("end").cast("long").alias("end")))).alias("s"))
-    empty = F.array().cast("array<struct<rn: long, end: long>>")
-    picked = F.aggregate(
-        "s", F.struct(F.lit(0).cast("long").alias("next"), empty.alias("got")),
-        lambda acc, x: F.when(x["rn"] >= acc["next"], F.struct(x["end"].alias("next"), F.concat(acc["got"], F.array(x)).alias("got"))).otherwise(acc), lambda acc: acc["got"],
-    )
-    windows = starts.select(*keys, "cluster", F.explode(picked).alias("w")).select(*keys, "cluster", F.col("w.rn").alias("a"), F.col("w.end").alias("b"))
+    starts = rows.where(ok).select(*keys, "cluster", F.col("rn").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in starts.schema)
+    windows = starts.repartition(*keys, "cluster").sortWithinPartitions(*keys, "cluster", "a").mapInArrow(_greedy(len(keys)), schema)
     inside = rows.join(windows, [*keys, "cluster"]).where("rn >= a and rn < b")
     return inside.groupBy(*keys, "cluster", "a").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events")).drop("a")
+
+
+def constant(name: str) -> Column:
+    """An aggregate: the only value of a column, null if it has several or none."""
+    return F.when(F.min(name) == F.max(name), F.min(name)).alias(name)
+
+
+def first_refs(rows: DataFrame, keys: list[str], ref: Column, k: int = 5) -> DataFrame:
+    """(keys, refs): of each key's rows the first k references, in the order of time."""
+    order = Window.partitionBy(*keys).orderBy(F.col("micros").asc_nulls_last(), "id")
+    first = rows.withColumn("__ref", ref).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
+    return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__ref"))), lambda x: x["__ref"]).alias("refs"))

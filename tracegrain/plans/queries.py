@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.times import ntz_micros, span_micros
 from ..operators import analytics, correlate, findings, iocs, timeline
 from ..operators.rules import Rule, matches
-from ..sources import parsers
 from ..sources.evidence import digest
 
 HOUR = span_micros("1h")
@@ -134,24 +133,8 @@ def ioc_documents(spark, d):
     return iocs.rollup(iocs.extract(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", ("ipv4", "md5")))
 
 
-def syslog_round_trip(spark, d):
-    """Failed logins rendered as syslog lines and parsed again."""
-    ev = _of(events(spark, d), "auth.login.failure")
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z "), F.col("host"), F.lit(" sshd[1]: Failed password for "), F.col("actor"), F.lit(" from "), F.col("src_ip"), F.lit(" port 22 ssh2"))
-    got = parsers.syslog(ev.select(F.lit("auth.log").alias("path"), F.col("id").cast("int").alias("line_number"), line.alias("line")))
-    return got.select(F.col("line_number").cast("long").alias("id"), F.unix_micros("timestamp_utc").alias("micros"), "host", "actor", "src_ip", "event_type")
-
-
-def access_round_trip(spark, d):
-    """Clicks rendered as access log lines and parsed again."""
-    ev = _of(events(spark, d), "web.request")
-    line = F.concat(F.col("src_ip"), F.lit(" - "), F.col("actor"), F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /p/'), F.col("k").cast("string"), F.lit(' HTTP/1.1" 200 '), (F.col("k") * 10).cast("string"), F.lit(' "-" "agent"'))
-    got = parsers.access(ev.select(F.lit("access.log").alias("path"), F.col("id").cast("int").alias("line_number"), line.alias("line")))
-    return got.select(F.col("line_number").cast("long").alias("id"), ntz_micros(F.col("timestamp_utc")).alias("micros"), "src_ip", "actor", "method", "target", "status", "bytes")
-
-
 def evidence_digest(spark, d):
-    """One digest over all events; no SQL is given, a test compares it with a plain version."""
+    """One digest over all events."""
     return digest(events(spark, d), "id", "raw")
 
 
@@ -159,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         brute_force, timeline_filter, timeline_grep, timeline_page, rule_matches, rule_off_hours, corr_value_count, corr_temporal_ordered, session_clusters, log_gaps, rare_source,
-        start_without_create, unknown_keys, finding_drafts, findings_upsert, attack_coverage, artifact_summary, ioc_pages, ioc_documents, syslog_round_trip, access_round_trip, evidence_digest,
+        start_without_create, unknown_keys, finding_drafts, findings_upsert, attack_coverage, artifact_summary, ioc_pages, ioc_documents, evidence_digest,
     )
 }
 
@@ -193,7 +176,8 @@ ORACLE_SQL = {
  u AS (SELECT event_type, CAST(median(gap) AS DOUBLE) AS median_gap FROM s GROUP BY event_type HAVING count(*) >= 20)
  SELECT event_type, id, micros, gap, median_gap FROM s JOIN u USING (event_type) WHERE gap > 0 AND gap > 5.0 * median_gap""",
     "rare_source": f"""{EV}, s AS (SELECT actor, src_ip, count(*) AS n, min(id) AS id, min(micros) AS micros FROM ev WHERE event_type = 'auth.login.success' GROUP BY actor, src_ip),
- t AS (SELECT actor, CAST(sum(n) AS BIGINT) AS n_logins FROM s GROUP BY actor) SELECT actor, src_ip, id, micros, n_logins FROM s JOIN t USING (actor) WHERE n = 1 AND n_logins >= 5""",
+ -- private addresses count among an actor's logins, but aren't rare sources
+ t AS (SELECT actor, CAST(sum(n) AS BIGINT) AS n_logins FROM s GROUP BY actor) SELECT actor, src_ip, id, micros, n_logins FROM s JOIN t USING (actor) WHERE n = 1 AND n_logins >= 5 AND NOT starts_with(src_ip, '10.')""",
     "start_without_create": f"{EV} SELECT id, host FROM ev a WHERE event_type = 'service.start' AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.event_type = 'user.create' AND b.host = a.host AND abs(a.micros - b.micros) <= {HOUR})",
     "unknown_keys": f"{EV} SELECT id, k FROM ev WHERE event_type = 'auth.login.success' AND k NOT IN (SELECT k FROM ev WHERE event_type = 'user.create' AND k < 60)",
     "finding_drafts": f"""{_MATCHED}, r AS (SELECT * FROM m WHERE rule_key IN ('odd_key', 'private_source', 'new_account')),
@@ -211,6 +195,23 @@ ORACLE_SQL = {
     "artifact_summary": f"{EV} SELECT event_type, host, count(*) AS n, min(micros) AS first_micros, max(micros) AS last_micros FROM ev GROUP BY event_type, host",
     "ioc_pages": r"""WITH h AS (SELECT page_id AS id, lower(regexp_extract(url, 'https?://([^/?#:\s]+)', 1)) AS value FROM pages)
  SELECT 'domain' AS type, value, count(DISTINCT id) AS n_rows, min(id) AS first_id, max(id) AS last_id, '' AS tags FROM h WHERE contains(value, '.') GROUP BY value""",
-    "syslog_round_trip": f"{EV} SELECT id, micros, host, actor, src_ip, event_type FROM ev WHERE event_type = 'auth.login.failure'",
-    "access_round_trip": f"{EV} SELECT id, micros // 1000000 * 1000000 AS micros, src_ip, actor, 'GET' AS method, '/p/' || k AS target, CAST(200 AS INTEGER) AS status, k * 10 AS bytes FROM ev WHERE event_type = 'web.request'",
+    "ioc_documents": r"""WITH t AS (SELECT DISTINCT doc_id AS id, 'ipv4' AS type, regexp_extract(w, '^([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:\.(?:\..*)?)?$', 1) AS value FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9.]')) AS w FROM documents)
+ UNION ALL SELECT doc_id, 'md5', lower(w) FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9A-Fa-f]')) AS w FROM documents) WHERE length(w) = 32),
+ n AS (SELECT *, CASE WHEN type = 'ipv4' THEN list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INTEGER)) END AS p FROM t WHERE value != ''),
+ g AS (SELECT *, p[1] IN (0, 10, 127) OR p[1] >= 224 OR (p[1] = 100 AND p[2] BETWEEN 64 AND 127) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168)
+  OR (p[1] = 192 AND p[2] = 0 AND p[3] IN (0, 2)) OR (p[1] = 198 AND p[2] IN (18, 19)) OR (p[1] = 198 AND p[2] = 51 AND p[3] = 100) OR (p[1] = 203 AND p[2] = 0 AND p[3] = 113) AS local FROM n
+  WHERE type = 'md5' OR (list_max(p) <= 255 AND array_to_string(p, '.') = value AND p[1] != 127 AND value != '0.0.0.0' AND p[1] NOT BETWEEN 224 AND 239))
+ SELECT type, value, count(DISTINCT id) AS n_rows, min(id) AS first_id, max(id) AS last_id, CASE WHEN bool_or(type = 'ipv4' AND local) THEN 'private' ELSE '' END AS tags FROM g GROUP BY type, value""",
+    "evidence_digest": f"""{EV}, d AS (SELECT substr(sha256(CAST(id AS VARCHAR)), 1, 2) AS p, sha256(CAST(id AS VARCHAR) || chr(9) || raw) AS d FROM ev),
+ s AS (SELECT p, count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(d, {at}, 12) AS HUGEINT)) AS s{at}" for at in range(1, 65, 12))} FROM d GROUP BY p)
+ SELECT sha256(string_agg(concat_ws(':', p, {", ".join(f"s{at}" for at in range(1, 65, 12))}, n), ',' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM s""",
+    "corr_temporal_ordered": f"""{EV.replace("WITH ev", "WITH RECURSIVE ev", 1)}, m AS (SELECT id, micros, actor, event_type = 'auth.login.failure' AS a FROM ev WHERE event_type IN ('auth.login.failure', 'auth.login.success')),
+ g AS (SELECT *, CASE WHEN micros - lag(micros) OVER (PARTITION BY actor ORDER BY micros, id) <= {DAY} THEN 0 ELSE 1 END AS new FROM m),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY actor ORDER BY micros, id) AS cluster FROM g),
+ n AS (SELECT *, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY actor, cluster ORDER BY micros RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY} FOLLOWING) AS till FROM c WINDOW w AS (PARTITION BY actor, cluster ORDER BY micros, id)),
+ f AS (SELECT *, min(CASE WHEN a THEN rn END) OVER w AS pa, min(CASE WHEN NOT a THEN rn END) OVER w AS pb FROM n WINDOW w AS (PARTITION BY actor, cluster ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ ok AS (SELECT actor, cluster, rn, till FROM f WHERE pa < till AND pb < till AND pa < pb),
+ pick AS (SELECT actor, cluster, min(rn) AS rn, min_by(till, rn) AS till FROM ok GROUP BY actor, cluster
+  UNION ALL SELECT * FROM (SELECT p.actor, p.cluster, min(o.rn) AS rn, min_by(o.till, o.rn) AS till FROM pick p JOIN ok o ON o.actor = p.actor AND o.cluster = p.cluster AND o.rn >= p.till GROUP BY p.actor, p.cluster, p.rn))
+ SELECT n.actor, CAST(n.cluster AS BIGINT) AS cluster, min(micros) AS first_micros, max(micros) AS last_micros, count(*) AS n_events FROM n JOIN pick p ON n.actor = p.actor AND n.cluster = p.cluster AND n.rn >= p.rn AND n.rn < p.till GROUP BY n.actor, n.cluster, p.rn""",
 }
