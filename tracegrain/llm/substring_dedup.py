@@ -105,9 +105,10 @@ def _edges(k: int, anchor: int, maybe):
     """mapInArrow: (text) into (doc, first, edges, seconds): runs of windows whose anchors may repeat; doc is the text's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a window takes several times the bytes of its word, so a chunk's windows are handed on before the next chunk is read
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for chunk in chunks(batch.column(0)):
+                out: list[list] = [[], [], [], []]
                 for _, words in chunk:
                     if len(words) < k:
                         continue
@@ -121,8 +122,8 @@ def _edges(k: int, anchor: int, maybe):
                     for a, b in zip(borders[::2], borders[1::2], strict=True):
                         for to, v in zip(out, (doc, a, edges[a:b], seconds[a:b]), strict=True):
                             to.append(v)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in out[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *lists], ["doc", "first", "edges", "seconds"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in out[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *lists], ["doc", "first", "edges", "seconds"])
 
     return run
 
