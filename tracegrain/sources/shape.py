@@ -94,3 +94,8 @@ def user_of(path: Column) -> Column:
     """Whose home a path is in, the innermost one."""
     home = F.regexp_extract(path, r".*/(?:home/([^/]+)|root)/", 0)
     return F.when(home != "", F.when(home.rlike(r"/home/[^/]+/$"), F.regexp_extract(home, r"/home/([^/]+)/$", 1)).otherwise("root"))
+
+
+def with_ids(events: DataFrame) -> DataFrame:
+    """events with id, which follows from the file, the line and what the line says, so it is the same in each run; and micros."""
+    return events.withColumns({"id": F.xxhash64("path", "line_number", "event_type", "target"), "micros": F.unix_micros("timestamp_utc")})
