@@ -207,12 +207,15 @@ def _frequencies(terms):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
+            got: list[list] = [[], []]
             for chunk in chunks(batch.column(0), lower=True):
                 at = np.flatnonzero(terms.value.has(chunk.hash))
                 pair = np.stack([np.searchsorted(chunk.bound, at, "right"), as_long(chunk.hash[at])])
-                got.append(np.unique(pair, axis=1)[1] if len(at) else np.empty(0, np.int64))
-            term, docs = np.unique(np.concatenate(got) if got else np.empty(0, np.int64), return_counts=True)
+                # each word once a text, then texts by word; a batch's chunks are summed
+                for to, v in zip(got, np.unique(np.unique(pair, axis=1)[1], return_counts=True) if len(at) else (), strict=False):
+                    to.append(v)
+            term, of = np.unique(np.concatenate(got[0]) if got[0] else np.empty(0, np.int64), return_inverse=True)
+            docs = np.bincount(of, np.concatenate(got[1]), len(term)).astype(np.int64) if got[0] else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(docs)], ["term", "docs"])
 
     return run
