@@ -1,49 +1,18 @@
-"""Cutting lineage, and the fixed-size filters that let a task skip what can't matter."""
+"""The fixed-size filters that let a task skip what can't matter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a Bloom filter at most: 16 MB, whatever the input's size.
-MOST_BITS = 1 << 27
+from tracegrain.operators.tables import cut, discard, shared_dir
 
+__all__ = ["Bloom", "bits_for", "cut", "discard", "shared_dir", "without_ids", "word_and_mask"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set and all of Spark runs in this one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir isn't set: on a cluster tables are written to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tracegrain-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: any executor can be lost afterwards.
-
-    The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracegrain-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table = where
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table that cut() wrote; only once everything made from it is written too."""
-    table._table.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(table._table, True)
+#: Bits of a Bloom filter at most: 16 MB, whatever the input's size.
+MOST_BITS = 1 << 27
 
 
 def bits_for(n: int, a_row: int = 16) -> int:
