@@ -55,8 +55,9 @@ def scan(df: DataFrame, group: list[str], order: list[Column], step: Callable, s
     return table, sorted(ends.collect(), key=lambda r: r.part)
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str] = []) -> DataFrame:  # noqa: B006
-    """df with n, the row's place in its group from 1, and run_<column> for each long column of sums: its sum up to this row, null as 0.
+def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str] = [], previous: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with n, the row's place in its group from 1, run_<column> for each long column of sums: its sum up to this row, null as 0, and
+    prev_<column> for each column of previous: its value in the row before, null in a group's first row.
 
     order has to tell a group's rows apart but for rows that are equal in all that follows from them.
     """
@@ -64,9 +65,11 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
     schema = StructType([*df.schema.fields]).add("part", IntegerType()).add("n", LongType())
     for s in sums:
         schema = schema.add(f"run_{s}", LongType())
+    for p in previous:
+        schema = schema.add(f"prev_{p}", df.schema[p].dataType)
 
     def step(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had = np.zeros(1 + len(sums), np.int64)
+        had, last = np.zeros(1 + len(sums), np.int64), [None] * len(previous)
         for batch, starts, goes_on in runs(batches, group):
             if not goes_on:
                 had[:] = 0
@@ -80,28 +83,38 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
                 out.append(total - np.repeat(before, size))
                 had[i] = out[-1][-1]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, out)], schema.names)
+            shifted, at = [], np.arange(batch.num_rows) - 1
+            for i, p in enumerate(previous):
+                v = batch.column(batch.schema.get_field_index(p))
+                before = pa.concat_arrays([v, pa.array([last[i] if goes_on else None], v.type)])
+                at[starts[1:]] = -1
+                shifted.append(before.take(pa.array(np.where(at < 0, len(v), at), mask=np.isin(np.arange(len(at)), starts[1:]))))
+                last[i] = v[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, out), *shifted], schema.names)
 
     state = [f"run_{s}" for s in sums]
-    table, ends = scan(df, group, order, step, schema, state)
-    carried, before, ended = [], [0] * (1 + len(sums)), None
+    table, ends = scan(df, group, order, step, schema, [*state, *previous])
+    carried, before, values, ended = [], [0] * (1 + len(sums)), [], None
     for r in ends:
         if ended != r.first:
             before = [0] * len(before)
         if any(before):
-            carried.append((r.part, r.first, *before))
+            carried.append((r.part, r.first, *before, *values))
         here = [r["last"][c] for c in ("n", *state)]
         before = [a + b for a, b in zip(before, here, strict=True)] if r.first == r["last"]["group"] else here
-        ended = r["last"]["group"]
+        ended, values = r["last"]["group"], [r["last"][p] for p in previous]
     if not carried:
         return table.drop("part")
     first = StructType([df.schema[g] for g in group])
     kept = StructType().add("part", IntegerType()).add("__first", first)
     for c in ("n", *state):
         kept = kept.add(f"__{c}", LongType())
+    for p in previous:
+        kept = kept.add(f"__prev_{p}", df.schema[p].dataType)
     more = df.sparkSession.createDataFrame(carried, kept)
     here = F.col("__first").isNotNull()
     for g in group:
         here &= F.col(g).eqNullSafe(F.col(f"__first.{g}"))
     added = {c: F.col(c) + F.when(here, F.col(f"__{c}")).otherwise(0) for c in ("n", *state)}
-    return table.join(F.broadcast(more), "part", "left").withColumns(added).select(*names, "n", *state)
+    added |= {f"prev_{p}": F.when(here & (F.col("n") == 1), F.col(f"__prev_{p}")).otherwise(F.col(f"prev_{p}")) for p in previous}
+    return table.join(F.broadcast(more), "part", "left").withColumns(added).select(*names, "n", *state, *(f"prev_{p}" for p in previous))
