@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 import uuid
 from datetime import UTC, datetime
 
@@ -187,6 +188,37 @@ def test_redaction_and_back(spark):
     assert {r.raw for r in redact.restore(out, "id", "raw", table).collect()} == {r.raw for r in df.collect()}
 
 
+def plain_redaction(text, names, key=None, whole=True):
+    """By one expression of all names, the longest first."""
+    names = dict(names)
+    for mail in set(re.findall(redact.EMAIL, text)) if key else ():
+        if not mail.endswith("redacted.invalid"):
+            names.setdefault(mail, f"email-{hmac.new(key, f'email:{mail}'.encode(), 'sha256').hexdigest()[:6]}@redacted.invalid")
+    either = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
+    return re.sub(rf"(?<![\w.@-])({either})(?![\w@-]|\.\w)" if whole else either, lambda m: names[m[0]], text) if names else text
+
+
+@pytest.mark.parametrize("most", [None, 40])
+def test_redaction_against_one_expression(spark, most):
+    """In one automaton, and in one of many slices: first characters that many values share, values with blanks, values that begin others, all kinds of marks."""
+    rng, key = random.Random(3), b"k" * 70
+    names = ["10.0.0.1", "alice", "alice.b", "db.corp", "host1", "host10", "John Smith", "John", "alice@10.0.0.1", "a-b", "é é", "-x", "10.0.0.1:22", "ab", "abc", "abcd", "abcdefgh", "abcdefghi", "abcdefgh-ij"]
+    names += [f"user-{i:04}" for i in range(60)]
+    marks = [" ", ":", ".", ",", "(", ")", "/", "@", "-", "_", "\n", "x", "é", "1", "", "'", "=", "mail a.b+c@d.example "]
+    texts = ["from 10.0.0.1:5022", "user:alice", "host1:22", "http://db.corp:80/x", "by John Smith here", "alice:", "(alice)", "/home/alice/", "alice@10.0.0.1", "10.0.0.1", None, "", "alice."]
+    texts += ["".join(rng.choice(names) + rng.choice(marks) if rng.random() < 0.6 else rng.choice(marks) for _ in range(rng.randint(1, 25))) for _ in range(800)]
+    table = {n: f"N{i}" for i, n in enumerate(names)}
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id long, line string, slice int")
+    pairs = spark.createDataFrame(list(table.items()), "value string, pseudonym string")
+    for k in (None, key):
+        got = {r.id: r.line for r in redact.redact(df, "id", "line", pairs, k, most).collect()}
+        assert got == {i: None if t is None else plain_redaction(t, table, k) for i, t in enumerate(texts)}
+    back = redact.restore(redact.redact(df, "id", "line", pairs, None, most), "id", "line", pairs, most)
+    assert back.columns == df.columns and back.count() == len(texts)
+    restored = {v: n for n, v in table.items()}
+    assert {r.id: r.line for r in back.collect()} == {i: None if t is None else plain_redaction(plain_redaction(t, table), restored, whole=False) for i, t in enumerate(texts)}
+
+
 def test_exports(spark, tmp_path):
     names = spark.createDataFrame([("a",), ("é|x",)], "n string").select("n", exports.uuid5(exports.NAMESPACE, F.col("n")).alias("u")).collect()
     assert all(r.u == str(uuid.uuid5(uuid.UUID(exports.NAMESPACE), r.n)) for r in names)

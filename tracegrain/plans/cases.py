@@ -106,6 +106,17 @@ def redacted_texts(spark, d):
     return redact.redact(ev.select("id", "raw"), "id", "raw", table)
 
 
+def redacted_lines(spark, d):
+    """Log lines with ports, colons, URLs and names of two words, and with names that only look alike; e-mail addresses are found as they stand."""
+    ev = events(spark, d)
+    last = F.substring("actor", 2, 9)
+    values = ev.select(F.explode(F.array(*(F.struct(F.lit(c).alias("category"), v.alias("value")) for c, v in (
+        ("user", F.col("actor")), ("user", F.concat(F.lit("User "), last)), ("host", F.col("host")), ("domain", F.concat("host", F.lit(".corp"))), ("ip", F.when(F.col("src_ip").startswith("10."), F.col("src_ip")))
+    )))).alias("x")).select("x.*").where("value is not null").distinct()
+    line = F.concat(F.lit("from "), "src_ip", F.lit(":5022 user:"), "actor", F.lit(" "), "host", F.lit(":22 http://"), "host", F.lit(".corp:80/x by User "), last, F.lit(" here x-"), "actor", F.lit(" "), "actor", F.lit(".d mail "), "actor", F.lit("@"), "src_ip", F.lit(" ("), "actor", F.lit(")."))
+    return redact.redact(ev.select("id", line.alias("line")), "id", "line", redact.mapping(values, KEY), KEY)
+
+
 def events_as_json(spark, d):
     return as_json(_of(events(spark, d), "web.request").select("id", "micros", "actor", "src_ip", "event_type").withColumns({"line_number": F.lit(1)})).select("id", "json")
 
@@ -132,7 +143,7 @@ def cut_login_records(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chained_correlations, finding_texts, first_references, constant_entities, severity_counts, technique_coverage, event_findings, ioc_table, ioc_upsert, lookup_policy, combined_verdicts, pseudonyms, redacted_texts, events_as_json, stix_ids,
+        chained_correlations, finding_texts, first_references, constant_entities, severity_counts, technique_coverage, event_findings, ioc_table, ioc_upsert, lookup_policy, combined_verdicts, pseudonyms, redacted_texts, redacted_lines, events_as_json, stix_ids,
         log_figures, cut_login_records,
     )
 }
@@ -167,6 +178,8 @@ ORACLE_SQL = {
     "combined_verdicts": f"""{EV}, o AS (SELECT src_ip, max(k) AS k FROM ev GROUP BY src_ip), v AS (SELECT src_ip, greatest(CASE WHEN k >= 75 THEN 3 WHEN k >= 25 THEN 2 WHEN k % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN k % 4 >= 3 THEN 3 WHEN k % 4 >= 1 THEN 2 ELSE 1 END) AS r FROM o)
  SELECT 'ipv4' AS type, src_ip AS value, ['unknown', 'clean', 'suspicious', 'malicious'][r + 1] AS verdict FROM v""",
     "pseudonyms": f"{EV} SELECT DISTINCT actor AS value, {_pseudonym('user', 'actor')} AS pseudonym FROM ev UNION ALL SELECT DISTINCT host, {_pseudonym('host', 'host')} FROM ev",
+    "redacted_lines": f"""{EV} SELECT id, 'from ' || CASE WHEN src_ip LIKE '10.%' THEN {_pseudonym('ip', 'src_ip').replace("'ip-'", "'PRIVATE-IP-'")} ELSE src_ip END || ':5022 user:' || {_pseudonym('user', 'actor')} || ' ' || {_pseudonym('host', 'host')}
+ || ':22 http://' || {_pseudonym('domain', "(host || '.corp')")} || '.redacted.invalid:80/x by ' || {_pseudonym('user', "('User ' || substr(actor, 2))")} || ' here x-' || actor || ' ' || actor || '.d mail ' || {_pseudonym('email', "(actor || '@' || src_ip)")} || '@redacted.invalid (' || {_pseudonym('user', 'actor')} || ').' AS line FROM ev""",
     "redacted_texts": f"{EV} SELECT id, replace(raw, ' ' || actor || ' ', ' ' || {_pseudonym('user', 'actor')} || ' ') AS raw FROM ev WHERE event_type = 'user.create'",
     "stix_ids": f"""{EV}, h AS (SELECT DISTINCT src_ip AS value, sha1(unhex('{exports.NAMESPACE.replace("-", "")}') || encode('indicator|case|ipv4|' || src_ip)) AS d FROM ev)
  SELECT value, 'indicator--' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST('0x' || substr(d, 17, 1) AS BIGINT) % 4 + 1] || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS stix_id,
