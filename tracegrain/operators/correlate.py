@@ -9,13 +9,14 @@ passes from bucket to bucket (the last time, running sums) is summed over the bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+from .tables import cut
+
 IDENTITY = ("micros", "actor", "src_ip", "event_type")
 BUCKETS = 64
 COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
@@ -105,45 +106,58 @@ def distinct_values(rows: DataFrame, found: DataFrame, keys: list[str], field: s
     return clustered(rows, keys, span).join(found.select(*keys, "cluster"), [*keys, "cluster"], "left_semi").where(F.col(field).isNotNull()).select(*keys, "cluster", F.col(field).alias("value")).distinct()
 
 
-def _greedy(keys: int):
-    """mapInArrow: sorted candidate windows (keys ..., cluster, a, b) into those taken from left to right without overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, free = None, 0
-        for batch in batches:
-            take = []
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(keys + 1)), strict=True))
-            for name, a, b in zip(names, batch.column(keys + 1).to_pylist(), batch.column(keys + 2).to_pylist(), strict=True):
-                if name != of:
-                    of, free = name, 0
-                take.append(a >= free)
-                if a >= free:
-                    free = b
-            yield batch.filter(pa.array(take, pa.bool_()))
-
-    return run
-
-
-def temporal(rows: DataFrame, keys: list[str], rules: list[str], span: int, ordered: bool = False) -> DataFrame:
-    """Windows of a span in which every rule matches (ordered: first matches in the rules' order), from left to right without overlap.
+def _chosen(starts: DataFrame, group: list[str]) -> DataFrame:
+    """Of windows (group, a, b: places from a on, b left out) those taken from left to right without overlap, by pointer doubling.
 
-    A window starts at a row and takes all rows up to a span later; after one that holds, the next starts behind it. A cluster's rows are sorted in one
-    task, and its windows are chosen as they pass.
+    Each window points to the first that begins at or behind its end. A group's first window is reached; each round adds what all that is reached points to, and
+    the pointers go twice as far in the next. So there are as many rounds as the logarithm of the windows that are taken.
+    """
+    ahead = starts.select(*group, F.col("b").alias("at"), F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("one"))
+    both = ahead.unionByName(starts.select(*group, F.col("a").alias("at"), F.lit(1).alias("kind"), "a", F.lit(1).cast("long").alias("one")))
+    told = running(both, group, [F.col("at"), F.col("kind"), F.col("a")], ["one"])
+    nodes = told.groupBy(*group, "a").agg(F.max(F.when(F.col("kind") == 1, F.col("run_one"))).alias("i"), F.max(F.when(F.col("kind") == 0, F.col("run_one") + 1)).alias("to"), F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("b"))
+    nodes = cut(nodes)
+    jump = nodes.select(*group, "i", "to")
+    reached = jump.where("i = 1").select(*group, "i")
+    while True:
+        new = cut(reached.join(jump, [*group, "i"]).select(*group, F.col("to").alias("i")).join(nodes.select(*group, "i"), [*group, "i"], "left_semi"))
+        if new.isEmpty():
+            return nodes.join(reached, [*group, "i"], "left_semi").select(*group, "a", "b")
+        reached = cut(reached.unionByName(new))
+        jump = cut(jump.join(jump.select(*group, F.col("i").alias("to"), F.col("to").alias("further")), [*group, "to"]).select(*group, "i", F.col("further").alias("to")))
+
+
+def temporal_members(rows: DataFrame, keys: list[str], rules: list[str], span: int, ordered: bool = False) -> DataFrame:
+    """Of windows of a span in which every rule matches (ordered: first matches in the rules' order), taken from left to right without overlap:
+    (keys, cluster, a, rule_key, id, micros), a row for each match within; a tells a cluster's windows apart.
+
+    A window starts at a row and takes all rows up to a span later; after one that holds, the next starts behind it. Rows at one time are in the order of
+    their ids and of the rules. Places, ends of spans, next matches and windows are told by sums over ranges of time (ordered.py), so a key's rows lie in many tasks.
     """
     rows = clustered(rows.where(F.col("rule_key").isin(rules)), keys, span)
-    parts = Window.partitionBy(*keys, "cluster")
-    rows = rows.withColumn("rn", F.row_number().over(parts.orderBy("micros", "id")) - 1)
-    rows = rows.withColumn("end", F.count(F.lit(1)).over(parts.orderBy("micros").rangeBetween(Window.unboundedPreceding, span)))
-    ahead = parts.orderBy(F.desc("micros"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = [F.min(F.when(F.col("rule_key") == r, F.col("rn"))).over(ahead) for r in rules]
-    rows = rows.withColumn("__p", F.array(*firsts))
-    ok = reduce(lambda a, b: a & b, (F.coalesce(F.get("__p", F.lit(i)) < F.col("end"), F.lit(False)) for i in range(len(rules))))
+    group = [*keys, "cluster"]
+    rank = F.array_position(F.array(*map(F.lit, rules)), F.col("rule_key")).cast("int") - 1
+    own = rows.select(*group, "id", rank.alias("rule"), F.col("micros").alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("one"))
+    both = own.unionByName(own.withColumns({"at": F.col("at") + span, "kind": F.lit(1), "one": F.lit(0).cast("long")}))
+    told = running(both, group, [F.col(c) for c in ("at", "kind", "id", "rule")], ["one"])
+    row, end = F.col("kind") == 0, F.col("kind") == 1
+    placed = told.groupBy(*group, "id", "rule").agg(F.max(F.when(row, F.col("run_one") - 1)).alias("rn"), F.max(F.when(end, F.col("run_one"))).alias("end"), F.max(F.when(row, F.col("at"))).alias("micros"))
+    placed = placed.withColumns({f"p{i}": F.when(F.col("rule") == i, F.col("rn")) for i in range(len(rules))})
+    first = [F.col(f"last_p{i}") for i in range(len(rules))]
+    ahead = running(placed, group, [F.col("rn").desc()], latest=[f"p{i}" for i in range(len(rules))])
+    ok = reduce(lambda a, b: a & b, (F.coalesce(p < F.col("end"), F.lit(False)) for p in first))
     if ordered:
-        ok = reduce(lambda a, b: a & b, (F.get("__p", F.lit(i)) < F.get("__p", F.lit(i + 1)) for i in range(len(rules) - 1)), ok)
-    starts = rows.where(ok).select(*keys, "cluster", F.col("rn").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in starts.schema)
-    windows = starts.repartition(*keys, "cluster").sortWithinPartitions(*keys, "cluster", "a").mapInArrow(_greedy(len(keys)), schema)
-    inside = rows.join(windows, [*keys, "cluster"]).where("rn >= a and rn < b")
+        ok = reduce(lambda a, b: a & b, (p < q for p, q in zip(first, first[1:], strict=False)), ok)
+    ahead = ahead.select(*group, "id", "rule", "rn", "end", "micros", ok.alias("ok"))
+    windows = _chosen(ahead.where("ok").select(*group, F.col("rn").alias("a"), F.col("end").alias("b")), group)
+    marked = ahead.drop("end", "ok").join(windows.withColumn("rn", F.col("a")), [*group, "rn"], "left")
+    inside = running(marked, group, [F.col("rn")], latest=["a", "b"]).where("rn < last_b")
+    return inside.select(*group, F.col("last_a").alias("a"), F.get(F.array(*map(F.lit, rules)), F.col("rule")).alias("rule_key"), "id", "micros")
+
+
+def temporal(rows: DataFrame, keys: list[str], rules: list[str], span: int, ordered: bool = False) -> DataFrame:
+    """A row for each window of temporal_members()."""
+    inside = temporal_members(rows, keys, rules, span, ordered)
     return inside.groupBy(*keys, "cluster", "a").agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.count(F.lit(1)).alias("n_events")).drop("a")
 
 

@@ -55,9 +55,10 @@ def scan(df: DataFrame, group: list[str], order: list[Column], step: Callable, s
     return table, sorted(ends.collect(), key=lambda r: r.part)
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str] = [], previous: list[str] = []) -> DataFrame:  # noqa: B006
-    """df with n, the row's place in its group from 1, run_<column> for each long column of sums: its sum up to this row, null as 0, and
-    prev_<column> for each column of previous: its value in the row before, null in a group's first row.
+def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str] = [], previous: list[str] = [], latest: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with n, the row's place in its group from 1, run_<column> for each long column of sums: its sum up to this row, null as 0,
+    prev_<column> for each column of previous: its value in the row before, null in a group's first row, and last_<column> for each column of
+    latest: its value in this row or in the last row before that has one.
 
     order has to tell a group's rows apart but for rows that are equal in all that follows from them.
     """
@@ -67,9 +68,11 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
         schema = schema.add(f"run_{s}", LongType())
     for p in previous:
         schema = schema.add(f"prev_{p}", df.schema[p].dataType)
+    for c in latest:
+        schema = schema.add(f"last_{c}", df.schema[c].dataType)
 
     def step(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had, last = np.zeros(1 + len(sums), np.int64), [None] * len(previous)
+        had, last, kept = np.zeros(1 + len(sums), np.int64), [None] * len(previous), [None] * len(latest)
         for batch, starts, goes_on in runs(batches, group):
             if not goes_on:
                 had[:] = 0
@@ -90,18 +93,29 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
                 at[starts[1:]] = -1
                 shifted.append(before.take(pa.array(np.where(at < 0, len(v), at), mask=np.isin(np.arange(len(at)), starts[1:]))))
                 last[i] = v[-1].as_py()
+            for i, c in enumerate(latest):
+                v = batch.column(batch.schema.get_field_index(c))
+                at = np.where(pc.is_valid(v).to_numpy(zero_copy_only=False), np.arange(len(v)), -1)
+                at = np.maximum.accumulate(at)
+                at = np.where(at >= np.repeat(starts, size), at, -1)
+                before = pa.concat_arrays([v, pa.array([kept[i] if goes_on else None], v.type)])
+                first = np.arange(len(v)) < size[0]
+                shifted.append(before.take(pa.array(np.where(at < 0, len(v), at), mask=(at < 0) & ~first)))
+                kept[i] = shifted[-1][-1].as_py()
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, out), *shifted], schema.names)
 
     state = [f"run_{s}" for s in sums]
-    table, ends = scan(df, group, order, step, schema, [*state, *previous])
-    carried, before, values, ended = [], [0] * (1 + len(sums)), [], None
+    table, ends = scan(df, group, order, step, schema, [*state, *previous, *(f"last_{c}" for c in latest)])
+    carried, before, values, keeps, ended = [], [0] * (1 + len(sums)), [], [None] * len(latest), None
     for r in ends:
         if ended != r.first:
-            before = [0] * len(before)
+            before, keeps = [0] * len(before), [None] * len(latest)
         if any(before):
-            carried.append((r.part, r.first, *before, *values))
+            carried.append((r.part, r.first, *before, *values, *keeps))
         here = [r["last"][c] for c in ("n", *state)]
         before = [a + b for a, b in zip(before, here, strict=True)] if r.first == r["last"]["group"] else here
+        new = [r["last"][f"last_{c}"] for c in latest]
+        keeps = [b if a is None and r.first == r["last"]["group"] else a for a, b in zip(new, keeps, strict=True)]
         ended, values = r["last"]["group"], [r["last"][p] for p in previous]
     if not carried:
         return table.drop("part")
@@ -111,10 +125,13 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
         kept = kept.add(f"__{c}", LongType())
     for p in previous:
         kept = kept.add(f"__prev_{p}", df.schema[p].dataType)
+    for c in latest:
+        kept = kept.add(f"__last_{c}", df.schema[c].dataType)
     more = df.sparkSession.createDataFrame(carried, kept)
     here = F.col("__first").isNotNull()
     for g in group:
         here &= F.col(g).eqNullSafe(F.col(f"__first.{g}"))
     added = {c: F.col(c) + F.when(here, F.col(f"__{c}")).otherwise(0) for c in ("n", *state)}
     added |= {f"prev_{p}": F.when(here & (F.col("n") == 1), F.col(f"__prev_{p}")).otherwise(F.col(f"prev_{p}")) for p in previous}
-    return table.join(F.broadcast(more), "part", "left").withColumns(added).select(*names, "n", *state, *(f"prev_{p}" for p in previous))
+    added |= {f"last_{c}": F.when(here & F.col(f"last_{c}").isNull(), F.col(f"__last_{c}")).otherwise(F.col(f"last_{c}")) for c in latest}
+    return table.join(F.broadcast(more), "part", "left").withColumns(added).select(*names, "n", *state, *(f"prev_{p}" for p in previous), *(f"last_{c}" for c in latest))
