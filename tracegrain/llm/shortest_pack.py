@@ -18,8 +18,11 @@ there. Columns other than the id and the text play no part, whatever their names
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,34 +38,81 @@ from .shared import cut
 
 #: Distinct words that a worker keeps the ids of; they are forgotten when there are more.
 WORDS = 1 << 19
+#: Characters of texts that are encoded together; a longer text is encoded alone.
+HANDED_ON = 1 << 19
+# Fixed value: how the tokenizer file splits a text, after NFC and in lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern for texts without the characters of _OTHER, with the letters and numbers of U+0080 to U+024F.
+_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\sa-z0-9ªµºß-öø-ɏ²³¹¼-¾]+")
+_OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧€]|<\\|")
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose words end at ASCII white space and don't see each other, as little-endian 32-bit integers.
+    """Ids of a tokenizer whose words don't see each other, as little-endian 32-bit integers.
 
-    This holds for tokenizers that drop white space before they split; each distinct word is encoded once, the new ones of a text together.
+    Each distinct word is encoded once. Of texts in Latin letters a word is what the tokenizer itself splits off, and all new words of some texts are encoded as
+    one text, whose ids end words where their tokens do; of others it is what stands between ASCII white space, which this kind of tokenizer drops before it splits.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        known, words = self.known, text.encode().split()
-        if len(known) > WORDS:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.known, self.chunks = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers") or []]
+        self.latin = splits[0].get("pattern") == {"Regex": PATTERN} and steps == ["NFC", "Replace", "Lowercase"] and told["model"].get("end_of_word_suffix") == "</w>"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str], into: dict) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            into[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        (all_,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(all_.ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return self._encode(words, self.known)
+        raw, at = ids.tobytes(), 0
+        for w, stop in zip(words, (4 * stops).tolist(), strict=True):
+            self.known[w], at = raw[at:stop], stop
+        return None
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) + len(self.chunks) > WORDS:
+            self.known, self.chunks = {}, {}
+        latin = [self.latin and not _OTHER.search(t) for t in texts]
+        words = [_LATIN.findall(t.lower()) if x else None for t, x in zip(texts, latin, strict=True)]
+        new = [w for w in set().union(*(x for x in words if x)) if w not in self.known]
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, own)) if own is not None else self._by_chunks(t) for t, own in zip(texts, words, strict=True)]
         for w in new:
             if len(w) > 64:
-                del known[w]
+                del self.known[w]
+        return out
+
+    def _by_chunks(self, text: str) -> bytes:
+        chunks = [c.decode() for c in text.encode().split()]
+        self._encode([c for c in set(chunks) if c not in self.chunks], self.chunks)
+        out = b"".join(map(self.chunks.__getitem__, chunks))
+        for c in set(chunks):
+            if len(c) > 64:
+                del self.chunks[c]
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks that a worker runs."""
+    return WordEncoder(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -74,25 +124,26 @@ _BASE = "part int, place long, start long, length int, nth long, crc long, doc_t
 
 def _tokenised(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(path), TaskContext.get().partitionId(), 0
         end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            row, rows, held = [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                for a in range(0, n, size):
-                    piece = ids[4 * a : 4 * (a + size)]
-                    length = len(piece) // 4
-                    row.append(i)
-                    rows.append((part, place, a, length, int(seen[length]), zlib.crc32(piece), n, piece))
-                    seen[length] += 1
-                    place += 1
-                held += len(ids)
-                if held > 1 << 22:
-                    yield _batch(batch, row, rows)
-                    row, rows, held = [], [], 0
-            if rows:
+            i = 0
+            while i < batch.num_rows:
+                texts, first, chars = [], i, 0
+                while i < batch.num_rows and chars < HANDED_ON:
+                    texts.append(batch.column(1)[i].as_py() or "")
+                    chars, i = chars + len(texts[-1]), i + 1
+                row, rows = [], []
+                for j, ids in enumerate(encode(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    for a in range(0, n, size):
+                        piece = ids[4 * a : 4 * (a + size)]
+                        length = len(piece) // 4
+                        row.append(first + j)
+                        rows.append((part, place, a, length, int(seen[length]), zlib.crc32(piece), n, piece))
+                        seen[length] += 1
+                        place += 1
                 yield _batch(batch, row, rows)
 
     return run
