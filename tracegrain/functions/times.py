@@ -25,6 +25,13 @@ def ntz_micros(ts: Column) -> Column:
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
+def wall_clock(ts: Column, zone: str = "UTC") -> Column:
+    """The time without a zone that clocks show in a zone at an instant (a timestamp); the session's zone plays no part, and F.hour and the like read it as it is."""
+    seconds = (F.unix_micros(ts).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
 def iso(micros: Column) -> Column:
     """Microseconds since 1970 as ISO 8601 in UTC, with microseconds if there are any."""
     seconds = F.floor(micros / 1_000_000)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import canonical_ip, is_public, is_usable, let
-from .iocs import _all, host_of, is_internal
+from .iocs import _all, _domains, host_of, is_internal
 
 # Accounts that say nothing of anyone, as distributions and images create them: base system in the order of its user numbers, then services, then images.
 SYSTEM_ACCOUNTS = """
@@ -58,7 +58,7 @@ def sensitive(events: DataFrame, *internal: str) -> DataFrame:
     found = F.flatten(F.array(
         F.array(of("host", F.col("host")), of("user", F.col("actor")), of("user", F.when(about_user, F.col("target"))), of("ip", private(F.col("src_ip"))), of("ip", private(F.col("dst_ip")))),
         F.transform(F.regexp_extract_all(text, F.lit(r"/home/([^/\s'\"]+)"), 1), lambda u: of("user", u)), F.transform(_all(text, "ip"), lambda ip: of("ip", private(ip))),
-        F.transform(_all(text, "domain"), lambda d: of("domain", F.when(is_internal(d, *internal), d))), F.transform(_all(text, "url"), lambda u: of("domain", F.when(is_internal(host_of(u), *internal), host_of(u)))),
+        F.transform(_domains(text), lambda d: of("domain", F.when(is_internal(d, *internal), d))), F.transform(_all(text, "url"), lambda u: of("domain", F.when(is_internal(host_of(u), *internal), host_of(u)))),
         F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), 1), lambda e: of("email", e)),
     ))
     rows = events.select(F.explode(found).alias("x")).select("x.category", F.trim("x.value").alias("value")).where("value is not null and length(value) >= 2").distinct()
