@@ -489,3 +489,32 @@ def test_sum_of_squares_choice():
         if open_gaps:
             assert squares(20 - level[b]) == min(map(squares, open_gaps))
         level[b] += int(s)
+
+
+_AROUND = "<p>" + "The first words of the article stand here and say what it is about. " * 2 + "</p>{}<p>" + "More words of the same article follow, so that there is a text to find. " * 2 + "</p><p>" + "It ends here with some last words that belong to it. " * 2 + "</p>"
+_OUT = [f"<div class='{c}'><p>Words that don't belong here at all, whatever they say.</p></div>" for c in (
+    "user-comments", "comments-area", "comment-body", "post-comments", "ad-slot", "ad-container", "advert-box", "share-buttons", "social-share", "related-posts", "newsletter-signup", "cookie-banner", "site-footer", "sidebar-left", "promo-box",
+    "sponsored-content", "nav-links", "author-box menu-list",
+)] + ["<article class='comment'><p>I don't think so, says a reader of it.</p></article>", "<article class='comment-item'><p>Nor do I.</p></article>"]
+
+
+@pytest.mark.parametrize("inner", _OUT)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div id='content'>{}</div>"])
+def test_html_blocks_within_the_article_that_are_not_its_text(inner, around):
+    page = "<html><body><nav>Home</nav>" + around + "</body></html>"
+    assert html_text.main_text(page.format(_AROUND.format(inner)), {}) == html_text.main_text(page.format(_AROUND.format("")), {}) != ""
+
+
+@pytest.mark.parametrize("inner", ["<section id='search'><h2 id='share-prices'>A heading</h2><p>A part of the article about the search for it.</p></section>", "<div class='content no-sidebar'><p>A part of the text.</p></div>", "<p id='comments'>A part of the text.</p>", "<div class='entry-header'><p>Who wrote it.</p></div>"])
+def test_html_parts_of_the_article_stay(inner):
+    text = html_text.main_text("<html><body><nav>Home</nav><article>" + _AROUND.format(inner) + "</article></body></html>", {})
+    for part in html_text.html.unescape(re.sub("<[^>]*>", "\n", inner)).split("\n"):
+        assert part in text
+
+
+def test_html_of_several_articles():
+    one, two = _AROUND.format(""), _AROUND.format("").replace("words", "lines")
+    text = html_text.main_text(f"<html><body><article>{one}</article><article>{two}</article></body></html>", {})
+    assert text.count("\n") == 5 and "words" in text and "lines" in text
+    whole = html_text.main_text(f"<html><body><article><div class='sidebar-layout'>{one}</div></article></body></html>", {})
+    assert whole.count("\n") == 2

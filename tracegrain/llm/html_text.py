@@ -5,9 +5,10 @@ the contiguous part of the highest sum. Tags' weights come from pages whose mark
 article element): a tag that stands outside the article more often than inside costs more, by the logarithm of
 the ratio; tags are told apart by name, direction and class words. The labelled pages are a bounded sample,
 `max_labelled`, of the lowest hashes of the id. Elements that are never content (menus, forms, adverts, ...; by name, role or a whole
-class token or id) score no words; a class or id of which only a piece says so makes its tag cost more, and the scan decides. On a page without
-article or main element (or with one in such an element), an element with four fifths of the words is not ruled out by a class or id that doesn't speak of comments.
-Where the region lies in an article or main element, that element's bounds replace the region's; else those of the
+class token or id, or a piece of one that doesn't name a state, as no-sidebar does) score no words, within the content too; a piece makes the tag cost more besides. An
+element with four fifths of the words (of its article or main element, or of a page without one) is not ruled out by a class or id that doesn't speak of comments,
+and the id of a section or heading in the content is an anchor.
+Where the region lies in article or main elements, the bounds of those with a quarter of the largest one's text replace the region's; else those of the
 smallest section of the page (div, section, table cell) that holds all of it, if there is one below the body.
 
 Text: character references decoded, white space in a block one space, trimmed, blocks joined by a line break.
@@ -48,6 +49,10 @@ NOT_CONTENT = set(
 COMMENTS = set("comment comments commentlist respond replies disqus".split())
 #: Elements whose class and id say what the page or a heading has, not what the element is.
 NEUTRAL = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose ids in the content are anchors that links lead to.
+ANCHORS = {"section", "p", "li", "a", "span", "figure", "table", "dl", "dt", "dd", "blockquote"}
+#: Pieces of class tokens that say how a page or element is, not what it is.
+STATES = set("no has with without not is open closed fixed enabled disabled on off".split())
 #: What a tag costs more of whose class or id a piece, but no whole token, is in NOT_CONTENT; such keys start with the mark.
 DOUBT, DOUBT_MARK = 8.0, "?"
 #: Stands for an element's name, role or style among what says that it isn't content.
@@ -83,16 +88,18 @@ class Page:
         self._no_end: set[int] = set()  # opening quotes from which no tag's end is found
         self._read(source)
         self._end_block()
-        if self._n_excluding and not any(may and element >= 0 for _, element, may in self.blocks):
+        if self._n_excluding:
             self._lift()
 
     def _lift(self) -> None:
-        """Of a page without article or main element: one with four fifths of the words is no menu, whatever its class or id says."""
-        words: Counter[int] = Counter()
-        for (text, _, _), by in zip(self.blocks, self._excluded, strict=True):
-            if HARD not in by:
-                words.update(dict.fromkeys((HARD, *by), text.count(" ") + 1))
-        lifted = {x for x, n in words.items() if 5 * n >= 4 * words[HARD]} - {HARD}
+        """What has four fifths of the words is no menu, whatever its class or id says: of those of its content element, or of a page that has none."""
+        per_page = not any(may and element >= 0 for _, element, may in self.blocks)
+        words: Counter[tuple[int, int]] = Counter()
+        for (text, element, _), by in zip(self.blocks, self._excluded, strict=True):
+            if HARD not in by and (per_page or element >= 0):
+                of = -1 if per_page else element
+                words.update({(of, x): text.count(" ") + 1 for x in (HARD, *by)})
+        lifted = {x for (of, x), n in words.items() if x != HARD and 5 * n >= 4 * words[of, HARD]}
         if lifted:
             may = [lifted.issuperset(by) for by in self._excluded]
             self.blocks = [(text, element, m) for (text, element, _), m in zip(self.blocks, may, strict=True)]
@@ -175,7 +182,7 @@ class Page:
                     break
         elif name not in VOID:
             if attrs.strip():
-                hard, by_class, doubt, words = _never_content(attrs, self._state()[1] >= 0, name in NEUTRAL)
+                hard, by_class, doubt, words = _never_content(attrs, self._state()[1] >= 0, name)
                 key = DOUBT_MARK * doubt + key + "".join(f".{w}" for w in words)
             if name in BLOCKS and self._open and self._open[-1][0] in CLOSED_BY_BLOCK:
                 self._n_open[self._open.pop()[0]] -= 1
@@ -209,28 +216,35 @@ class Page:
         self._end_block()
 
 
-def _never_content(attrs: str, inside: bool = False, neutral: bool = False) -> tuple[bool, bool, bool, list[str]]:
-    """Whether role or style say that the element isn't content, whether class or id do, whether they raise a doubt, and the class words that tell tags apart.
+def _never_content(attrs: str, inside: bool = False, element: str = "div") -> tuple[bool, bool, bool, list[str]]:
+    """Whether role or style say that an element isn't content, whether class or id do, whether a piece of them raises a doubt, and the class words that tell tags apart.
 
-    inside: in an article or main element, whose own header is content. neutral: class and id say nothing of the element.
+    inside: in an article or main element, whose own header is content and in which another article may be a comment.
     """
     words: list[str] = []
     hard = never = doubt = False
+    neutral = element in NEUTRAL and not (inside and element == "article")
+    other = NOT_CONTENT - {"header"} if inside else NOT_CONTENT
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            found = _CLASS_WORD.findall(value)
+            tokens = value.split()
+            pieces = [p for p in (set(_CLASS_WORD.findall(t)) for t in tokens) if STATES.isdisjoint(p)]
+            anchor = inside and name == "id" and element in ANCHORS
             if not neutral:
-                never |= not NOT_CONTENT.isdisjoint(w for w in value.split() if not (inside and w == "header"))
-                hard |= not COMMENTS.isdisjoint(value.split())
-                doubt |= not NOT_CONTENT.isdisjoint(w for w in found if not (inside and w == "header"))
+                hard |= not COMMENTS.isdisjoint(tokens) and (not anchor or element == "section")
+            elif element == "article" and name == "class":
+                hard |= any(not COMMENTS.isdisjoint(p) for p in pieces)
+            if not neutral and not anchor:
+                never |= not other.isdisjoint(tokens)
+                doubt |= any(not other.isdisjoint(p) for p in pieces)
             if name == "class":
-                words += sorted(set(found))[:4]
+                words += sorted(set(_CLASS_WORD.findall(value)))[:4]
         elif name == "role":
             hard |= value in NOT_CONTENT_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             hard = True
-    return hard, never, doubt and not never, words
+    return hard, never or doubt, doubt and not never, words
 
 
 def _cost(key: str, weights: dict[str, float], default: float) -> float:
@@ -279,9 +293,10 @@ def main_blocks(page: Page, weights: dict[str, float], default: float = 2.0) ->
         by_element[page.blocks[b][1]] += len(page.blocks[b][0])
     if not by_element:
         return []
-    element = by_element.most_common(1)[0][0]
+    element, most = by_element.most_common(1)[0]
     if element >= 0:
-        return [text for text, of, may in page.blocks if may and of == element]
+        own = {e for e, n in by_element.items() if e >= 0 and 4 * n >= most}
+        return [text for text, of, may in page.blocks if may and of in own]
     around = _around(page, inside)
     if around >= 0:
         return [text for (text, _, may), s in zip(page.blocks, page.section, strict=True) if may and _within(page, s, around)]
