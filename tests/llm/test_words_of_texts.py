@@ -273,3 +273,13 @@ def test_the_oracle_gives_the_same_rows(spark, sf_dir):
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.queries()[name](spark, sf_dir)
         same_rows(got, db.execute(sql).df().to_dict("records"), got.columns)
+
+
+def test_jaccard_links_lead_over_rows_without_an_id(spark):
+    """A chain whose middle has no id: its neighbours are one component."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*(f"x{j}" for j in range(cut)), *base[cut:]]) for cut in (0, 12, 24)]
+    for ids in ((1, None, 3), (None, 2, None), (None, None, None)):
+        rows = list(zip(ids, texts, strict=True))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        same_rows(JaccardJoin(df).membership().selectExpr("id as doc_id", "n_shingles", "component as component_id"), linked(rows))

@@ -22,7 +22,7 @@ if it can't hold all. It decides the order only: no link is lost, whatever the o
 
 Cases: null and empty texts and texts without a word have no shingle and link with nothing; texts of fewer
 than k words have one shingle, the whole sequence. Rows that share an id are one document. A row without an id
-is in its text's component; a component's name is the least id in it, null if none of its rows has an id. Of centres that share equally many
+is in its text's component and links like any other; ids are below 2**62; a component's name is the least id in it, null if none of its rows has an id. Of centres that share equally many
 shingles the one of the least hash is tried. An empty table gives an empty result. Columns other than the id and the text play no part.
 """
 
@@ -216,12 +216,18 @@ def _can(t: int, support: int) -> str:
     return f"100 * least(na, nb) >= {t} * greatest(na, nb) and " + _enough(t, f"least(na - fa, nb - fb, {support} + na - i - 1, {support} + nb - j - 1)")
 
 
+#: Names of rows without an id begin here.
+UNNAMED = 1 << 62
+
+
 class JaccardJoin:
     """The join of docs (columns id_col, text_col); each step is a table in the shared folder."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, support: int = 4, rounds: int = 1):
         self.k, self.t, self.support, self.rounds = k, percent, support, rounds
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        # a row without an id has a name from its text, beyond all ids, so that it can be a node and never names a component
+        unnamed = F.shiftrightunsigned(F.xxhash64(text_col), 2) + F.lit(UNNAMED)
+        self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("id"), F.col(text_col).alias("text"))
         broadcast = docs.sparkSession.sparkContext.broadcast
         read = cut(self.docs.mapInArrow(_digests(k), "id long, d1 long, d2 long, n int, h array<long>, c array<long>"))
         self.sets = read.where(F.col("n") != REPEATED).select("id", "d1", "d2", "n")
@@ -322,8 +328,10 @@ class JaccardJoin:
 
     def membership(self) -> DataFrame:
         """(id, n_shingles, component) of every row of docs."""
+        named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c)).alias(c)
         parts = components(self.links().select("a", "b").union(self._same_id()))
         nodes = self.nodes.join(parts, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
         sets = self.sets.select("id", "n", "d1", "d2")
         with_words = sets.where("n > 0").join(nodes, ["d1", "d2", "n"]).select("id", F.col("n").cast("long").alias("n_shingles"), "component")
-        return with_words.unionByName(sets.where("n = 0").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component")))
+        out = with_words.unionByName(sets.where("n = 0").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component")))
+        return out.select(named("id"), "n_shingles", named("component"))
