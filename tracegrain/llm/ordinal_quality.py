@@ -103,10 +103,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int
 
 
 def labelled_sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, max_labelled: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most max_labelled rated documents."""
+    """Features of at most max_labelled rated documents, those of the lowest hashes of their ids."""
     chosen = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("__grade"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("o"), F.col(text_col).alias("text"), F.col("__grade").alias("grade"))
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "__grade")), "id")
+    # of rows that share an id the one of the least text, so the sample is the same in each run
+    found = met.groupBy("id").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("s"), "text", "__grade")).alias("x")).select(F.xxhash64("id").alias("o"), "x.text", F.col("x.__grade").alias("grade"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +121,7 @@ def labelled_sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col:
                     feature[first + i], value[first + i] = f[part].astype(np.int32), v[part].astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feature, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["o", "grade", "feature", "value"])
 
-    got = found.mapInArrow(run, "o long, grade int, feature array<int>, value array<float>").limit(2 * max_labelled).toArrow().sort_by("o")
+    got = found.mapInArrow(run, "o long, grade int, feature array<int>, value array<float>").toArrow().sort_by("o")
     return [(f.values.to_numpy(), v.values.to_numpy().astype(float), g.as_py()) for f, v, g in zip(got["feature"], got["value"], got["grade"], strict=True)]
 
 
