@@ -1,8 +1,8 @@
 """Personal data: base patterns, and terms that reveal the entities they find.
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. What else points to them is
-estimated from the corpus. Most addresses and numbers are rare, so a mention stands for its value and for the classes of it: its kind,
-an address's domain, a network of 16 bits, a card's issuer, a phone number's prefix. A term of the documents that mention such an entity
+estimated from the corpus. Most addresses and numbers are rare, so a mention stands for its value and for the classes of it:
+an address's domain, a network of 16 bits, a card's issuer, a phone number's codes of three and four digits. A term of the documents that mention such an entity
 discloses it by how much of the entity's information it carries,
 
     PMI(entity; term) / IC(entity) = 1 - log(n(term) / n(entity, term)) / log(N / n(entity)),
@@ -18,7 +18,7 @@ Counts cover all documents: words shuffle only from texts that mention such an e
 in the corpus; a Bloom filter of fixed size tells the tasks which. Of texts only those that may have a copy, and those that
 mention an entity, are written or shuffled. Spans are found from the text alone, so they are keyed by the text's hash and length.
 
-A term is a word as white space ends it, A-Z lower-cased. Cases: a null text is empty and has no span; it stays
+A term is a word as white space ends it, A-Z lower-cased, with a letter or digit. Cases: a null text is empty and has no span; it stays
 null when sanitised. Repeated rows get the same spans each. Null ids are kept; other columns pass through, whatever their names. An
 empty table has no terms and gives an empty result.
 """
@@ -42,6 +42,8 @@ from .words import as_long, chunks, mix
 KINDS = ("email", "ip", "card", "phone")
 #: Keys over which a term's mentions are dealt.
 SALTS = 16
+#: Terms of entities' lists that a task holds before it hands them on.
+TOGETHER = 1 << 17
 #: The words before and after a term that are its context.
 BESIDE = 2
 SPANS = "array<struct<kind: string, start: int, end: int>>"
@@ -99,20 +101,26 @@ def _entities(kind: str, value: str) -> list[int]:
         of = [value, ".".join(value.split(".")[:2])]
     else:
         digits = re.sub("[^0-9]", "", value)
-        of = [digits, digits[:6] if kind == "card" else digits[:4]]
-    return [int.from_bytes(hashlib.blake2b(f"{kind}:{level}:{x}".encode(), digest_size=8).digest(), "little", signed=True) for level, x in enumerate(["", *of])]
+        of = [digits, digits[:6]] if kind == "card" else [digits, digits[:4], digits[:3]]
+    return [int.from_bytes(hashlib.blake2b(f"{kind}:{level}:{x}".encode(), digest_size=8).digest(), "little", signed=True) for level, x in enumerate(of, 1)]
+
+
+#: Of each byte: whether it is a letter's or digit's, or part of a character beyond ASCII.
+_IN_NAME = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 
 
 class _Doc:
-    """A document of a chunk: its words' hashes, and their places in code points."""
+    """A document of a chunk: its words' hashes, their places in code points, and which of them have a letter or digit."""
 
     def __init__(self, chunk, row: int):
         i = row - chunk.row
         self.words = slice(chunk.bound[i], chunk.bound[i + 1])
-        self.hash, start, end = chunk.hash[self.words], chunk.start[self.words], chunk.end[self.words]
+        self.hash, start, end, self.named = chunk.hash[self.words], chunk.start[self.words], chunk.end[self.words], np.empty(0, bool)
         if len(start):
             low = int(chunk.offsets[i])
-            points = np.cumsum((chunk.data[low : int(end[-1])] & 0xC0) != 0x80)
+            data = chunk.data[low : int(end[-1])]
+            points, marks = np.cumsum((data & 0xC0) != 0x80), np.append(0, np.cumsum(_IN_NAME[data]))
+            self.named = marks[end - low] > marks[start - low]
             start, end = points[start - low] - 1, points[end - 1 - low]
         self.start, self.end = start, end
 
@@ -175,29 +183,39 @@ def _together(entities, wanted=None):
     kind = pa.struct([("term", pa.int64()), ("context", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a text gives a list for each of its entities, so few texts are taken at once
-        for batch in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
+        def lists(out: list[list]) -> pa.RecordBatch:
+            offsets = pa.array(np.cumsum([0, *map(len, out[1])]), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(out[1]) if out[1] else pa.array([], kind))], ["entity", "terms"])
+
+        for batch in batches:
             out: list[list] = [[], []]
+            held = 0
             for row, doc in _docs(batch, 0):
                 text, spans = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 of = np.array(sorted({e for s in spans for e in _entities(s["kind"], text[s["start"] : s["end"]])}), np.int64)
                 of = of[entities.value.has(of)]
                 if not len(of):
                     continue
-                h, context = doc.hash[~_inside(doc, spans)], np.uint64(0)
+                free = ~_inside(doc, spans)
+                h, named, context = doc.hash[free], doc.named[free], np.uint64(0)
                 if wanted is None:
-                    h = np.unique(h)
+                    h = np.unique(h[named])
                 padded = np.pad(h, BESIDE)
                 for by in (*range(BESIDE), *range(BESIDE + 1, 2 * BESIDE + 1)) if wanted is not None else ():
                     context = mix(context ^ padded[by : by + len(h)])
-                may = np.flatnonzero(wanted.value.has(as_long(h))) if wanted is not None else np.arange(len(h))
+                may = np.flatnonzero(named & wanted.value.has(as_long(h))) if wanted is not None else np.arange(len(h))
                 pairs = np.unique(np.stack([h, context + h])[:, may], axis=1) if len(may) else np.empty((2, 0), np.uint64)
                 first = np.diff(pairs[0], prepend=pairs[0][:1] + np.uint64(1)) != 0
                 terms = pa.StructArray.from_arrays([pa.array(as_long(pairs[0].copy())), pa.array(as_long(pairs[1].copy())), pa.array(first.astype(np.int64))], fields=list(kind))
-                out[0] += of.tolist()
-                out[1] += [terms] * len(of)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[1])]), pa.int32()), pa.concat_arrays(out[1]) if out[1] else pa.array([], kind))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), lists], ["entity", "terms"])
+                # a text gives its list for each of its entities: they are handed on as they grow
+                for e in of.tolist():
+                    out[0].append(e)
+                    out[1].append(terms)
+                    held += len(terms)
+                    if held > TOGETHER:
+                        yield lists(out)
+                        out, held = [[], []], 0
+            yield lists(out)
 
     return run
 
