@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, correlate, detect, exports, findings, iocs, redact
+from ..operators import analytic_drafts, analytics, correlate, detect, exports, findings, iocs, redact
 from ..operators.rules import Correlation, Rule, RuleSet, matches
 from ..operators.timeline import as_json
 from .queries import DAY, EV, RULES, _MATCHED, _of, events
@@ -140,11 +140,27 @@ def cut_login_records(spark, d):
     return analytics.cut_login_records(ev, files)
 
 
+def corr_temporal(spark, d):
+    """Windows of two days with failed logins and a new account in any order."""
+    return correlate.temporal(matches(events(spark, d), CHAIN.rules), ["actor"], ["failed", "created"], 2 * DAY)
+
+
+def analytic_findings(spark, d):
+    """Drafts of all five analytics; some of the events are boots, restarts of logging, keys and binary login records."""
+    ev, kind = events(spark, d), F.col("event_type")
+    kinds = F.when(kind == "auth.login.failure", "system.boot").when(kind == "user.create", "ssh.key.present").otherwise(kind)
+    odd = F.when((kind == "user.create") & (F.col("k") >= 60), None).otherwise(F.array(F.concat(F.lit("key:"), F.col("k").cast("string"))))
+    ev = ev.withColumns({"event_type": kinds, "target": F.when(F.col("k") < 20, "rsyslogd").otherwise("other"), "tags": F.coalesce(odd, F.array().cast("array<string>")), "path": F.col("host"), "artifact_type": F.when(F.col("host") == "h1", "utmp.wtmp").otherwise("linux.auth")})
+    ev = ev.where("host != 'h1' or micros > 1706000000000000")
+    files = spark.createDataFrame([("h1", "utmp.wtmp", None), ("none", "utmp.wtmp", "ab"), ("h2", "linux.auth", "cd")], "path string, artifact_type string, sha256 string")
+    return analytic_drafts.drafts(ev, files, least_gap=0, times_median=5.0).select("fingerprint", "rule_id", "title", "severity", "first_micros", "last_micros", "n_events", F.array_join(F.array_sort("event_ids"), ",").alias("event_ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chained_correlations, finding_texts, first_references, constant_entities, severity_counts, technique_coverage, event_findings, ioc_table, ioc_upsert, lookup_policy, combined_verdicts, pseudonyms, redacted_texts, redacted_lines, events_as_json, stix_ids,
-        log_figures, cut_login_records,
+        log_figures, cut_login_records, corr_temporal, analytic_findings,
     )
 }
 
@@ -159,7 +175,57 @@ def _pseudonym(category: str, value: str) -> str:
     return f"'{category}-' || substr({_HMAC.format(o=outer, i=inner, m=f"'{category}:' || {value}")}, 1, 6)"
 
 
+_RECURSIVE = EV.replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+def _windows(span: int) -> str:
+    """Of m (id, micros, actor, a: whether the first of two rules matches): n, the rows by place, and pick, the windows of both rules in any order."""
+    return f"""n AS (SELECT *, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY actor, cluster ORDER BY micros RANGE BETWEEN UNBOUNDED PRECEDING AND {span} FOLLOWING) AS till
+  FROM (SELECT *, sum(new) OVER (PARTITION BY actor ORDER BY micros, id, a DESC) AS cluster FROM (SELECT *, CASE WHEN micros - lag(micros) OVER (PARTITION BY actor ORDER BY micros, id, a DESC) <= {span} THEN 0 ELSE 1 END AS new FROM m))
+  WINDOW w AS (PARTITION BY actor, cluster ORDER BY micros, id, a DESC)),
+ f AS (SELECT *, min(CASE WHEN a THEN rn END) OVER w AS pa, min(CASE WHEN NOT a THEN rn END) OVER w AS pb FROM n WINDOW w AS (PARTITION BY actor, cluster ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ ok AS (SELECT actor, cluster, rn, till FROM f WHERE pa < till AND pb < till),
+ pick AS (SELECT actor, cluster, min(rn) AS rn, min_by(till, rn) AS till FROM ok GROUP BY actor, cluster
+  UNION ALL SELECT * FROM (SELECT p.actor, p.cluster, min(o.rn) AS rn, min_by(o.till, o.rn) AS till FROM pick p JOIN ok o ON o.actor = p.actor AND o.cluster = p.cluster AND o.rn >= p.till GROUP BY p.actor, p.cluster, p.rn)),
+ met AS (SELECT n.actor, CAST(n.cluster AS BIGINT) AS cluster, min(micros) AS first_micros, max(micros) AS last_micros, count(*) AS n_events FROM n JOIN pick p ON n.actor = p.actor AND n.cluster = p.cluster AND n.rn >= p.rn AND n.rn < p.till GROUP BY n.actor, n.cluster, p.rn)"""
+
+
+def _iso(micros: str) -> str:
+    return f"strftime(make_timestamp({micros}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {micros} % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST({micros} % 1000000 AS VARCHAR), 6, '0') END || '+00:00'"
+
+
+def _analytic(a: analytic_drafts.Analytic, parts: str, suffix: str, first: str, last: str, n: str, ids: str, rows: str) -> str:
+    return f"SELECT sha256(concat_ws(chr(31), '{a.rule_id}', {parts})) AS fingerprint, '{a.rule_id}' AS rule_id, '{a.title} — ' || {suffix} AS title, '{a.level}' AS severity, {first} AS first_micros, {last} AS last_micros, CAST({n} AS BIGINT) AS n_events, {ids} AS event_ids FROM {rows}"
+
+
+_TWO = "CASE WHEN {a} IS NULL OR {a} = {b} THEN CAST({b} AS VARCHAR) ELSE least({a}, {b}) || ',' || greatest({a}, {b}) END"
+_ANALYTIC = f"""{EV}, e AS (SELECT id, micros, host, actor, src_ip, k, CASE event_type WHEN 'auth.login.failure' THEN 'system.boot' WHEN 'user.create' THEN 'ssh.key.present' ELSE event_type END AS kind FROM ev WHERE host != 'h1' OR micros > 1706000000000000),
+ s AS (SELECT host, id, micros, lag(micros) OVER w AS before, lag(id) OVER w AS before_id FROM e WHERE host != 'h1' WINDOW w AS (PARTITION BY host ORDER BY micros, id)),
+ u AS (SELECT host, median(micros - before) AS usual FROM s GROUP BY host HAVING count(*) >= 20),
+ gap AS (SELECT *, CASE host WHEN 'h2' THEN 'cd' ELSE host END AS sha FROM s JOIN u USING (host) WHERE micros > before AND micros - before > 5.0 * usual),
+ other AS (SELECT micros AS other_micros, id AS other_id FROM e WHERE kind = 'auth.login.success' AND host != 'h1' ORDER BY micros, id LIMIT 1),
+ own AS (SELECT micros AS own_micros, id AS own_id FROM e WHERE host = 'h1' ORDER BY micros, id LIMIT 1),
+ cut AS (SELECT 'h1' AS path, 'h1' AS sha, own_micros, own_id, other_micros, other_id FROM own, other WHERE own_micros - other_micros > {DAY} UNION ALL SELECT 'none', 'ab', NULL, NULL, other_micros, other_id FROM other),
+ src AS (SELECT actor, src_ip, count(*) AS n, min(id) AS id, min(micros) AS micros FROM e WHERE kind = 'auth.login.success' GROUP BY actor, src_ip),
+ rare AS (SELECT * FROM src JOIN (SELECT actor, sum(n) AS logins FROM src GROUP BY actor) USING (actor) WHERE n = 1 AND logins >= 5 AND NOT starts_with(src_ip, '10.')),
+ again AS (SELECT * FROM e a WHERE kind = 'service.start' AND k < 20 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = 'system.boot' AND b.host = a.host AND abs(a.micros - b.micros) <= 900000000)),
+ lost AS (SELECT actor, k, count(*) AS n, min(micros) AS first_micros, max(micros) AS last_micros, arg_min(id, (micros, id)) AS one, arg_max(id, (micros, id)) AS two FROM e WHERE kind = 'auth.login.success' AND k NOT IN (SELECT k FROM e WHERE kind = 'ssh.key.present' AND k < 60) GROUP BY actor, k)
+ {_analytic(analytic_drafts.GAP, f"sha, {_iso('before')}", "host || ' silent for ' || printf('%.1f', (micros - before) / 3600000000.0) || ' h'", "before", "micros", "2", _TWO.format(a="before_id", b="id"), "gap")}
+ UNION ALL {_analytic(analytic_drafts.LOGINS_CUT, "sha", "path", "other_micros", "coalesce(own_micros, other_micros)", "CASE WHEN own_id IS NULL THEN 1 ELSE 2 END", _TWO.format(a="own_id", b="other_id"), "cut")}
+ UNION ALL {_analytic(analytic_drafts.RARE, "actor, src_ip", "actor || ' from ' || src_ip", "micros", "micros", "1", "CAST(id AS VARCHAR)", "rare")}
+ UNION ALL {_analytic(analytic_drafts.RESTART, f"'rsyslogd', {_iso('micros')}, host", f"'rsyslogd started at ' || {_iso('micros')}", "micros", "micros", "1", "CAST(id AS VARCHAR)", "again")}
+ UNION ALL {_analytic(analytic_drafts.KEY, "actor, CAST(k AS VARCHAR)", "actor || ' with ' || k", "first_micros", "last_micros", "n", _TWO.format(a="one", b="two"), "lost")}"""
+
 ORACLE_SQL = {
+    "analytic_findings": _ANALYTIC,
+    "corr_temporal": f"{_RECURSIVE}, m AS (SELECT id, micros, actor, event_type = 'auth.login.failure' AS a FROM ev WHERE event_type IN ('auth.login.failure', 'user.create')), {_windows(2 * DAY)} SELECT * FROM met",
+    "chained_correlations": f"""{_RECURSIVE}, one AS (SELECT min(id) AS id, micros, actor, src_ip FROM ev WHERE event_type = 'auth.login.failure' GROUP BY micros, actor, src_ip),
+ runs AS (SELECT *, sum(new) OVER (PARTITION BY actor ORDER BY micros, id) AS run FROM (SELECT *, CASE WHEN micros - lag(micros) OVER (PARTITION BY actor ORDER BY micros, id) <= {DAY} THEN 0 ELSE 1 END AS new FROM one)),
+ often AS (SELECT actor, min(id) AS id, max(micros) AS micros, count(*) AS n_events FROM (SELECT *, count(*) OVER (PARTITION BY actor, run ORDER BY micros RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS c FROM runs) GROUP BY actor, run HAVING max(c) >= 3),
+ m AS (SELECT id, micros, actor, true AS a FROM often UNION ALL SELECT id, micros, actor, false FROM ev WHERE event_type = 'user.create'), {_windows(2 * DAY)}
+ SELECT CASE event_type WHEN 'user.create' THEN 'created' ELSE 'failed' END AS rule_key, count(*) AS n, count(*) AS n_events, max(micros) AS last_micros FROM ev WHERE event_type IN ('auth.login.failure', 'user.create') GROUP BY 1
+ UNION ALL SELECT 'often', count(*), CAST(sum(n_events) AS BIGINT), max(micros) FROM often HAVING count(*) > 0 UNION ALL SELECT 'then', count(*), CAST(sum(n_events) AS BIGINT), max(last_micros) FROM met HAVING count(*) > 0""",
+    "events_as_json": f"""{EV} SELECT id, '{{"actor":"' || actor || '","event_type":"web.request","id":' || id || ',"source":{{"line_number":1}},"src_ip":"' || src_ip || '","timestamp_utc":"' || {_iso('micros')} || '"}}' AS json FROM ev WHERE event_type = 'web.request'""",
     "first_references": f"{EV}, n AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY micros, id) AS n FROM ev WHERE event_type = 'auth.login.failure') SELECT actor, string_agg(host || ':' || id, ',' ORDER BY n) AS refs FROM n WHERE n <= 5 GROUP BY actor",
     "constant_entities": f"{EV} SELECT micros // {DAY} AS day, src_ip, CASE WHEN count(DISTINCT host) = 1 THEN max(host) END AS host, min(micros) AS first_micros, max(micros) AS last_micros FROM ev GROUP BY micros // {DAY}, src_ip",
     "severity_counts": f"{_MATCHED}, l AS (SELECT * FROM (VALUES ('info', 0, ''), ('low', 1, ''), ('medium', 2, 'odd_key'), ('high', 3, 'private_source'), ('critical', 4, '')) v(severity, rank, rule_key)) SELECT severity, rank, (SELECT count(*) FROM m WHERE m.rule_key = l.rule_key) AS n FROM l",
