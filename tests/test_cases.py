@@ -287,3 +287,49 @@ def test_custody(spark, tmp_path):
             custody.add(spark, str(tmp_path / "e"), "ann", now, **again)
     with pytest.raises(ValueError):
         custody.add(spark, str(tmp_path / "none"), "ann", now)
+
+
+def test_trees_of_hashes_find_what_differs(spark):
+    from tracegrain.sources import merkle
+
+    rows = [(i, f"text {i}") for i in range(3000)] + [(7, "text 7"), (None, "no key"), (5000, None)]
+    df = spark.createDataFrame(rows, "id long, raw string")
+    one = merkle.tree(df, "id", ["id", "raw"], leaf=50)
+    assert merkle.differing(one, merkle.tree(df.repartition(7).orderBy("raw"), "id", ["id", "raw"], leaf=50)).count() == 0
+    nodes = {r.node: (r.digest, r.n_rows) for r in one.collect()}
+    assert nodes[""][1] == len(rows) and max(map(len, nodes)) == 2
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    said = lambda v: "-1:" if v is None else f"{len(str(v))}:{v}"
+    leaves = {}
+    for i, t in rows:
+        k = sha("" if i is None else str(i))
+        leaves.setdefault(k[:2], []).append((k, sha(said(i) + said(t))))
+    assert all(nodes[n][0] == sha("".join(h for _, h in sorted(v))) for n, v in leaves.items())
+    changed = spark.createDataFrame([(i, "other" if i == 40 else t) for i, t in rows if i != 41] + [(9000, "new")], "id long, raw string")
+    apart = merkle.differing(one, merkle.tree(changed, "id", ["id", "raw"], digits=2))
+    assert {r.node for r in apart.collect()} == {sha(str(i))[:2] for i in (40, 41, 9000)}
+    assert {40, 9000} <= {r.id for r in merkle.rows_of(changed, "id", apart).collect()}
+    assert merkle.tree(df.where("1 = 0"), "id", ["id", "raw"]).where("node = ''").first().n_rows == 0
+
+
+def test_analytics_give_findings(spark):
+    """The texts, and the events of drafts, of all five analytics."""
+    from tracegrain.operators import analytic_drafts
+
+    H, at = 3_600_000_000, 1_700_000_000_000_000
+    login = {"event_type": "auth.login.success", "artifact_type": "linux.auth", "actor": "ann"}
+    rows = [{**login, "micros": at + i * H // 60, "src_ip": "45.33.32.10", "tags": ["key:k1"] if i % 2 else ["key:k2"]} for i in range(30)]
+    rows += [{**login, "micros": at + 12 * H, "src_ip": "45.55.10.20"}, {"event_type": "ssh.key.present", "artifact_type": "ssh.authorized_keys", "tags": ["key:k1"]}]
+    rows += [{"event_type": "service.stop", "artifact_type": "linux.syslog", "target": "rsyslogd", "host": "h", "micros": at + 5 * H, "raw": "r"}, {"event_type": "system.boot", "artifact_type": "linux.kernel", "host": "other", "micros": at + 5 * H}]
+    rows += [{"event_type": "auth.login.success", "artifact_type": "utmp.wtmp", "micros": at + 50 * H}]
+    ev = frame(spark, *rows).withColumn("path", F.col("artifact_type"))
+    files = spark.createDataFrame([("utmp.wtmp", "utmp.wtmp", "aa"), ("linux.auth", "linux.auth", None)], "path string, artifact_type string, sha256 string")
+    got = {r.rule_id: r for r in analytic_drafts.drafts(ev, files).collect()}
+    assert set(got) == {a.rule_id for a in analytic_drafts.ALL}
+    gap, cut, rare, restart, key = (got[a.rule_id] for a in analytic_drafts.ALL)
+    assert gap.title.endswith("linux.auth silent for 11.5 h") and gap.event_ids == [30, 31] and "usually follows another in 60 seconds" in gap.narrative and json.loads(gap.context)["gap_seconds"] == 41460
+    assert cut.title.endswith("utmp.wtmp") and cut.n_events == 2 and "2 days after logins" in cut.narrative and cut.severity == "high"
+    assert rare.event_ids == [31] and "Of 32 logins" not in rare.narrative and "all but one came from 1 other addresses" in rare.narrative
+    assert restart.title.endswith("rsyslogd stopped at 2023-11-15T03:13:20+00:00") and restart.event_ids == [33]
+    assert key.n_events == 15 and json.loads(key.context)["fingerprint"] == "k2" and analytic_drafts.key_links(ev).count() == 15
+    assert key.fingerprint == hashlib.sha256("\x1f".join((key.rule_id, "ann", "k2")).encode()).hexdigest()

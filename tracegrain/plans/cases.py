@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analytic_drafts, analytics, correlate, detect, exports, findings, iocs, redact
 from ..operators.rules import Correlation, Rule, RuleSet, matches
 from ..operators.timeline import as_json
+from ..sources import merkle
 from .queries import DAY, EV, RULES, _MATCHED, _of, events
 
 KEY = bytes(range(32))
@@ -140,6 +141,11 @@ def cut_login_records(spark, d):
     return analytics.cut_login_records(ev, files)
 
 
+def evidence_tree(spark, d):
+    """The tree of hashes over all events."""
+    return merkle.tree(events(spark, d), "id", ["id", "micros", "actor", "raw"])
+
+
 def corr_temporal(spark, d):
     """Windows of two days with failed logins and a new account in any order."""
     return correlate.temporal(matches(events(spark, d), CHAIN.rules), ["actor"], ["failed", "created"], 2 * DAY)
@@ -160,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chained_correlations, finding_texts, first_references, constant_entities, severity_counts, technique_coverage, event_findings, ioc_table, ioc_upsert, lookup_policy, combined_verdicts, pseudonyms, redacted_texts, redacted_lines, events_as_json, stix_ids,
-        log_figures, cut_login_records, corr_temporal, analytic_findings,
+        log_figures, cut_login_records, corr_temporal, analytic_findings, evidence_tree,
     )
 }
 
@@ -216,7 +222,13 @@ _ANALYTIC = f"""{EV}, e AS (SELECT id, micros, host, actor, src_ip, k, CASE even
  UNION ALL {_analytic(analytic_drafts.RESTART, f"'rsyslogd', {_iso('micros')}, host", f"'rsyslogd started at ' || {_iso('micros')}", "micros", "micros", "1", "CAST(id AS VARCHAR)", "again")}
  UNION ALL {_analytic(analytic_drafts.KEY, "actor, CAST(k AS VARCHAR)", "actor || ' with ' || k", "first_micros", "last_micros", "n", _TWO.format(a="one", b="two"), "lost")}"""
 
+_PART = "length(CAST({c} AS VARCHAR)) || ':' || {c}"
 ORACLE_SQL = {
+    "evidence_tree": f"""{_RECURSIVE}, d AS (SELECT greatest(1, CAST(ceil(log(count(*) / 1024.0) / log(16) - 1e-9) AS INTEGER)) AS digits FROM ev),
+ r AS (SELECT sha256(CAST(id AS VARCHAR)) AS k, sha256({" || ".join(_PART.format(c=c) for c in ("id", "micros", "actor", "raw"))}) AS h FROM ev),
+ t AS (SELECT left(k, digits) AS node, sha256(string_agg(h, '' ORDER BY k, h)) AS digest, count(*) AS n_rows FROM r, d GROUP BY 1
+  UNION ALL SELECT left(node, length(node) - 1), sha256(string_agg(digest, '' ORDER BY node)), CAST(sum(n_rows) AS BIGINT) FROM t WHERE length(node) > 0 GROUP BY 1)
+ SELECT * FROM t""",
     "analytic_findings": _ANALYTIC,
     "corr_temporal": f"{_RECURSIVE}, m AS (SELECT id, micros, actor, event_type = 'auth.login.failure' AS a FROM ev WHERE event_type IN ('auth.login.failure', 'user.create')), {_windows(2 * DAY)} SELECT * FROM met",
     "chained_correlations": f"""{_RECURSIVE}, one AS (SELECT min(id) AS id, micros, actor, src_ip FROM ev WHERE event_type = 'auth.login.failure' GROUP BY micros, actor, src_ip),
