@@ -333,3 +333,23 @@ def test_analytics_give_findings(spark):
     assert restart.title.endswith("rsyslogd stopped at 2023-11-15T03:13:20+00:00") and restart.event_ids == [33]
     assert key.n_events == 15 and json.loads(key.context)["fingerprint"] == "k2" and analytic_drafts.key_links(ev).count() == 15
     assert key.fingerprint == hashlib.sha256("\x1f".join((key.rule_id, "ann", "k2")).encode()).hexdigest()
+
+
+def test_many_rules_match_as_few_do(spark, monkeypatch):
+    """One pass for the texts that rules need, then their groups; against all rules in one scan."""
+    rng = random.Random(6)
+    words = ["passwd", "shadow", "curl http", "Sekret", "nmap", "x*y", "wget?http", "admin", "ab", "été", "a\\\\*b", "K", "ſudo"]
+    fields = ["raw", "command", "actor", "tags", "status", "event_type"]
+    made = []
+    for i in range(60):
+        test = lambda: {rng.choice(fields) + rng.choice(["", "|contains", "|startswith", "|endswith", "|contains|all"]): [rng.choice(words) for _ in range(rng.randint(1, 2))]}
+        body = {"a": rng.choice([test(), {**test(), **test()}, [test(), test()], [rng.choice(words)], {"raw|re": "[0-9]x"}, {"hour_local|gt": 20}]), "b": test()}
+        made.append(rules.Rule(f"r{i}", "t", {**body, "condition": rng.choice(["a", "a and b", "a or b", "a and not b", "1 of them", "not a and b"])}))
+    text = lambda: " ".join(rng.choice([*words, "xay", "WGET-http", "PASSWD", "7x", "sudo", "SUDO", "k", "ordinary"]) for _ in range(rng.randint(0, 3)))
+    df = frame(spark, *({"raw": text(), "command": rng.choice([None, text()]), "actor": text(), "tags": [text(), text()], "extra": {"status": text()}, "event_type": text(), "hour_local": rng.randrange(24)} for _ in range(300)))
+    of = lambda found: sorted((r.id, r.rule_key) for r in found.collect())
+    expected = of(rules.matches(df, made))
+    monkeypatch.setattr(rules, "GROUP", 7)
+    assert of(rules.matches(df, made)) == expected and len(expected) > 500
+    assert rules.Rule("r", "t", {"a": {"raw|contains": ["one two", "three"]}, "b": {"raw": "*four*"}, "condition": "a and not b"}).needs() == {"one two", "three"}
+    assert rules.Rule("r", "t", {"a": {"raw|contains": "one", "command|re": "x"}, "b": {"raw|exists": True}, "condition": "a or b"}).needs() is None
