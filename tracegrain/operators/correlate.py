@@ -22,8 +22,9 @@ BUCKETS = 64
 COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
 
 
-def _bucket(micros: str | Column, span: int) -> Column:
-    return F.floor((F.col(micros) if isinstance(micros, str) else micros) / F.lit(max(1, span) * BUCKETS))
+def _bucket(micros: str | Column, span: int | Column) -> Column:
+    length = F.greatest(span, F.lit(1)) * BUCKETS if isinstance(span, Column) else F.lit(max(1, span) * BUCKETS)
+    return F.floor((F.col(micros) if isinstance(micros, str) else micros) / length)
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,18 +34,22 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, test).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
-def _clusters(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Dated rows with cluster, from 1 in each key."""
+def _clusters(rows: DataFrame, keys: list[str], span: int | str) -> DataFrame:
+    """Dated rows with cluster, from 1 in each key. span: micros, or a column with a key's own."""
+    if isinstance(span, str):
+        rows = rows.withColumn("__span", F.col(span))
+        span = F.col("__span")
     rows = rows.withColumn("__b", _bucket("micros", span))
     order = Window.partitionBy(*keys, "__b").orderBy("micros", "id")
     new = F.coalesce((F.col("micros") - F.lag("micros").over(order) > span).cast("int"), F.lit(0))
     rows = rows.withColumn("__new", new).withColumn("__news", F.sum("__new").over(order))
-    buckets = rows.groupBy(*keys, "__b").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.max("__news").alias("news"))
+    more = [F.first("__span").alias("__span")] if isinstance(span, Column) else []
+    buckets = rows.groupBy(*keys, "__b").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.max("__news").alias("news"), *more)
     by_key = Window.partitionBy(*keys).orderBy("__b")
     starts = F.coalesce((F.col("first") - F.lag("last").over(by_key) > span).cast("int"), F.lit(1))
     buckets = buckets.withColumn("__starts", starts).withColumn("__before", F.sum(F.col("__starts") + F.col("news")).over(by_key) - F.col("news"))
     out = _join(rows, buckets.select(*keys, "__b", "__before"), [*keys, "__b"])
-    return out.withColumn("cluster", F.col("__before") + F.col("__news")).drop("__b", "__new", "__news", "__before")
+    return out.withColumn("cluster", F.col("__before") + F.col("__news")).drop("__b", "__new", "__news", "__before", "__span")
 
 
 def clustered(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
@@ -53,8 +58,8 @@ def clustered(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
     return _clusters(rows, keys, span)
 
 
-def with_sessions(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """rows with cluster; undated rows of a key are one more, cluster 0. Null keys are a key of their own."""
+def with_sessions(rows: DataFrame, keys: list[str], span: int | str) -> DataFrame:
+    """rows with cluster (span: micros, or a column with a key's own); undated rows of a key are one more, cluster 0. Null keys are a key of their own."""
     return _clusters(rows.where("micros is not null"), keys, span).unionByName(rows.where("micros is null").withColumn("cluster", F.lit(0).cast("long")))
 
 

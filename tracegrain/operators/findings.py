@@ -52,51 +52,67 @@ def drafts(matches: DataFrame, rules: list[Rule], keys: list[str], gap: int) ->
     return found.withColumn("fingerprint", fingerprint("rule_key", *keys, "first_micros")).withColumn("title", F.concat_ws(" - ", "rule_title", label)).drop("rule_title")
 
 
-def _narrative(item: Rule | Correlation, n: Column, first: Column, last: Column, label: Column) -> Column:
+COLUMNS = ("fingerprint", "rule_id", "title", "severity", "severity_rank", "confidence", "techniques", "recommendation", "narrative", "context", "first_micros", "last_micros", "n_events")
+
+
+def _facts(spark, rule_set: RuleSet) -> DataFrame:
+    """What rules that report say of themselves, a row each: as many as there are rules."""
+    rows = [
+        (r.name, r.id, r.title, r.level, LEVELS.index(r.level), float(r.confidence), list(r.techniques), r.recommendation, r.description, "; ".join(r.false_positives), list(r.group_by), span_micros(r.cluster_gap), isinstance(r, Correlation))
+        for r in rule_set.reported()
+    ]
+    return F.broadcast(spark.createDataFrame(rows, "rule_key string, rule_uuid string, rule_title string, severity string, severity_rank int, confidence double, techniques array<string>, recommendation string, about string, known string, by array<string>, span long, correlated boolean"))
+
+
+def _narrative(label: Column) -> Column:
+    n, first, last = (F.col(c) for c in ("n_events", "first_micros", "last_micros"))
     when = F.when(first.isNull(), "(undated evidence)").when(first == last, F.concat(F.lit("at "), iso(first))).otherwise(F.concat(F.lit("between "), iso(first), F.lit(" and "), iso(last)))
     shown = F.size("refs")
     more = F.when((shown > 0) & (n > shown), F.concat(F.lit(" and "), (n - shown).cast("string"), F.lit(" more"))).otherwise("")
     evidence = F.when(shown > 0, F.concat(F.lit(" Evidence: "), F.array_join("refs", ", "), more, F.lit("."))).otherwise("")
-    known = f"\n\nKnown false positives: {'; '.join(item.false_positives)}." if item.false_positives else ""
-    return F.concat(F.lit(f"{item.description}\n\nRule '{item.title}' matched "), n.cast("string"), F.lit(" event(s) "), when, F.when(label != "", F.concat(F.lit(" "), label)).otherwise(""), F.lit("."), evidence, F.lit(known))
+    known = F.when(F.col("known") != "", F.concat(F.lit("\n\nKnown false positives: "), "known", F.lit("."))).otherwise("")
+    return F.concat("about", F.lit("\n\nRule '"), "rule_title", F.lit("' matched "), n.cast("string"), F.lit(" event(s) "), when, F.when(label != "", F.concat(F.lit(" "), label)).otherwise(""), F.lit("."), evidence, known)
 
 
-COLUMNS = ("fingerprint", "rule_id", "title", "severity", "severity_rank", "confidence", "techniques", "recommendation", "narrative", "context", "first_micros", "last_micros", "n_events")
+def _same(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join in which nulls are equal."""
+    return a.join(b.withColumnsRenamed({k: f"__{k}" for k in on}), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on))).drop(*(f"__{k}" for k in on))
 
 
-def _drafted(found: DataFrame, item: Rule | Correlation, keys: list[str]) -> DataFrame:
-    """found: keys, host, first_micros, last_micros, n_events, peak, refs, sources, ref (of the first match)."""
-    label = entity_label(keys)
-    entity = F.to_json(F.struct(*(k for k in dict.fromkeys((*keys, "host")))))
-    context = F.to_json(F.struct(F.lit(item.id).alias("rule_uuid"), F.lit(item.name).alias("rule_name"), F.from_json(entity, "map<string,string>").alias("entity"), F.col("n_events").alias("count"), "sources", F.col("peak").alias("peak_in_window")))
-    return found.select(
-        fingerprint(F.lit(item.id), entity_key(keys), F.col("ref")).alias("fingerprint"), F.lit(item.name).alias("rule_id"), F.concat(F.lit(item.title), F.when(label != "", F.concat(F.lit(" — "), label)).otherwise("")).alias("title"),
-        F.lit(item.level).alias("severity"), F.lit(LEVELS.index(item.level)).alias("severity_rank"), F.lit(float(item.confidence)).alias("confidence"), F.array(*map(F.lit, item.techniques)).cast("array<string>").alias("techniques"),
-        F.lit(item.recommendation).alias("recommendation"), _narrative(item, F.col("n_events"), F.col("first_micros"), F.col("last_micros"), label).alias("narrative"), context.alias("context"), "first_micros", "last_micros", "n_events",
-    )
+#: What a rule can group by.
+ENTITIES = ("actor", "src_ip", "dst_ip", "target", "host", "event_type", "rel_path", "sha256")
 
 
 def from_hits(hits: DataFrame, rule_set: RuleSet) -> DataFrame:
-    """Drafts of all rules that report: of a base rule one for each entity and burst (bursts end at cluster_gap), of a correlation one for each match."""
-    ref = F.concat_ws(":", "rel_path", F.col("line_number").cast("string"))
+    """Drafts of all rules that report: of a base rule one for each entity and burst (bursts end at cluster_gap), of a correlation one for each match.
+
+    All rules share one plan: what they say of themselves is a small table, and an entity is the array of the values that its rule groups by.
+    """
+    columns = [c for c in ENTITIES if c in hits.columns]
+    values = F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c))))
     source = F.concat(F.coalesce("sha256", F.lit("None")), F.lit(":"), F.coalesce(F.col("line_number").cast("string"), F.lit("None")))
-    out = []
-    for item in rule_set.reported():
-        keys, mine = list(item.group_by), hits.where(F.col("rule_key") == item.name).withColumn("__ref", source)
-        if isinstance(item, Correlation):
-            found = mine.withColumns({"refs": F.array(ref), "sources": F.array_compact(F.array("rel_path")), "ref": F.col("__ref"), "last_micros": F.col("micros")})
-        else:
-            by = keys or ["rule_key"]
-            # a host that all of an entity's matches share belongs to the finding, whatever the burst
-            hosts = mine.groupBy(*by).agg(constant("host")) if "host" not in by else None
-            rows = with_sessions(mine, by, span_micros(item.cluster_gap))
-            once = [*by, "cluster"]
-            found = rows.groupBy(*once).agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_set("rel_path")).alias("sources"), F.min_by("__ref", F.struct(F.col("micros").isNull(), "micros", "id")).alias("ref"))
-            same = lambda a, b, on: a.join(b.withColumnsRenamed({k: f"__{k}" for k in on}), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on))).drop(*(f"__{k}" for k in on))
-            found = same(found, first_refs(rows, once, ref), once).withColumn("peak", F.lit(None).cast("long"))
-            found = found if hosts is None else same(found, hosts, by)
-        out.append(_drafted(found, item, keys).select(*COLUMNS))
-    return first_of_each(reduce(lambda a, b: a.unionByName(b), out))
+    ref = F.concat_ws(":", "rel_path", F.col("line_number").cast("string"))
+    rows = hits.join(_facts(hits.sparkSession, rule_set).select("rule_key", "by", "span", "correlated"), "rule_key").withColumns({"entity": F.transform("by", lambda k: F.element_at(values, k)), "__ref": source, "__shown": ref})
+    single = rows.where("correlated").select(
+        "rule_key", "entity", "host", "first_micros", F.col("micros").alias("last_micros"), "n_events", "peak", F.array("__shown").alias("refs"), F.array_compact(F.array("rel_path")).alias("sources"), F.col("__ref").alias("ref")
+    )
+    by, once = ["rule_key", "entity"], ["rule_key", "entity", "cluster"]
+    rows = with_sessions(rows.where("not correlated"), by, "span")
+    # a host that all of an entity's matches share belongs to the finding, whatever the burst
+    hosts = rows.groupBy(*by).agg(constant("host"))
+    bursts = rows.groupBy(*once).agg(F.min("micros").alias("first_micros"), F.max("micros").alias("last_micros"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_set("rel_path")).alias("sources"), F.min_by("__ref", F.struct(F.col("micros").isNull(), "micros", "id")).alias("ref"))
+    bursts = _same(_same(bursts, first_refs(rows, once, F.col("__shown")), once), hosts, by).withColumn("peak", F.lit(None).cast("long"))
+    found = single.unionByName(bursts.select(single.columns)).join(_facts(hits.sparkSession, rule_set), "rule_key")
+    # the entity's values by name, and the host if it isn't one of them
+    named = F.map_filter(F.map_concat(F.map_from_arrays("by", "entity"), F.when(F.array_contains("by", "host"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("host"), F.col("host")))), lambda k, v: v.isNotNull())
+    phrase = F.create_map(*(F.lit(x) for pair in PHRASES.items() for x in pair))
+    label = F.array_join(F.array_compact(F.transform(F.concat("by", F.when(F.array_contains("by", "host"), F.array().cast("array<string>")).otherwise(F.array(F.lit("host")))), lambda k: F.concat(F.element_at(phrase, k), F.element_at(F.col("named"), k)))), " ")
+    key = F.array_join(F.zip_with("by", "entity", lambda k, v: F.concat(k, F.lit("="), F.coalesce(v, F.lit("None")))), "|")
+    found = found.withColumn("named", named).withColumn("label", label)
+    context = F.to_json(F.struct("rule_uuid", F.col("rule_key").alias("rule_name"), F.col("named").alias("entity"), F.col("n_events").alias("count"), "sources", F.col("peak").alias("peak_in_window")))
+    title = F.concat("rule_title", F.when(F.col("label") != "", F.concat(F.lit(" — "), "label")).otherwise(""))
+    out = found.withColumns({"fingerprint": fingerprint("rule_uuid", key, "ref"), "rule_id": F.col("rule_key"), "title": title, "narrative": _narrative(F.col("label")), "context": context})
+    return first_of_each(out.select(*COLUMNS))
 
 
 def first_of_each(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytic_drafts, analytics, correlate, detect, exports, findings, iocs, redact
 from ..operators.rules import Correlation, Rule, RuleSet, matches
+from ..operators.tables import cut
 from ..operators.timeline import as_json
 from ..sources import merkle
 from .queries import DAY, EV, RULES, _MATCHED, _of, events
@@ -32,9 +33,9 @@ def chained_correlations(spark, d):
 
 
 def finding_texts(spark, d):
-    """Findings with their texts and contexts; matches are kept, as each rule's findings read them."""
-    hits = detect.hits(events(spark, d).withColumns({"rel_path": F.lit("auth.log"), "sha256": F.lit("ab"), "line_number": F.col("id").cast("int")}), CHAIN).persist()
-    return findings.from_hits(hits, CHAIN)
+    """Findings with their texts and contexts; matches are a table, as findings read them several times."""
+    hits = detect.hits(events(spark, d).withColumns({"rel_path": F.lit("auth.log"), "sha256": F.lit("ab"), "line_number": F.col("id").cast("int")}), CHAIN)
+    return findings.from_hits(cut(hits), CHAIN)
 
 
 def first_references(spark, d):
