@@ -172,3 +172,12 @@ def test_stream_of_matches(spark, tmp_path):
     q = sessions_stream(matched_stream(stream, [rule]), ["actor"], "10 minutes", "1 minute").writeStream.format("memory").queryName("clusters").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.rule_key, r.n_events) for r in spark.table("clusters").collect()] == [("f", 5)]
+
+
+def test_first_references_are_cut_before_they_meet(spark):
+    """Every task keeps the first rows of a key; only those are shuffled."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("actor"), "id", F.col("id").alias("micros"))
+    found = correlate.first_refs(df, ["actor"], F.col("id"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+    assert {r.actor: r.refs for r in found.collect()} == {0: [0, 2, 4], 1: [1, 3, 5]}

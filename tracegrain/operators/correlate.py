@@ -172,7 +172,10 @@ def constant(name: str) -> Column:
 
 
 def first_refs(rows: DataFrame, keys: list[str], ref: Column, k: int = 5) -> DataFrame:
-    """(keys, refs): of each key's rows the first k references, in the order of time."""
+    """(keys, refs): of each key's rows the first k references, in the order of time.
+
+    The rank is compared to a constant, so the optimizer has every task keep the first k rows of a key before any shuffle: of a key no more than k rows a task meet.
+    """
     order = Window.partitionBy(*keys).orderBy(F.col("micros").asc_nulls_last(), "id")
     first = rows.withColumn("__ref", ref).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
     return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__ref"))), lambda x: x["__ref"]).alias("refs"))
