@@ -302,9 +302,13 @@ def disclosing_terms(texts: DataFrame, rows: DataFrame, window: int = 8, support
     schema = "entity long, terms array<struct<term: long, context: long, first: long>>"
     pairs = private.mapInArrow(_together(entities), schema).select("entity", F.inline("terms")).groupBy("entity", "term").agg(F.sum("first").alias("n_both"))
     pairs = cut(pairs.where(F.col("n_both") >= support).join(often, "entity"))
+    total = float(max(2, rows.select("h", "n").distinct().count()))
+    # a term has most evidence if it stands nowhere else: what wouldn't be enough even so isn't counted in the corpus
+    enough = math.log(max(1, pairs.count()) / chance)
+    rarity = F.log(F.lit(total) / F.least("n_entity", F.lit(total - 1)))
+    pairs = pairs.where(F.col("n_both") * rarity >= F.lit(enough - 1e-6))
     terms = spark.sparkContext.broadcast(Bloom.build(pairs.select("term").distinct(), "term"))
     counts = texts.select("text").mapInArrow(_frequencies(terms), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
-    total = float(max(2, rows.select("h", "n").distinct().count()))
     met = pairs.join(counts, "term").withColumn("n_term", F.greatest("n_term", "n_both"))
     ratio = 1 - F.log(F.col("n_term") / F.col("n_both")) / F.log(F.lit(total + 1) / F.least("n_entity", F.lit(total)))
     met = cut(met.withColumn("ratio", ratio).where(F.col("ratio") >= generalise))
@@ -315,7 +319,7 @@ def disclosing_terms(texts: DataFrame, rows: DataFrame, window: int = 8, support
     p, q = F.col("n_both") / F.col("n_term"), F.least("n_entity", F.lit(total - 1)) / F.lit(total)
     surprise = p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
     evidence = F.least("n_both", "n_contexts") / p * F.when(p > q, surprise).otherwise(0.0)
-    return cut(met.where(evidence >= F.lit(math.log(max(1, pairs.count()) / chance))).select("entity", "term", "ratio"))
+    return cut(met.where(evidence >= F.lit(enough)).select("entity", "term", "ratio"))
 
 
 class Pii:
