@@ -44,6 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 SALTS = 16
 #: Terms of entities' lists that a task holds before it hands them on.
 TOGETHER = 1 << 17
+#: Terms with counts that a task holds before it hands them on (16 bytes each).
+COUNTED = 1 << 20
 #: The words before and after a term that are its context.
 BESIDE = 2
 SPANS = "array<struct<kind: string, start: int, end: int>>"
@@ -221,20 +223,25 @@ def _together(entities, wanted=None):
 
 
 def _frequencies(terms):
-    """mapInArrow: (text) into (term, docs) of the terms that may be wanted, summed over a batch."""
+    """mapInArrow: (text) into (term, docs) of the terms that may be wanted, summed over a task's batches while at most COUNTED terms are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term = docs = np.empty(0, np.int64)
         for batch in batches:
-            got: list[list] = [[], []]
+            got = [[term], [docs]]
             for chunk in chunks(batch.column(0), lower=True):
                 at = np.flatnonzero(terms.value.has(chunk.hash))
                 pair = np.stack([np.searchsorted(chunk.bound, at, "right"), as_long(chunk.hash[at])])
-                # each word once a text, then texts by word; a batch's chunks are summed
+                # each word once a text, then texts by word
                 for to, v in zip(got, np.unique(np.unique(pair, axis=1)[1], return_counts=True) if len(at) else (), strict=False):
                     to.append(v)
-            term, of = np.unique(np.concatenate(got[0]) if got[0] else np.empty(0, np.int64), return_inverse=True)
-            docs = np.bincount(of, np.concatenate(got[1]), len(term)).astype(np.int64) if got[0] else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(docs)], ["term", "docs"])
+            term, of = np.unique(np.concatenate(got[0]), return_inverse=True)
+            docs = np.zeros(len(term), np.int64)
+            np.add.at(docs, of, np.concatenate(got[1]))
+            if len(term) > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(docs)], ["term", "docs"])
+                term = docs = np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(docs)], ["term", "docs"])
 
     return run
 
