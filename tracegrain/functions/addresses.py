@@ -53,9 +53,13 @@ def _shortened(plain: Column) -> Column:
     return out
 
 
+# Fixed value: the texts of which ipv4_number gives a number.
+IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+
+
 def canonical_ip(text: Column) -> Column:
     """An IPv4 or IPv6 address without a port or brackets; null if the text is none."""
-    return let(let(F.trim(text), _bare), lambda bare: F.when(bare.contains(":"), canonical_ipv6(bare)).when(ipv4_number(bare).isNotNull(), bare))
+    return let(let(F.trim(text), _bare), lambda bare: F.when(bare.contains(":"), canonical_ipv6(bare)).when(bare.rlike(IPV4), bare))
 
 
 def _bare(text: Column) -> Column:

@@ -68,7 +68,7 @@ def event_findings(spark, d):
 
 def ioc_table(spark, d):
     ev = events(spark, d)
-    found = iocs.extract_events(ev.select("id", "event_type", "src_ip", "raw", F.col("actor").alias("target"), *(F.lit(None).cast(t).alias(c) for c, t in (("dst_ip", "string"), ("command", "string"), ("tags", "array<string>"), ("extra", "map<string,string>")))))
+    found = iocs.extract_events(ev.select("id", "micros", "event_type", "src_ip", "raw", F.col("actor").alias("target"), *(F.lit(None).cast(t).alias(c) for c, t in (("dst_ip", "string"), ("command", "string"), ("tags", "array<string>"), ("extra", "map<string,string>")))))
     rows, links = _found(spark, d)
     out = iocs.table(found, ev, iocs.finding_links(links, rows))
     return out.select("type", "value", "first_micros", "last_micros", "event_count", F.array_join("tags", ",").alias("tags"), F.array_join("finding_ids", ",").alias("finding_ids"))
